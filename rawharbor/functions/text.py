@@ -52,11 +52,12 @@ def fill_template(template: str, value: Column) -> Column:
 
 
 def size_text(rows: Column, columns: Column) -> Column:
-    return F.format_string("%d rows, %d columns", rows.cast("bigint"), columns.cast("bigint"))
+    known = rows.isNotNull() & columns.isNotNull()
+    return F.when(known, F.format_string("%d rows, %d columns", rows.cast("bigint"), columns.cast("bigint")))
 
 
 def percent_text(ratio: Column) -> Column:
-    return F.format_string("%.2f%%", (ratio * 100).cast("double"))
+    return F.when(ratio.isNotNull(), F.format_string("%.2f%%", (ratio * 100).cast("double")))
 
 
 def dataset_name(path: Column) -> Column:

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def append_target(features: DataFrame, target: DataFrame, key: Sequence[str], column: str) -> DataFrame:
-    """Keep every feature row; an existing column of the target's name is replaced."""
-    kept = features.drop(column) if column not in key else features
-    return kept.join(target.select(*key, column), list(key), "left")
+def append_target(
+    features: DataFrame, target: DataFrame, key: Sequence[str], columns: Sequence[str] | str
+) -> DataFrame:
+    """Keep every feature row; existing columns of the target's names are replaced."""
+    added = [columns] if isinstance(columns, str) else list(columns)
+    kept = features.drop(*[c for c in added if c not in key])
+    return kept.join(target.select(*key, *added), list(key), "left")
 
 
 def concat_target(features: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:

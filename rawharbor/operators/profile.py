@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from rawharbor.functions.text import float_text
 from rawharbor.operators.quality import null_counts
 
 MAX_WIDTH = 100
+COLUMNS_PER_PASS = 100
 # Spellings taken for each type; a suffix such as 1d or 1f is text, not a number.
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 FLOATING = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(?:inity)?\s*$"
@@ -55,7 +57,10 @@ def column_widths(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     a missing text prints as ``None``, as does every value of an all-missing column.
     Booleans print as the 0 and 1 that a SQL table keeps of them.
     """
-    names = df.columns if columns is None else list(columns)
+    return in_passes(df, df.columns if columns is None else list(columns), _width_pass)
+
+
+def _width_pass(df: DataFrame, names: Sequence[str], first: int) -> DataFrame:
     counted = df.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(~is_missing(df, c)).alias(f"_present{i}") for i, c in enumerate(names)],
@@ -65,19 +70,36 @@ def column_widths(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     for i, name in enumerate(names):
         kind = df.schema[name].dataType
         present, longest = F.col(f"_present{i}"), F.coalesce(F.col(f"_longest{i}"), F.lit(0))
-        some_missing, all_missing = present < F.col("_rows"), present == 0
         if isinstance(kind, (T.IntegralType, T.BooleanType)):
-            data = F.when(some_missing, F.greatest(longest + 2, F.lit(3))).otherwise(longest)
+            with_gaps = F.greatest(longest + 2, F.lit(3))
         elif isinstance(kind, T.NumericType):
-            data = F.when(some_missing, F.greatest(longest, F.lit(3))).otherwise(longest)
+            with_gaps = F.greatest(longest, F.lit(3))
         else:
-            data = F.when(some_missing, F.greatest(longest, F.lit(4))).otherwise(longest)
-        data = F.when(F.col("_rows") == 0, F.lit(0)).when(all_missing, F.lit(4)).otherwise(data)
+            with_gaps = F.greatest(longest, F.lit(4))
+        data = (
+            F.when(F.col("_rows") == 0, F.lit(0))
+            .when(present == 0, F.lit(4))
+            .when(present < F.col("_rows"), with_gaps)
+            .otherwise(longest)
+        )
         width = F.least(F.greatest(data, F.lit(len(name))) + 2, F.lit(MAX_WIDTH))
-        entries.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(name).alias("column"), width.alias("width")))
+        entries.append(_entry(first + i, name, width.alias("width")))
     return counted.select(F.inline(F.array(*entries)))
 
 
+def in_passes(df: DataFrame, names: Sequence[str], one_pass) -> DataFrame:
+    """One aggregate for a table of usual width; a wider one is split by columns,
+    as generated code has a size limit, and each pass reads only its own columns."""
+    starts = range(0, max(len(names), 1), COLUMNS_PER_PASS)
+    return reduce(
+        DataFrame.unionByName, [one_pass(df, names[i : i + COLUMNS_PER_PASS], i + 1) for i in starts]
+    )
+
+
+def _entry(ordinal: int, name: str, *values: Column) -> Column:
+    return F.struct(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column"), *values)
+
+
 def _printed(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -90,8 +112,12 @@ def _printed(df: DataFrame, name: str) -> Column:
 def infer_types(text: DataFrame) -> DataFrame:
     """``ordinal, column, type`` for a table of strings: the narrowest of bigint,
     double and boolean that reads every present value, else string."""
+    return in_passes(text, text.columns, _type_pass)
+
+
+def _type_pass(text: DataFrame, names: Sequence[str], first: int) -> DataFrame:
     aggs = []
-    for i, name in enumerate(text.columns):
+    for i, name in enumerate(names):
         column = F.col(f"`{name}`")
         whole = F.rlike(column, F.lit(WHOLE)) & F.trim(column).try_cast("bigint").isNotNull()
         aggs += [
@@ -102,7 +128,7 @@ def infer_types(text: DataFrame) -> DataFrame:
         ]
     counted = text.agg(*aggs)
     entries = []
-    for i, name in enumerate(text.columns):
+    for i, name in enumerate(names):
         n = F.col(f"_n{i}")
         kind = (
             F.when(n == 0, "string")
@@ -111,5 +137,5 @@ def infer_types(text: DataFrame) -> DataFrame:
             .when(F.col(f"_boolean{i}") == n, "boolean")
             .otherwise("string")
         )
-        entries.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(name).alias("column"), kind.alias("type")))
+        entries.append(_entry(first + i, name, kind.alias("type")))
     return counted.select(F.inline(F.array(*entries)))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rawharbor.functions.matching import fold, is_plain, link_match, regex_match
+from rawharbor.functions.matching import fold, is_plain, regex_match
 from rawharbor.functions.text import size_text, zero_pad
 
 # Up to here the distinct queries become constants of the scan.
@@ -40,20 +40,30 @@ def best_catalog_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
     ``requests(query_id, query)``, ``catalog(did, name, instances, features)``.
     """
-    entries = catalog.select("did", "name", "instances", "features")
-    pairs = _regex_pairs(requests.select("query").distinct(), entries)
-    # Struct order puts a missing size last under max.
-    best = F.max_by(F.struct("did", "name", "instances", "features"), F.struct("instances", -F.col("did")))
-    hits = pairs.groupBy("query").agg(best.alias("_hit"))
+    queries = requests.select("query").distinct()
+    few = _few(queries)
+    if few is not None:
+        pairs = _literal_pairs(catalog, few, lambda q: regex_match(F.col("name"), q))
+    else:
+        # With many queries a name costs far more to match than to move, and what
+        # matches depends on the name alone: keep the best entry of each name.
+        named = catalog.where(F.col("name").isNotNull()).groupBy("name").agg(_best_entry("did", "instances", "features"))
+        pairs = _regex_pairs(queries.where(F.col("query").isNotNull()), named.select("name", "_best.*"))
+    hits = pairs.groupBy("query").agg(_best_entry("did", "name", "instances", "features"))
     return requests.join(hits, "query", "left").select(
         "query_id",
         "query",
-        F.col("_hit.did").alias("did"),
-        F.col("_hit.name").alias("name"),
-        size_text(F.col("_hit.instances"), F.col("_hit.features")).alias("size_info"),
+        F.col("_best.did").alias("did"),
+        F.col("_best.name").alias("name"),
+        size_text(F.col("_best.instances"), F.col("_best.features")).alias("size_info"),
     )
 
 
+def _best_entry(*values: str) -> Column:
+    # Struct order puts a missing size last under max.
+    return F.max_by(F.struct(*values), F.struct("instances", -F.col("did"))).alias("_best")
+
+
 def first_links(requests: DataFrame, links: DataFrame, suffix: str) -> DataFrame:
     """Query -> the first link in document order that contains it and ends in the suffix.
 
@@ -63,7 +73,7 @@ def first_links(requests: DataFrame, links: DataFrame, suffix: str) -> DataFrame
     queries = requests.select("query").distinct()
     few = _few(queries)
     if few is not None:
-        pairs = _literal_pairs(usable, few, lambda q: link_match(F.col("href"), q, suffix))
+        pairs = _literal_pairs(usable, few, lambda q: F.contains(F.lower("href"), F.lower(F.lit(q))))
     else:
         pairs = _contains_pairs(queries, F.lower("query"), usable, F.lower("href"))
     first = F.min_by(F.struct("page_id", "position", "href"), F.struct("page_id", "position"))
@@ -101,12 +111,7 @@ def _literal_pairs(rows: DataFrame, queries: list[str], test) -> DataFrame:
     return rows.withColumn("query", F.explode(hits))
 
 
-def _regex_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    few = _few(queries)
-    if few is not None:
-        return _literal_pairs(entries, few, lambda q: regex_match(F.col("name"), q))
-    queries = queries.where(F.col("query").isNotNull())
-    named = entries.where(F.col("name").isNotNull())
+def _regex_pairs(queries: DataFrame, named: DataFrame) -> DataFrame:
     plain = queries.where(is_plain(F.col("query")))
     regexes = queries.where(~is_plain(F.col("query")))
     return _contains_pairs(plain, fold(F.col("query")), named, fold(F.col("name"))).unionByName(

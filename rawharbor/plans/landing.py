@@ -1,7 +1,7 @@
 """Landed payloads derived from flat tables, to feed the payload scans.
 
 A document covers one key and one block of ids. Ids are unique, so no document
-holds more than BLOCK rows, however many of the rows belong to one key.
+holds more than 1,024 rows, however many of the rows belong to one key.
 """
 
 from __future__ import annotations
@@ -9,11 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1000
+from rawharbor.session import fresh_dir
+
+BLOCK_BITS = 10
 
 
 def block(key: Column) -> Column:
-    return F.floor(key / BLOCK).cast("bigint")
+    return F.shiftright(key, BLOCK_BITS)
+
+
+def land(documents: DataFrame, label: str) -> DataFrame:
+    """Write payloads to shared storage and scan them from there. Without this the
+    optimizer cancels a parse against the rendering it was made by."""
+    spark = documents.sparkSession
+    path = fresh_dir(spark, label)
+    documents.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def gather_map(df: DataFrame, by: list[str], key: str, value: Column | str) -> DataFrame:

@@ -23,6 +23,8 @@ RAW_CSV = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
+# Overwrite the folders that are written, leave those of other datasets alone.
+ONLY_OWN_FOLDERS = {"partitionOverwriteMode": "dynamic"}
 RAW_CSV_READ = {key: RAW_CSV[key] for key in ("timestampFormat", "timestampNTZFormat")}
 
 
@@ -56,12 +58,13 @@ def write_raw_batch(df: DataFrame, outdir: str, source: str, topic: str, file_fo
         F.lit(file_format.upper()).alias("format"),
         topic_slug(F.col(topic)).alias("topic"),
     )
-    shaped.hint("rebalance", *partitions).write.mode("overwrite").options(**RAW_CSV).partitionBy(*partitions).csv(outdir)
+    writer = shaped.hint("rebalance", *partitions).write.mode("overwrite").options(**RAW_CSV, **ONLY_OWN_FOLDERS)
+    writer.partitionBy(*partitions).csv(outdir)
 
 
 def write_description(df: DataFrame, path: str, topic: str, by: Sequence[str] = ()) -> None:
     """Write the data dictionary as text, in a ``by=`` folder for each dataset."""
     text = render_dictionary(data_dictionary(df, by), F.lit(topic), by)
     writer = text.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).text(path)
+    (writer.options(**ONLY_OWN_FOLDERS).partitionBy(*by) if by else writer).text(path)
 

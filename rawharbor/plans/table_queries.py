@@ -27,11 +27,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels")
-    documents = table(spark, sf, "documents")
-    for column in ("quality", "toxic"):
-        documents = align.append_target(documents, labels, ["doc_id"], column)
-    return documents
+    return align.append_target(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"], ["quality", "toxic"])
 
 
 def numbered(spark: SparkSession, queries: tuple[str, ...]) -> DataFrame:
@@ -142,23 +138,23 @@ def na_tokens(spark, sf):
 
 
 def facts_flatten(spark, sf):
-    documents = landing.facts_documents(table(spark, sf, "events"))
+    documents = landing.land(landing.facts_documents(table(spark, sf, "events")), "facts")
     facts = payloads.flatten_facts(documents, "payload", ("user_id",))
     return facts.withColumn("val", F.col("val").cast("double"))
 
 
 def observations_flatten(spark, sf):
-    documents = landing.observation_documents(table(spark, sf, "events"))
+    documents = landing.land(landing.observation_documents(table(spark, sf, "events")), "observations")
     return payloads.flatten_observations(documents, "payload", ("user_id",))
 
 
 def observation_rejects(spark, sf):
-    documents = landing.observation_documents(table(spark, sf, "events"), "purchase")
+    documents = landing.land(landing.observation_documents(table(spark, sf, "events"), "purchase"), "purchases")
     return payloads.reject_observations(documents, "payload", ("user_id", "block"))
 
 
 def keyed_object_scan(spark, sf):
-    return payloads.keyed_objects(landing.index_documents(table(spark, sf, "customer")), "payload")
+    return payloads.keyed_objects(landing.land(landing.index_documents(table(spark, sf, "customer")), "index"), "payload")
 
 
 def id_index_lookup(spark, sf):
@@ -175,7 +171,7 @@ def page_links(spark, sf):
 
 
 def html_table_rows(spark, sf):
-    rows = html.table_rows(landing.html_documents(table(spark, sf, "part")), "html", ("block",))
+    rows = html.table_rows(landing.land(landing.html_documents(table(spark, sf, "part")), "html"), "html", ("block",))
     return rows.select(
         "block", F.col("cells")[0].cast("bigint").alias("p_partkey"), F.col("cells")[1].alias("p_name"), F.col("cells")[2].alias("brand")
     )

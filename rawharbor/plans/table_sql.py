@@ -168,7 +168,7 @@ SQL = {
         'Q' || quarter(ts) AS fp, event_type AS form, strftime(ts, '%Y-%m-%d') AS filed,
         strftime(ts, '%Y-%m-%d %H:%M:%S') AS "end" FROM events""",
     "observations_flatten": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, printf('%.2f', value) AS value FROM events",
-    "observation_rejects": """SELECT user_id, CAST(event_id // 1000 AS BIGINT) AS block, 'no observations returned' AS reason
+    "observation_rejects": """SELECT user_id, CAST(event_id // 1024 AS BIGINT) AS block, 'no observations returned' AS reason
         FROM events GROUP BY 1, 2 HAVING count(*) FILTER (event_type = 'purchase') = 0""",
     "keyed_object_scan": """SELECT c_custkey AS ordinal, CAST(c_custkey AS VARCHAR) AS cik_str,
         c_mktsegment || '-' || c_nationkey AS ticker, c_name AS title FROM customer""",
@@ -179,7 +179,7 @@ SQL = {
               FROM customer GROUP BY 1)
         SELECT query_id, query, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, title FROM r LEFT JOIN f ON ticker = lower(query)""",
     "page_links": f"SELECT * FROM {LINKS}",
-    "html_table_rows": """SELECT CAST(p_partkey // 1000 AS BIGINT) AS block, p_partkey, p_name,
+    "html_table_rows": """SELECT CAST(p_partkey // 1024 AS BIGINT) AS block, p_partkey, p_name,
         CASE WHEN p_size > 10 THEN p_brand END AS brand FROM part""",
     "catalog_best_match": best_match(numbered(CATALOG_QUERIES)),
     "catalog_match_bulk": best_match(BULK_CATALOG),

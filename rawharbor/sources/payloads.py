@@ -35,17 +35,17 @@ def flatten_facts(
     that are not listed are dropped while parsing. ``value_type`` may be
     ``double``, a decimal that holds every literal exactly, or ``variant``.
     """
+    # inline gives key and value columns of their own, so that each level passes on
+    # the key and lets go of the value it was unfolded from.
     parsed = documents.select(*keep, F.from_json(payload, facts_schema(value_type))["facts"].alias("_facts"))
-    taxonomies = parsed.select(*keep, F.explode(last_wins(F.col("_facts"))).alias("_t"))
-    concepts = taxonomies.select(
-        *keep, F.col("_t.key").alias("taxonomy"), F.explode(last_wins(F.col("_t.value"))).alias("_c")
-    )
+    taxonomies = parsed.select(*keep, F.inline(last_wins(F.col("_facts"))).alias("taxonomy", "_concepts"))
+    concepts = taxonomies.select(*keep, "taxonomy", F.inline(last_wins(F.col("_concepts"))).alias("concept", "_body"))
     units = concepts.select(
-        *keep, "taxonomy", F.col("_c.key").alias("concept"), F.explode(last_wins(F.col("_c.value.units"))).alias("_u")
+        *keep, "taxonomy", "concept", F.inline(last_wins(F.col("_body.units"))).alias("unit", "_observations")
+    )
+    return units.select(*keep, "taxonomy", "concept", "unit", F.inline("_observations")).select(
+        *keep, "taxonomy", "concept", "unit", *FACT_FIELDS
     )
-    return units.select(
-        *keep, "taxonomy", "concept", F.col("_u.key").alias("unit"), F.explode("_u.value").alias("_o")
-    ).select(*keep, "taxonomy", "concept", "unit", *[F.col(f"_o.{f}").alias(f) for f in FACT_FIELDS])
 
 
 def parse_observations(documents: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,5 +66,7 @@ def reject_observations(documents: DataFrame, payload: str, keep: tuple[str, ...
 
 def keyed_objects(documents: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """An object of ``position -> {cik_str, ticker, title}`` as rows in document order."""
-    entries = documents.select(*keep, F.explode(last_wins(F.from_json(payload, INDEX_SCHEMA))).alias("_e"))
-    return entries.select(*keep, F.col("_e.key").cast("bigint").alias("ordinal"), "_e.value.*")
+    index = F.from_json(payload, INDEX_SCHEMA)
+    parsed = documents.select(*keep, index.alias("_index"))
+    entries = parsed.select(*keep, F.inline(last_wins(F.col("_index"))).alias("_key", "_entry"))
+    return entries.select(*keep, F.col("_key").cast("bigint").alias("ordinal"), "_entry.*")
