@@ -65,14 +65,13 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     )
     # One size per partition: as many values as the shuffle has partitions.
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
-    last, left = -1, n
+    kept, left = placed, n
     for part in sorted(sizes):
-        last = part
         if sizes[part] >= left:
+            kept = placed.where((F.col("_part") < part) | ((F.col("_part") == part) & (F.col("_place") < left)))
             break
         left -= sizes[part]
-    inside = (F.col("_part") < last) | ((F.col("_part") == last) & (F.col("_place") < left))
-    return placed.where(inside).drop("_part", "_place")
+    return kept.drop("_part", "_place")
 
 
 def _narrow(df: DataFrame, key: str, n: int) -> DataFrame:
