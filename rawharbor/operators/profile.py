@@ -18,6 +18,7 @@ COLUMNS_PER_PASS = 100
 # Spellings taken for each type; a suffix such as 1d or 1f is text, not a number.
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 FLOATING = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(?:inity)?\s*$"
+LONG_BIT, DOUBLE_BIT, BOOLEAN_BIT, TEXT_BIT = 1, 2, 4, 8
 BOOLEAN = r"^(?:true|True|TRUE|false|False|FALSE)$"
 
 
@@ -116,26 +117,27 @@ def infer_types(text: DataFrame) -> DataFrame:
 
 
 def _type_pass(text: DataFrame, names: Sequence[str], first: int) -> DataFrame:
-    aggs = []
-    for i, name in enumerate(names):
-        column = F.col(f"`{name}`")
-        whole = F.rlike(column, F.lit(WHOLE)) & F.trim(column).try_cast("bigint").isNotNull()
-        aggs += [
-            F.count(column).alias(f"_n{i}"),
-            F.count_if(whole).alias(f"_long{i}"),
-            F.count_if(F.rlike(column, F.lit(FLOATING))).alias(f"_double{i}"),
-            F.count_if(F.rlike(column, F.lit(BOOLEAN))).alias(f"_boolean{i}"),
-        ]
-    counted = text.agg(*aggs)
+    # A value is looked at once and leaves one bit; the bits seen decide the type.
+    bits = [_type_bit(F.col(f"`{name}`")).alias(f"_bit{i}") for i, name in enumerate(names)]
+    seen = text.select(*bits).agg(*[F.bit_or(f"_bit{i}").alias(f"_bits{i}") for i in range(len(names))])
     entries = []
     for i, name in enumerate(names):
-        n = F.col(f"_n{i}")
+        found = F.col(f"_bits{i}")
         kind = (
-            F.when(n == 0, "string")
-            .when(F.col(f"_long{i}") == n, "bigint")
-            .when(F.col(f"_double{i}") == n, "double")
-            .when(F.col(f"_boolean{i}") == n, "boolean")
+            F.when(found == LONG_BIT, "bigint")
+            .when(found.isin(DOUBLE_BIT, LONG_BIT | DOUBLE_BIT), "double")
+            .when(found == BOOLEAN_BIT, "boolean")
             .otherwise("string")
         )
         entries.append(_entry(first + i, name, kind.alias("type")))
-    return counted.select(F.inline(F.array(*entries)))
+    return seen.select(F.inline(F.array(*entries)))
+
+
+def _type_bit(value: Column) -> Column:
+    return (
+        F.when(value.isNull(), F.lit(None).cast("int"))
+        .when(F.rlike(value, F.lit(WHOLE)) & F.trim(value).try_cast("bigint").isNotNull(), LONG_BIT)
+        .when(F.rlike(value, F.lit(FLOATING)), DOUBLE_BIT)
+        .when(F.rlike(value, F.lit(BOOLEAN)), BOOLEAN_BIT)
+        .otherwise(TEXT_BIT)
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rawharbor.session import shared_dir
+from rawharbor.session import fresh_dir
 
 EXPORT_CAP = 1_048_575
 # Up to here a sort with a limit keeps n rows per task and merges them in one.
@@ -35,7 +35,7 @@ def largest_per(df: DataFrame, by: Sequence[str], size: str, tie: str, values: S
     return df.groupBy(*by).agg(F.min_by(F.struct(*values), order).alias("_best")).select(*by, "_best.*")
 
 
-def head_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = None) -> DataFrame:
     """The first ``n`` rows in the order of ``keys``; 0 means all of them.
 
     A short prefix is a top-k. A longer one must not be merged in a single task:
@@ -48,40 +48,39 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     if n <= TOP_K_ROWS:
         return df.orderBy(*keys).limit(n)
 
-    shared_dir(df.sparkSession)
-    placed = (
-        _narrow(df, keys[0], n)
+    # Ranks and partition sizes must come from one and the same partitioning, so
+    # the placed rows are written before either is used.
+    path = fresh_dir(df.sparkSession, "placed")
+    (
+        _narrow(df, keys[0], n, df.count() if total is None else total)
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_row", F.monotonically_increasing_id())
         .withColumns(
-            {
-                "_part": F.shiftright("_place", 33),
-                "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)),
-            }
+            {"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
         )
+        .drop("_row")
         .where(F.col("_place") < n)
-        .checkpoint()  # ranks and sizes must come from one and the same partitioning
+        .write.parquet(path)
     )
+    placed = df.sparkSession.read.parquet(path)
     # One size per partition: as many values as the shuffle has partitions.
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     kept, left = placed, n
     for part in sorted(sizes):
         if sizes[part] >= left:
-            kept = placed.where((F.col("_part") < part) | ((F.col("_part") == part) & (F.col("_place") < left)))
+            # Pushed into the scan: files beyond the last partition are skipped.
+            kept = placed.where((F.col("_part") <= part) & ((F.col("_part") < part) | (F.col("_place") < left)))
             break
         left -= sizes[part]
-    return kept.drop("_part", "_place")
+    return kept.select(*df.columns)
 
 
-def _narrow(df: DataFrame, key: str, n: int) -> DataFrame:
+def _narrow(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """Drop rows whose leading key is certainly beyond the first ``n`` rows."""
     kind = df.schema[key].dataType
-    if not isinstance(kind, ORDERED_TYPES):
-        return df
-    total = df.count()
     share = n / max(total, 1) + 2 / SKETCH_ACCURACY
-    if share >= 0.5:
+    if not isinstance(kind, ORDERED_TYPES) or share >= 0.5:
         return df
     cut = df.agg(F.percentile_approx(key, share, SKETCH_ACCURACY).cast("string").alias("cut")).first()["cut"]
     if cut is None:
@@ -94,9 +93,9 @@ def _narrow(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFrame:
     """At most ``cap`` rows in key order, with a flag that says whether rows were left out."""
-    truncated = df.count() > cap
-    rows = head_rows(df, keys, cap) if truncated else df
-    return rows.withColumn("truncated", F.lit(truncated))
+    total = df.count()
+    rows = head_rows(df, keys, cap, total) if total > cap else df
+    return rows.withColumn("truncated", F.lit(total > cap))
 
 
 def key_page(df: DataFrame, key: str, after: object | None, size: int) -> DataFrame:

@@ -375,6 +375,12 @@ def csv_text_roundtrip(spark, sf):
     return written_and_read(spark, table(spark, sf, "documents"), "text-roundtrip")
 
 
+def csv_splitting_scan(spark, sf):
+    documents, path = table(spark, sf, "documents"), fresh_dir(spark, "splitting")
+    write_raw(documents, path)
+    return delimited.scan_csv_splitting(spark, path, delimited.csv_schema(documents))
+
+
 def csv_roundtrip_diff(spark, sf):
     events = table(spark, sf, "events")
     return compare.bag_difference(events, written_and_read(spark, events, "roundtrip-diff"))
@@ -481,7 +487,7 @@ QUERIES = {
         topic_slug, safe_stem, host_key, dataset_name, sheet_name, slug_collisions, row_limit_parse, zero_padded_ids,
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
         row_limited, row_limited_short, capped_export, key_page, raw_preservation_check,
-        csv_roundtrip, csv_text_roundtrip, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
+        csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
         chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )

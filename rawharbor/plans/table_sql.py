@@ -237,6 +237,7 @@ SQL = {
         GROUP BY 1, 2 HAVING sum(s) <> 0""",
     "csv_roundtrip": "SELECT * FROM events",
     "csv_text_roundtrip": "SELECT * FROM documents",
+    "csv_splitting_scan": "SELECT * FROM documents",
     "csv_roundtrip_diff": "SELECT *, CAST(1 AS BIGINT) AS surplus FROM events WHERE event_id IS NULL",
     "gzip_csv_scan": "SELECT * FROM orders",
     "csv_inferred_scan": f"""SELECT TRY_CAST(event_id AS BIGINT) AS event_id, ts, TRY_CAST(value AS DOUBLE) AS value,

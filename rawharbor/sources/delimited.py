@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,66 @@ def scan_csv(
     return rows.repartition(partitions) if partitions else rows
 
 
+def scan_csv_splitting(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, **options: str
+) -> DataFrame:
+    """Scan plain CSV files whose quoted values hold line breaks, each by many tasks.
+
+    For files in which every quote is part of a quoted value (as the raw sink and
+    most writers produce), this reads what :func:`scan_csv` reads in one task. The
+    line scan splits files at any byte. A line is inside a value if the number of
+    quotes before it is odd, so quotes are summed per split, the sums (one row per
+    split) are accumulated per file, and only the lines of broken records are
+    moved together again. No group is larger than a split or a record. Line breaks
+    inside values stay as they are, whereas the plain scan of a file with CRLF line
+    ends reads them as LF.
+    """
+    fields = schema or scan_csv(spark, path, **options).schema
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"),
+        "value",
+        quotes.alias("_quotes"),
+    )
+    split = ["_file", "_split"]
+    so_far = Window.partitionBy(*split).orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+
+    totals = lines.groupBy(*split).agg(F.sum("_quotes").alias("_sum"))
+    opened = totals.select(*split, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    counted = lines.join(opened, split).withColumn("_after", F.sum("_quotes").over(so_far) + F.col("_before"))
+    inside = (F.col("_after") - F.col("_quotes")) % 2 == 1
+    marked = counted.withColumns(
+        {
+            "_inside": inside,
+            "_broken": inside | (F.col("_after") % 2 == 1),
+            # Only the first line of a file is without a line before it.
+            "_header": (F.col("_split") == 0) & (F.row_number().over(so_far) == 1),
+        }
+    )
+    # A line inside a value belongs to the last record started before it, which may
+    # lie in an earlier split.
+    start = F.last(F.when(~F.col("_inside"), F.col("_line")), ignorenulls=True).over(so_far)
+    broken = marked.withColumn("_start", start).where("_broken")
+    last = broken.groupBy(*split).agg(F.max("_start").alias("_start"))
+    carried = last.select(*split, F.last("_start", ignorenulls=True).over(earlier).alias("_carried"))
+    piece = F.struct("_split", "_line", "value")
+    mended = (
+        broken.join(carried, split)
+        .groupBy("_file", F.coalesce("_start", "_carried").alias("_record"))
+        .agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.bool_or("_header").alias("_header"))
+        .select(F.array_join(F.transform("_pieces", lambda x: x["value"]), "\n").alias("value"), "_header")
+    )
+    records = marked.where("NOT _broken").select("value", "_header").unionByName(mended)
+    text = F.regexp_replace("value", "\r$", "")
+    rows = records.where(~F.col("_header")).select(text.alias("value")).where("value <> ''")
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    parsed = F.from_csv("value", ddl, {**options, "quote": '"', "escape": '"'})
+    return rows.select(parsed.alias("_row")).select("_row.*")
+
+
 def scan_csv_inferred(spark: SparkSession, path: str | list[str], **kwargs) -> DataFrame:
     """Scan CSV, blank out the missing-value spellings, and type every column by
     all of its values: one aggregate pass finds the types, the scan applies them."""

@@ -1,5 +1,8 @@
+import csv
 import gzip
 import json
+import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -26,6 +29,30 @@ def test_raw_write_changes_nothing(spark):
     assert [r["v"] for r in back] == [v or None for v in values]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_splitting_scan_reads_every_record(spark, tmp_path, end):
+    rng = random.Random(11)
+    values = ["plain", "", '"with, comma"', '"say ""hi"""', '"two\nlines"', '"a\n\n""b""\n,c"', '""""', '"\n"', '"x\r\ny"', "é"]
+    expected = Counter()
+    for name in ("a.csv", "b.csv", "short.csv"):
+        rows = [] if name == "short.csv" else [f"{i},{rng.choice(values)},{rng.choice(values)}" for i in range(200)]
+        rows.insert(len(rows) // 2, "777," + '"' + "long\nvalue " * 200 + '",z')
+        (tmp_path / name).write_text(end.join(['"id","first ""name""",c', *rows]) + end, newline="")
+        with open(tmp_path / name, newline="") as file:
+            expected.update(tuple(v or None for v in row) for row in list(csv.reader(file))[1:])
+    if end == "\n":
+        assert Counter(map(tuple, delimited.scan_csv(spark, str(tmp_path)).collect())) == expected
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for bytes_per_split in ("200", "3000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_split)
+            got = delimited.scan_csv_splitting(spark, str(tmp_path))
+            assert got.columns == ["id", 'first "name"', "c"]
+            assert Counter(map(tuple, got.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_timestamps_keep_microseconds(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 00:00:07.179575' a, timestamp'2024-01-01 00:00:07.000001' b")
     path = fresh_dir(spark, "ts")
