@@ -78,19 +78,31 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = No
 
 def _narrow(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """Drop rows whose leading key is certainly beyond the first ``n`` rows."""
-    kind = df.schema[key].dataType
-    share = n / max(total, 1) + 2 / SKETCH_ACCURACY
-    if not isinstance(kind, ORDERED_TYPES) or share >= 0.5:
+    number, share = _order_number(df, key), n / max(total, 1) + 2 / SKETCH_ACCURACY
+    if number is None or share >= 0.5:
         return df
-    cut = df.agg(F.percentile_approx(key, share, SKETCH_ACCURACY).cast("string").alias("cut")).first()["cut"]
-    if cut is None:
+    sketch = F.percentile_approx(number, share, SKETCH_ACCURACY)
+    found = df.agg(sketch.alias("cut")).select(F.col("cut").cast("string"), F.typeof("cut").alias("kind")).first()
+    if found["cut"] is None:
         return df
-    inside = F.col(key).isNull() | (F.col(key) <= F.lit(cut).cast(kind))
+    inside = F.col(key).isNull() | (number <= F.lit(found["cut"]).cast(found["kind"]))
     # The sketch is approximate, so its cut is used only if enough rows lie inside it.
     enough = df.agg(F.count_if(inside).alias("n")).first()["n"] >= n
     return df.where(inside) if enough else df
 
 
+def _order_number(df: DataFrame, key: str) -> Column | None:
+    """A value that never decreases along the order of the key and has quantiles:
+    the key itself, or the first seven bytes of a text read as a number."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, ORDERED_TYPES):
+        return F.col(key)
+    if isinstance(kind, T.StringType):
+        bytes_ = F.hex(F.substring(F.col(key).cast("binary"), 1, 7))
+        return F.conv(F.rpad(bytes_, 14, "0"), 16, 10).cast("bigint")
+    return None
+
+
 def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFrame:
     """At most ``cap`` rows in key order, with a flag that says whether rows were left out."""
     total = df.count()

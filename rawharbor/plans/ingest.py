@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rawharbor.functions.text import raw_file_name
 from rawharbor.operators.quality import MAX_NULL_DENSITY, assess, null_counts
-from rawharbor.operators.ranking import head_rows
+from rawharbor.operators.ranking import TOP_K_ROWS, head_rows
 from rawharbor.plans.layout import dataset_dir, write_description, write_raw
 from rawharbor.session import fresh_dir
 from rawharbor.sources.registry import get_source
@@ -44,29 +44,24 @@ def ingest(
 ) -> str:
     """Run one request and return the folder of its raw CSV.
 
-    The source is parsed once, into a staged table on shared storage; the gate,
-    the raw file and the description are all made from that table. The row limit
+    The source is parsed once; the limit, the gate, the raw file and the
+    description all work on a columnar copy of it on shared storage. The row limit
     comes before the gate, as an accepted prefix is what was asked for.
     """
     source = get_source(request.source)
     rows = source.read(spark, request.path, request.options)
     if not rows.columns:
-        raise PayloadRejected("dataset is completely empty")
-    if request.row_limit > 0:
-        if not request.order_by:
-            raise ValueError("a row limit needs order_by: the rows of a table have no order of their own")
-        rows = head_rows(rows, request.order_by, request.row_limit)
-
-    staged = _stage(rows)
-    verdict = assess(null_counts(staged), threshold).first()
+        raise PayloadRejected(source.empty_message)
+    kept = _limited(rows, request, source.columnar)
+    verdict = assess(null_counts(kept), threshold).first()
     if verdict["status"] != "passed":
-        raise PayloadRejected(verdict["message"])
+        raise PayloadRejected(source.empty_message if verdict["status"] == "empty" else verdict["message"])
 
     folder = dataset_dir(outdir, source.dir_name, request.topic)
     stem = spark.range(1).select(raw_file_name(F.lit(request.topic))).first()[0]
     csv_path = os.path.join(folder, stem)
-    write_raw(staged, csv_path)
-    write_description(staged, os.path.join(folder, "dataset_description"), request.topic)
+    write_raw(kept, csv_path)
+    write_description(kept, os.path.join(folder, "dataset_description"), request.topic)
     return csv_path
 
 
@@ -84,8 +79,20 @@ def ingest_all(spark: SparkSession, requests: Iterable[Request], outdir: str) ->
     return results
 
 
+def _limited(rows: DataFrame, request: Request, columnar: bool) -> DataFrame:
+    """The requested rows in columnar form."""
+    if request.row_limit <= 0:
+        return rows if columnar else _stage(rows)
+    if not request.order_by:
+        raise ValueError("a row limit needs order_by: the rows of a table have no order of their own")
+    if request.row_limit <= TOP_K_ROWS:
+        return _stage(head_rows(rows, request.order_by, request.row_limit))
+    # A long prefix takes several passes over its key and is written by head_rows.
+    return head_rows(rows if columnar else _stage(rows), request.order_by, request.row_limit)
+
+
 def _stage(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = fresh_dir(spark, "staged")
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -15,9 +15,11 @@ from rawharbor.plans.layout import write_raw
 from rawharbor.sources.delimited import scan_csv_inferred
 
 
-def publish_table(df: DataFrame, table: str) -> None:
-    """Replace a managed table; the column types come from the whole dataset."""
-    df.write.mode("overwrite").saveAsTable(table)
+def publish_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace a table, a managed one unless a path is given; the column types come
+    from the whole dataset."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def export(df: DataFrame, path: str, keys: Sequence[str], cap: int = EXPORT_CAP) -> bool:
@@ -41,7 +43,7 @@ def publish(
     named = spark.range(1).select(dataset_name(F.lit(csv_path.rstrip("/"))).alias("n"))
     name = table or named.first()["n"]
     sheet = spark.range(1).select(sheet_name(F.lit(name))).first()[0]
-    rows = scan_csv_inferred(spark, csv_path)
+    rows = scan_csv_inferred(spark, csv_path, stage=True)
     if rows.isEmpty():
         raise ValueError(f"CSV is empty: {csv_path}")
     publish_table(rows, f"`{name}`")

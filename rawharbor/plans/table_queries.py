@@ -9,7 +9,9 @@ from rawharbor.functions import text
 from rawharbor.functions.nulls import na_to_null
 from rawharbor.operators import align, compare, history, profile, quality, ranking, resolve
 from rawharbor.plans import landing
+from rawharbor.plans.ingest import Request, ingest
 from rawharbor.plans.layout import RAW_CSV_READ, write_raw, write_raw_batch
+from rawharbor.plans.publish import export, publish_table
 from rawharbor.plans.requests import plan_requests
 from rawharbor.session import fresh_dir
 from rawharbor.sources import delimited, html, members, payloads
@@ -407,6 +409,28 @@ def raw_layout(spark, sf):
     )
 
 
+def ingest_run(spark, sf):
+    landed, out = fresh_dir(spark, "landed"), fresh_dir(spark, "ingested")
+    orders = table(spark, sf, "orders")
+    write_raw(orders, landed)
+    request = Request("yfinance", "Order History!", landed, {"multiline": False}, row_limit=3_000, order_by=["o_orderkey"])
+    return delimited.scan_csv(spark, ingest(spark, request, out), delimited.csv_schema(orders), **RAW_CSV_READ)
+
+
+def export_sheet(spark, sf):
+    customer, path = table(spark, sf, "customer"), fresh_dir(spark, "export")
+    truncated = export(customer, path, ["c_custkey"], 1_200)
+    rows = delimited.scan_csv(spark, f"{path}/rows", delimited.csv_schema(customer))
+    return rows.withColumn("truncated", F.lit(truncated))
+
+
+def published_table(spark, sf):
+    path = fresh_dir(spark, "published")
+    name = f"published_{path.rsplit('-', 1)[1]}"
+    publish_table(table(spark, sf, "part"), name, path)
+    return spark.table(name)
+
+
 def loaded_chunks(spark, sf):
     source, target = fresh_dir(spark, "chunks"), fresh_dir(spark, "loaded")
     events = table(spark, sf, "events")
@@ -488,6 +512,7 @@ QUERIES = {
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
         row_limited, row_limited_short, capped_export, key_page, raw_preservation_check,
         csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
+        ingest_run, export_sheet, published_table,
         chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )

@@ -245,6 +245,10 @@ SQL = {
         CAST(NULL AS VARCHAR) AS nothing FROM {EVENTS_TEXT}""",
     "raw_layout": """SELECT lower(source) AS source, 'CSV' AS format, 'topic_' || lang AS topic, CAST(count(*) AS BIGINT) AS rows,
         CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL""",
+    "ingest_run": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 3000",
+    "export_sheet": """SELECT *, (SELECT count(*) FROM customer) > 1200 AS truncated FROM customer
+        ORDER BY c_custkey LIMIT 1200""",
+    "published_table": "SELECT * FROM part",
     "chunked_table_load": "SELECT * FROM events",
     "chunk_verdicts": "SELECT 'passed' AS status, CAST(count(*) AS BIGINT) AS rows, CAST(3 AS BIGINT) AS batches FROM events",
     "rate_audit_hourly": """SELECT date_trunc('hour', ts) AS window_start, CAST(count(*) AS BIGINT) AS requests FROM events

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from rawharbor.functions.nulls import na_to_null
 from rawharbor.operators.profile import infer_types
+from rawharbor.session import fresh_dir
 
 # A doubled quote stands for a quote, so what the sink wrote reads back as it was.
 QUOTING = {"header": True, "quote": '"', "escape": '"'}
@@ -96,15 +97,22 @@ def scan_csv_splitting(
     return rows.select(parsed.alias("_row")).select("_row.*")
 
 
-def scan_csv_inferred(spark: SparkSession, path: str | list[str], **kwargs) -> DataFrame:
+def scan_csv_inferred(spark: SparkSession, path: str | list[str], stage: bool = False, **kwargs) -> DataFrame:
     """Scan CSV, blank out the missing-value spellings, and type every column by
-    all of its values: one aggregate pass finds the types, the scan applies them."""
+    all of its values: one aggregate pass finds the types, the scan applies them.
+
+    With ``stage`` the text is parsed once, into a columnar copy on shared storage
+    that the type pass and everything after it read instead of the CSV.
+    """
     text = scan_csv(spark, path, **kwargs)
     clean = text.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if stage:
+        copy = fresh_dir(spark, "text")
+        clean.write.parquet(copy)
+        clean = spark.read.schema(clean.schema).parquet(copy)
     found = {row["column"]: row["type"] for row in infer_types(clean).collect()}
-    return clean.select(
-        *[F.trim(F.col(f"`{c}`")).cast(found[c]).alias(c) if found[c] != "string" else F.col(f"`{c}`") for c in clean.columns]
-    )
+    typed = lambda c: F.trim(F.col(f"`{c}`")).cast(found[c]).alias(c)
+    return clean.select(*[F.col(f"`{c}`") if found[c] == "string" else typed(c) for c in clean.columns])
 
 
 def csv_schema(df: DataFrame) -> T.StructType:

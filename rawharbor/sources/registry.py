@@ -27,6 +27,10 @@ class Source:
     dir_name: str
     url_template: str
     read: Reader
+    # What it means if there is not a single row.
+    empty_message: str = "dataset is completely empty"
+    # True if the rows come from columnar files and are cheap to read again.
+    columnar: bool = False
 
 
 def read_largest_member(spark: SparkSession, path: str, options: dict) -> DataFrame:
@@ -34,11 +38,16 @@ def read_largest_member(spark: SparkSession, path: str, options: dict) -> DataFr
     first = csv_members(spark, path).orderBy(F.desc("size"), "path").select("path").first()
     if first is None:
         raise ValueError("no CSV files found")
-    return scan_csv_inferred(spark, first["path"], **options)
+    return scan_csv_inferred(spark, first["path"], stage=True, **options)
+
+
+def read_csv(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """CSV files, compressed or not, such as listings or a price history."""
+    return scan_csv_inferred(spark, path, stage=True, **options)
 
 
 def read_with_target(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """A features table, with the target column of a second table where there is one."""
+    """A features table, with the target columns of a second table where there is one."""
     features = spark.read.parquet(path)
     if "target_path" not in options:
         return features
@@ -48,39 +57,25 @@ def read_with_target(spark: SparkSession, path: str, options: dict) -> DataFrame
 
 def read_facts(spark: SparkSession, path: str, options: dict) -> DataFrame:
     # wholetext: a document may be pretty-printed over many lines.
-    documents = spark.read.text(path, wholetext=True)
-    return _not_empty(flatten_facts(documents, "value", **options), "no facts found")
+    return flatten_facts(spark.read.text(path, wholetext=True), "value", **options)
 
 
 def read_observations(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    documents = spark.read.text(path, wholetext=True)
-    return _not_empty(flatten_observations(documents, "value"), "no observations returned")
-
-
-def read_compressed(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    return scan_csv_inferred(spark, path, **options)
-
-
-def read_history(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    return _not_empty(scan_csv_inferred(spark, path, **options), "not found or delisted")
-
-
-def _not_empty(df: DataFrame, message: str) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(message)
-    return df
+    return flatten_observations(spark.read.text(path, wholetext=True), "value")
 
 
 # Source names, folder names and address patterns.
 SOURCES: dict[str, Source] = {
     s.name: s
     for s in (
-        Source("airbnb", "airbnb", "{}", read_compressed),
-        Source("fred", "fred", "https://fred.stlouisfed.org/series/{}", read_observations),
-        Source("kaggle", "kaggle", "https://www.kaggle.com/datasets/{}", read_largest_member),
+        Source("airbnb", "airbnb", "{}", read_csv, columnar=True),
+        Source("fred", "fred", "https://fred.stlouisfed.org/series/{}", read_observations, "no observations returned"),
+        Source("kaggle", "kaggle", "https://www.kaggle.com/datasets/{}", read_largest_member, columnar=True),
         Source("openml", "openml", "https://www.openml.org/d/{}", read_with_target),
-        Source("sec", "sec", "https://data.sec.gov/api/xbrl/companyfacts/CIK{}.json", read_facts),
-        Source("yfinance", "yahoofinance", "https://finance.yahoo.com/quote/{}", read_history),
+        Source("sec", "sec", "https://data.sec.gov/api/xbrl/companyfacts/CIK{}.json", read_facts, "no facts found"),
+        Source(
+            "yfinance", "yahoofinance", "https://finance.yahoo.com/quote/{}", read_csv, "not found or delisted", columnar=True
+        ),
     )
 }
 # What the request "all" stands for.
