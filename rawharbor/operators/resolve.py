@@ -93,8 +93,7 @@ def unknown_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 def missing_columns(required: DataFrame, df: DataFrame) -> DataFrame:
     """Required columns that a table does not have."""
-    present = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
-    return required.join(present, "column", "left_anti")
+    return required.where(~F.col("column").isin(df.columns))
 
 
 def _few(queries: DataFrame) -> list[str] | None:

@@ -13,7 +13,7 @@ from rawharbor.plans.ingest import Request, ingest
 from rawharbor.plans.layout import RAW_CSV_READ, write_raw, write_raw_batch
 from rawharbor.plans.publish import export, publish_table
 from rawharbor.plans.requests import plan_requests
-from rawharbor.session import fresh_dir
+from rawharbor.session import fresh_dir, small_table
 from rawharbor.sources import delimited, html, members, payloads
 from rawharbor.sources.registry import registry_table, source_url
 from rawharbor.streaming.landed import load_landed, read_accepted, read_verdicts
@@ -33,8 +33,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, queries: tuple[str, ...]) -> DataFrame:
-    rows = [(i, q) for i, q in enumerate(queries)]
-    return spark.createDataFrame(rows, "query_id bigint, query string")
+    return small_table(spark, list(enumerate(queries)), "query_id bigint, query string")
 
 
 def with_ids(queries: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Sized for a cluster; everything here can be overridden by the submitter.
 DEFAULTS = {
@@ -48,3 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, never used path below the shared folder."""
     return os.path.join(shared_dir(spark), "rawharbor", f"{label}-{uuid.uuid4().hex}")
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table held in the plan itself. Its size is then known before the query
+    runs, so a join with it needs neither a hint nor a shuffle of the other side."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(fields))]
+    return spark.createDataFrame(pa.table(arrays, names=fields.names), fields)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rawharbor.functions.text import fill_template
 from rawharbor.operators.align import append_target
+from rawharbor.session import small_table
 from rawharbor.sources.delimited import scan_csv_inferred
 from rawharbor.sources.members import csv_members
 from rawharbor.sources.payloads import flatten_facts, flatten_observations
@@ -96,7 +97,7 @@ def get_source(name: str) -> Source:
 def registry_table(spark: SparkSession) -> DataFrame:
     """``source, dir_name, url_template``: one row per registered source."""
     rows = [(s.name, s.dir_name, s.url_template) for s in SOURCES.values()]
-    return spark.createDataFrame(rows, "source string, dir_name string, url_template string")
+    return small_table(spark, rows, "source string, dir_name string, url_template string")
 
 
 def source_url(source: Column, value: Column) -> Column:
