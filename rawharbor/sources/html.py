@@ -15,16 +15,32 @@ ANCHOR = (
 )
 ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
-# Character references resolved in attribute and cell text.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Named character references resolved in attribute and cell text.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+NUMERIC = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
 def unescape(text: Column) -> Column:
+    references = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), 1))
+    numbered = F.aggregate(references, text, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)))
+    text = F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text)
     for name, character in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(character))
     return text
 
 
+def _character(reference: Column) -> Column:
+    """The character of a decimal or x-prefixed code point. An ampersand stays
+    escaped, to be resolved last and only once."""
+    hexadecimal = F.rlike(reference, F.lit("^[xX]"))
+    code = F.conv(F.regexp_replace(reference, "^[xX]", ""), 16, 10)
+    point = F.when(hexadecimal, code).otherwise(reference).cast("int")
+    valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
+    known = F.when(valid, point).otherwise(F.lit(0xFFFD))
+    character = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+    return F.when(point == 38, F.lit("&amp;")).otherwise(character)
+
+
 def anchors(pages: DataFrame, html: str, keep: tuple[str, ...]) -> DataFrame:
     """Every ``<a href>`` with its position in the document."""
     visible = F.regexp_replace(F.col(html), HIDDEN, "")

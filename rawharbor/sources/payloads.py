@@ -11,8 +11,13 @@ OBSERVATION_SCHEMA = "observations array<struct<date:string,value:string>>"
 INDEX_SCHEMA = "map<string,struct<cik_str:string,ticker:string,title:string>>"
 
 
+# Value type that keeps a number as it is written in the document.
+LITERAL = "literal"
+
+
 def facts_schema(value_type: str) -> str:
-    observation = f"struct<val:{value_type},fy:bigint,fp:string,form:string,filed:string,end:string>"
+    value = "variant" if value_type == LITERAL else value_type
+    observation = f"struct<val:{value},fy:bigint,fp:string,form:string,filed:string,end:string>"
     return f"facts map<string,map<string,struct<units:map<string,array<{observation}>>>>>"
 
 
@@ -27,13 +32,13 @@ def last_wins(entries: Column) -> Column:
 
 
 def flatten_facts(
-    documents: DataFrame, payload: str, keep: tuple[str, ...] = (), value_type: str = "decimal(38,6)"
+    documents: DataFrame, payload: str, keep: tuple[str, ...] = (), value_type: str = LITERAL
 ) -> DataFrame:
     """taxonomy -> concept -> unit -> observations, as one row per observation.
 
     Missing levels give no rows, missing observation fields give NULL and fields
-    that are not listed are dropped while parsing. ``value_type`` may be
-    ``double``, a decimal that holds every literal exactly, or ``variant``.
+    that are not listed are dropped while parsing. Values are the exact text of the
+    number unless ``value_type`` names a type to read them as, such as ``double``.
     """
     # inline gives key and value columns of their own, so that each level passes on
     # the key and lets go of the value it was unfolded from.
@@ -43,9 +48,9 @@ def flatten_facts(
     units = concepts.select(
         *keep, "taxonomy", "concept", F.inline(last_wins(F.col("_body.units"))).alias("unit", "_observations")
     )
-    return units.select(*keep, "taxonomy", "concept", "unit", F.inline("_observations")).select(
-        *keep, "taxonomy", "concept", "unit", *FACT_FIELDS
-    )
+    rows = units.select(*keep, "taxonomy", "concept", "unit", F.inline("_observations"))
+    value = F.col("val").cast("string").alias("val") if value_type == LITERAL else F.col("val")
+    return rows.select(*keep, "taxonomy", "concept", "unit", value, *FACT_FIELDS[1:])
 
 
 def parse_observations(documents: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:

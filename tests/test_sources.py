@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 from decimal import Decimal
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,10 +98,10 @@ def test_facts_levels_units_and_absent_fields(spark):
     assert df.columns == ["doc", "taxonomy", "concept", "unit", "val", "fy", "fp", "form", "filed", "end"]
     got = sorted(map(tuple, df.drop("doc").collect()), key=str)
     expected = [
-        ("us-gaap", "Revenue", "USD", Decimal("1000.000000"), 2020, "FY", "10-K", "f", "e"),
-        ("us-gaap", "Revenue", "EUR", Decimal("7.000000"), *[None] * 5),
+        ("us-gaap", "Revenue", "USD", "1000", 2020, "FY", "10-K", "f", "e"),
+        ("us-gaap", "Revenue", "EUR", "7", *[None] * 5),
         ("us-gaap", "Revenue", "EUR", None, *[None] * 5),
-        ("dei", "Shares", "shares", Decimal("5.250000"), *[None] * 5),
+        ("dei", "Shares", "shares", "5.25", *[None] * 5),
     ]
     assert got == sorted(expected, key=str)
 
@@ -111,11 +112,23 @@ def test_repeated_key_keeps_last(spark):
 
 
 def test_exact_values(spark):
-    text = '{"facts":{"t":{"c":{"units":{"U":[{"val":12345678901234567890.12},{"val":9007199254740993}]}}}}}'
-    exact = {r["val"] for r in facts(spark, text).collect()}
-    assert exact == {Decimal("12345678901234567890.120000"), Decimal("9007199254740993.000000")}
-    variants = facts(spark, text, value_type="variant").select(F.col("val").cast("string").alias("v"))
-    assert {r["v"] for r in variants.collect()} == {"12345678901234567890.12", "9007199254740993"}
+    text = (
+        '{"facts":{"t":{"c":{"units":{"U":[{"val":12345678901234567890.12},{"val":9007199254740993},{"val":0.123456789},'
+        '{"val":-3}]}}}}}'
+    )
+    assert {r["val"] for r in facts(spark, text).collect()} == {
+        "12345678901234567890.12", "9007199254740993", "0.123456789", "-3"
+    }
+    exact = {r["val"] for r in facts(spark, text, value_type="decimal(38,9)").collect()}
+    assert Decimal("12345678901234567890.120000000") in exact and Decimal("9007199254740993") in exact
+    assert {r["val"] for r in facts(spark, text, value_type="double").collect()} >= {0.123456789, -3.0}
+
+
+def test_character_references(spark):
+    raw = ["a&amp;b", "&amp;lt;", "&#38;lt;", "&#x26;#39;", "&#39;x&#x27;", "&#233;&#x1F600;", "&#0;", "&lt;&gt;&quot;&apos;", "&bogus;", "1 & 2"]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, v string")
+    got = [r["v"] for r in df.select("i", html.unescape(F.col("v")).alias("v")).orderBy("i").collect()]
+    assert got == [unescape(v) for v in raw]
 
 
 def test_observations_and_rejects(spark):
