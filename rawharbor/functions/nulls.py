@@ -14,14 +14,19 @@ NA_TOKENS = (
 )
 
 
+def column(name: str) -> Column:
+    """A column by its literal name, which may hold dots and blanks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_missing(df: DataFrame, name: str) -> Column:
     """NULL or, for floating columns, NaN."""
-    column = F.col(f"`{name}`")
+    value = column(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return column.isNull() | F.isnan(column)
-    return column.isNull()
+        return value.isNull() | F.isnan(value)
+    return value.isNull()
 
 
-def na_to_null(column: Column) -> Column:
+def na_to_null(value: Column) -> Column:
     """Turn the textual missing-value spellings of a string column into NULL."""
-    return F.when(~column.isin(*NA_TOKENS), column)
+    return F.when(~value.isin(*NA_TOKENS), value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rawharbor.functions.nulls import column
 from rawharbor.functions.text import topic_slug
 
 
@@ -14,7 +15,7 @@ def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     Both directions come from one shuffle, and copies are summed before it, so a
     row that is repeated very often is moved once per task.
     """
-    columns = left.columns
+    columns = [column(c) for c in left.columns]
     signed = left.withColumn("_sign", F.lit(1)).unionByName(right.select(*columns).withColumn("_sign", F.lit(-1)))
     return (
         signed.groupBy(*columns).agg(F.sum("_sign").alias("surplus")).where(F.col("surplus") != 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rawharbor.functions.nulls import is_missing
+from rawharbor.functions.nulls import column, is_missing
 from rawharbor.functions.text import float_text
 from rawharbor.operators.quality import null_counts
 
@@ -102,12 +102,12 @@ def _entry(ordinal: int, name: str, *values: Column) -> Column:
 
 
 def _printed(df: DataFrame, name: str) -> Column:
-    column = F.col(f"`{name}`")
+    value = column(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(column), float_text(column))
+        return F.when(~F.isnan(value), float_text(value))
     if isinstance(df.schema[name].dataType, T.BooleanType):
-        return column.cast("int").cast("string")
-    return column.cast("string")
+        return value.cast("int").cast("string")
+    return value.cast("string")
 
 
 def infer_types(text: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def infer_types(text: DataFrame) -> DataFrame:
 
 def _type_pass(text: DataFrame, names: Sequence[str], first: int) -> DataFrame:
     # A value is looked at once and leaves one bit; the bits seen decide the type.
-    bits = [_type_bit(F.col(f"`{name}`")).alias(f"_bit{i}") for i, name in enumerate(names)]
+    bits = [_type_bit(column(name)).alias(f"_bit{i}") for i, name in enumerate(names)]
     seen = text.select(*bits).agg(*[F.bit_or(f"_bit{i}").alias(f"_bits{i}") for i in range(len(names))])
     entries = []
     for i, name in enumerate(names):

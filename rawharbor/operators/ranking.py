@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rawharbor.functions.nulls import column
 from rawharbor.session import fresh_dir
 
 EXPORT_CAP = 1_048_575
@@ -45,16 +46,17 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = No
     """
     if n <= 0:
         return df
+    order = [column(k) for k in keys]
     if n <= TOP_K_ROWS:
-        return df.orderBy(*keys).limit(n)
+        return df.orderBy(*order).limit(n)
 
     # Ranks and partition sizes must come from one and the same partitioning, so
     # the placed rows are written before either is used.
     path = fresh_dir(df.sparkSession, "placed")
     (
         _narrow(df, keys[0], n, df.count() if total is None else total)
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumns(
             {"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
@@ -73,7 +75,7 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = No
             kept = placed.where((F.col("_part") <= part) & ((F.col("_part") < part) | (F.col("_place") < left)))
             break
         left -= sizes[part]
-    return kept.select(*df.columns)
+    return kept.drop("_part", "_place")
 
 
 def _narrow(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
@@ -85,7 +87,7 @@ def _narrow(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     found = df.agg(sketch.alias("cut")).select(F.col("cut").cast("string"), F.typeof("cut").alias("kind")).first()
     if found["cut"] is None:
         return df
-    inside = F.col(key).isNull() | (number <= F.lit(found["cut"]).cast(found["kind"]))
+    inside = column(key).isNull() | (number <= F.lit(found["cut"]).cast(found["kind"]))
     # The sketch is approximate, so its cut is used only if enough rows lie inside it.
     enough = df.agg(F.count_if(inside).alias("n")).first()["n"] >= n
     return df.where(inside) if enough else df
@@ -96,9 +98,9 @@ def _order_number(df: DataFrame, key: str) -> Column | None:
     the key itself, or the first seven bytes of a text read as a number."""
     kind = df.schema[key].dataType
     if isinstance(kind, ORDERED_TYPES):
-        return F.col(key)
+        return column(key)
     if isinstance(kind, T.StringType):
-        bytes_ = F.hex(F.substring(F.col(key).cast("binary"), 1, 7))
+        bytes_ = F.hex(F.substring(column(key).cast("binary"), 1, 7))
         return F.conv(F.rpad(bytes_, 14, "0"), 16, 10).cast("bigint")
     return None
 
@@ -113,5 +115,5 @@ def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFra
 def key_page(df: DataFrame, key: str, after: object | None, size: int) -> DataFrame:
     """The next page after a key: a range filter that reaches the scan, in place
     of an offset that reads and throws away everything before it."""
-    rows = df if after is None else df.where(F.col(key) > F.lit(after))
+    rows = df if after is None else df.where(column(key) > F.lit(after))
     return head_rows(rows, [key], size)

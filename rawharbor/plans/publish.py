@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rawharbor.functions.nulls import column
 from rawharbor.functions.text import dataset_name, sheet_name
 from rawharbor.operators.profile import column_widths
 from rawharbor.operators.ranking import EXPORT_CAP, capped
@@ -27,7 +28,7 @@ def export(df: DataFrame, path: str, keys: Sequence[str], cap: int = EXPORT_CAP)
     and say whether rows were left out. The single file is bounded by the cap."""
     rows = capped(df, keys, cap)
     truncated = rows.select("truncated").limit(1).collect()
-    sheet = rows.drop("truncated").repartition(1).sortWithinPartitions(*keys)
+    sheet = rows.drop("truncated").repartition(1).sortWithinPartitions(*[column(k) for k in keys])
     write_raw(sheet, os.path.join(path, "rows"))
     write_raw(column_widths(sheet).repartition(1), os.path.join(path, "widths"))
     return bool(truncated and truncated[0]["truncated"])

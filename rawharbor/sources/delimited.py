@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rawharbor.functions.nulls import na_to_null
+from rawharbor.functions.nulls import column, na_to_null
 from rawharbor.operators.profile import infer_types
 from rawharbor.session import fresh_dir
 
@@ -105,14 +105,14 @@ def scan_csv_inferred(spark: SparkSession, path: str | list[str], stage: bool =
     that the type pass and everything after it read instead of the CSV.
     """
     text = scan_csv(spark, path, **kwargs)
-    clean = text.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    clean = text.select(*[na_to_null(column(c)).alias(c) for c in text.columns])
     if stage:
         copy = fresh_dir(spark, "text")
         clean.write.parquet(copy)
         clean = spark.read.schema(clean.schema).parquet(copy)
     found = {row["column"]: row["type"] for row in infer_types(clean).collect()}
-    typed = lambda c: F.trim(F.col(f"`{c}`")).cast(found[c]).alias(c)
-    return clean.select(*[F.col(f"`{c}`") if found[c] == "string" else typed(c) for c in clean.columns])
+    typed = lambda c: F.trim(column(c)).cast(found[c]).alias(c)
+    return clean.select(*[column(c) if found[c] == "string" else typed(c) for c in clean.columns])
 
 
 def csv_schema(df: DataFrame) -> T.StructType:

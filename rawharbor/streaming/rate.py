@@ -21,6 +21,11 @@ def rate_audit(
     Counts combine before the shuffle. On a stream the watermark bounds the state
     to one counter per open window and drops what comes later than ``late``.
     """
-    rows = requests.withWatermark(ts, late) if requests.isStreaming else requests
+    kind = requests.schema[ts].dataType
+    rows = requests
+    if requests.isStreaming:
+        # A watermark needs an instant; the result is turned back into the given type.
+        rows = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     counted = rows.groupBy(F.window(ts, every), *by).agg(F.count(F.lit(1)).alias("requests"))
-    return counted.where(F.col("requests") > limit).select(F.col("window.start").alias("window_start"), *by, "requests")
+    start = F.col("window.start").cast(kind).alias("window_start")
+    return counted.where(F.col("requests") > limit).select(start, *by, "requests")

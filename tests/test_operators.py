@@ -247,3 +247,14 @@ def test_recency(spark):
     assert history.keep_active(df, "k", "ts").count() == 2
     asof = F.lit("2024-01-09").cast("timestamp_ntz")
     assert {r["k"] for r in history.active_keys(df, "k", "ts", asof=asof).collect()} == {"live", "edge"}
+
+
+def test_names_with_dots_and_blanks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TOP_K_ROWS", 2)
+    df = spark.range(20).select(F.col("id").alias("a.b"), F.lit("x").alias("c d"))
+    assert sorted(r[0] for r in ranking.head_rows(df, ["a.b"], 5).collect()) == list(range(5))
+    assert ranking.capped(df, ["c d", "a.b"], 1).first()[0] == 0
+    assert ranking.key_page(df, "a.b", 18, 5).count() == 1
+    assert compare.bag_difference(df, df).isEmpty()
+    assert [r["column"] for r in profile.column_widths(df).collect()] == ["a.b", "c d"]
+    assert quality.assess(quality.null_counts(df)).first()["status"] == "passed"

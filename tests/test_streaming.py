@@ -1,6 +1,7 @@
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rawharbor.streaming.landed import load_landed, read_accepted, read_verdicts
@@ -48,8 +49,9 @@ def test_batch_delivered_again_replaces_itself(spark, tmp_path):
     assert read_verdicts(spark, table).count() == 3
 
 
-def test_rate_audit_on_table_and_stream(spark, tmp_path):
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp")
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_rate_audit_on_table_and_stream(spark, tmp_path, kind):
+    base = F.lit("2024-01-01 00:00:00").cast(kind)
     rows = spark.range(40).select(
         (base + F.make_dt_interval(secs=F.when(F.col("id") < 12, 0.5).otherwise(F.col("id") / 2))).alias("ts"),
         F.when(F.col("id") < 11, "a").otherwise("b").alias("agent"),
@@ -64,9 +66,10 @@ def test_rate_audit_on_table_and_stream(spark, tmp_path):
     rows.limit(1).select((F.col("ts") + F.expr("interval 1 hour")).alias("ts"), "agent").write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = (
-        rate_audit(stream, "ts", 10, by=["agent"], late="2 hours").writeStream.outputMode("update").format("memory").queryName("rates")
+        rate_audit(stream, "ts", 10, by=["agent"], late="2 hours").writeStream.outputMode("update").format("memory").queryName(f"rates_{kind}")
         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    counts = {(r["agent"], r["window_start"]): r["requests"] for r in spark.table("rates").orderBy("requests").collect()}
+    counts = {(r["agent"], r["window_start"]): r["requests"] for r in spark.table(f"rates_{kind}").orderBy("requests").collect()}
+    assert dict(spark.table(f"rates_{kind}").dtypes)["window_start"] == kind
     assert [(agent, n) for (agent, _), n in counts.items()] == [("a", 11)]
