@@ -1,3 +1,3 @@
-from rawharbor.operators import align, compare, history, profile, quality, ranking, resolve
+from rawharbor.operators import align, compare, history, joins, profile, quality, ranking, resolve
 
-__all__ = ["align", "compare", "history", "profile", "quality", "ranking", "resolve"]
+__all__ = ["align", "compare", "history", "joins", "profile", "quality", "ranking", "resolve"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rawharbor.operators.joins import join_reduced
+
 
 def active_keys(history: DataFrame, key: str, ts: str, days: int = 5, asof: Column | None = None) -> DataFrame:
     """Keys with a row in the last days; without ``asof`` the newest row sets the clock."""
@@ -16,4 +18,4 @@ def active_keys(history: DataFrame, key: str, ts: str, days: int = 5, asof: Colu
 
 def keep_active(history: DataFrame, key: str, ts: str, days: int = 5, asof: Column | None = None) -> DataFrame:
     """The full history of the live keys, gaps untouched."""
-    return history.join(active_keys(history, key, ts, days, asof), key, "left_semi")
+    return join_reduced(history, active_keys(history, key, ts, days, asof), [key], "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rawharbor.functions.nulls import is_missing
 from rawharbor.functions.text import percent_text
+from rawharbor.operators.joins import join_reduced
 
 MAX_NULL_DENSITY = 0.8
 # Generated aggregate code stays compilable; wider tables take several passes,
@@ -98,9 +99,8 @@ def gate(
 
 
 def keep_passed(df: DataFrame, verdicts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The rows of the datasets that passed. Left unhinted: the adaptive planner
-    broadcasts the verdicts when they are small and splits hot datasets when not."""
-    return df.join(verdicts.where(F.col("status") == "passed").select(*by), list(by), "left_semi")
+    """The rows of the datasets that passed."""
+    return join_reduced(df, verdicts.where(F.col("status") == "passed").select(*by), by, "left_semi")
 
 
 def outcome(verdicts: DataFrame) -> DataFrame:

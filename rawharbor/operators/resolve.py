@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rawharbor.functions.matching import fold, is_plain, regex_match
 from rawharbor.functions.text import size_text, zero_pad
+from rawharbor.operators.joins import join_reduced
 
 # Up to here the distinct queries become constants of the scan.
 LITERAL_QUERIES = 64
@@ -29,7 +30,7 @@ def lookup_ids(requests: DataFrame, index: DataFrame) -> DataFrame:
     """
     best = F.min_by(F.struct("cik_str", "title"), F.col("ordinal"))
     tickers = index.groupBy(F.lower(F.coalesce("ticker", F.lit(""))).alias("_key")).agg(best.alias("_hit"))
-    joined = requests.join(tickers, F.lower("query") == F.col("_key"), "left")
+    joined = join_reduced(requests.withColumn("_key", F.lower("query")), tickers, ["_key"])
     return joined.select(
         "query_id", "query", zero_pad(F.col("_hit.cik_str")).alias("cik"), F.col("_hit.title").alias("title")
     )
@@ -50,7 +51,7 @@ def best_catalog_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         named = catalog.where(F.col("name").isNotNull()).groupBy("name").agg(_best_entry("did", "instances", "features"))
         pairs = _regex_pairs(queries.where(F.col("query").isNotNull()), named.select("name", "_best.*"))
     hits = pairs.groupBy("query").agg(_best_entry("did", "name", "instances", "features"))
-    return requests.join(hits, "query", "left").select(
+    return join_reduced(requests, hits, ["query"]).select(
         "query_id",
         "query",
         F.col("_best.did").alias("did"),
@@ -78,7 +79,7 @@ def first_links(requests: DataFrame, links: DataFrame, suffix: str) -> DataFrame
         pairs = _contains_pairs(queries, F.lower("query"), usable, F.lower("href"))
     first = F.min_by(F.struct("page_id", "position", "href"), F.struct("page_id", "position"))
     hits = pairs.groupBy("query").agg(first.alias("_hit"))
-    return requests.join(hits, "query", "left").select("query_id", "query", "_hit.page_id", "_hit.position", "_hit.href")
+    return join_reduced(requests, hits, ["query"]).select("query_id", "query", "_hit.page_id", "_hit.position", "_hit.href")
 
 
 def known_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def _contains_pairs(queries: DataFrame, needle: Column, rows: DataFrame, hay: Co
     offered = sized.select("query", "_needle", F.explode(own).alias("_anchor"))
     shared = offered.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_shared"))
     rarest = F.min_by("_anchor", F.struct("_shared", "_anchor"))
-    anchors = offered.join(shared, "_anchor").groupBy("query", "_needle").agg(rarest.alias("_anchor"))
+    anchors = join_reduced(offered, shared, ["_anchor"], "inner").groupBy("query", "_needle").agg(rarest.alias("_anchor"))
 
     text = rows.withColumn("_hay", hay)
     keyed = text.withColumn(
@@ -168,4 +169,4 @@ def _chunked_regex_pairs(regexes: DataFrame, named: DataFrame) -> DataFrame:
     packed = regexes.groupBy(slot.alias("_chunk")).agg(F.collect_list("query").alias("_patterns"))
     spread = named.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     matching = F.filter("_patterns", lambda p: regex_match(F.col("name"), p))
-    return spread.join(packed, "_chunk").withColumn("query", F.explode(matching)).drop("_chunk", "_patterns")
+    return join_reduced(spread, packed, ["_chunk"], "inner").withColumn("query", F.explode(matching)).drop("_chunk", "_patterns")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rawharbor.operators import align, compare, history, profile, quality, ranking, resolve
+from rawharbor.operators import align, compare, history, joins, profile, quality, ranking, resolve
 
 NAN = math.nan
 
@@ -258,3 +258,48 @@ def test_names_with_dots_and_blanks(spark, monkeypatch):
     assert compare.bag_difference(df, df).isEmpty()
     assert [r["column"] for r in profile.column_widths(df).collect()] == ["a.b", "c d"]
     assert quality.assess(quality.null_counts(df)).first()["status"] == "passed"
+
+
+@pytest.fixture
+def hot_keys(spark):
+    """A third of the rows under one key, and settings that make this table a large one."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    ids = spark.range(0, 60_000, 1, 6)
+    yield ids.select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df._jdf.queryExecution().executedPlan().execute().count()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, hot_keys):
+    verdicts = quality.gate(hot_keys, ["key"], ["id"])
+    passed = quality.keep_passed(hot_keys, verdicts, ["key"])
+    assert passed.count() == 60_000
+    assert "skew=true" in final_plan(passed)
+
+    keys = hot_keys.select("key").distinct()
+    index = keys.select(F.hash("key").cast("bigint").alias("ordinal"), F.lit("1").alias("cik_str"), F.upper("key").alias("ticker"), F.lit("t").alias("title"))
+    found = resolve.lookup_ids(hot_keys.select(F.col("id").alias("query_id"), F.col("key").alias("query")), index)
+    assert found.where("cik = '0000000001'").count() == 60_000
+    assert "skew=true" in final_plan(found)
+
+    live = history.keep_active(hot_keys.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "key", "ts")
+    assert live.count() == 60_000
+    assert "skew=true" in final_plan(live)
+
+
+def test_hash_needs_equal_types(spark):
+    with pytest.raises(TypeError):
+        joins.join_reduced(spark.range(3), spark.range(3).select(F.col("id").cast("int").alias("id")), ["id"])
