@@ -22,6 +22,7 @@ def join_reduced(rows: DataFrame, reduced: DataFrame, keys: Sequence[str], how:
     if any(rows.schema[k].dataType != reduced.schema[k].dataType for k in keys):
         raise TypeError(f"keys differ in type, so would their hashes: {list(keys)}")
     hashed = F.xxhash64(*[column(k) for k in keys])
-    return (
-        rows.withColumn("_hash", hashed).join(reduced.withColumn("_hash", hashed), [*keys, "_hash"], how).drop("_hash")
-    )
+    name, taken = "_hash", {c.lower() for c in rows.columns + reduced.columns}
+    while name in taken:
+        name = "_" + name
+    return rows.withColumn(name, hashed).join(reduced.withColumn(name, hashed), [*keys, name], how).drop(name)

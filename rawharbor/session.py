@@ -54,6 +54,23 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "rawharbor", f"{label}-{uuid.uuid4().hex}")
 
 
+# Rows and bytes of one Arrow batch between the JVM and a Python worker: long texts
+# must not add up to gigabytes in a worker.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+}
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """Let Python workers import this package, and bound their batches unless the user has."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    for key, value in ARROW_BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table held in the plan itself. Its size is then known before the query
     runs, so a join with it needs neither a hint nor a shuffle of the other side."""

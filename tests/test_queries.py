@@ -18,11 +18,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == WITHOUT_SQL
+    assert set(entry_points.QUERIES) - set(entry_points.SQL) == WITHOUT_SQL
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(set(entry_points.QUERIES) - WITHOUT_SQL))
 def test_query_matches_sql(spark, connection, name):
     df = entry_points.queries()[name](spark, SF_DIR)
     found = difference(df, connection, entry_points.oracle_sql()[name])
