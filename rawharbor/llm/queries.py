@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawharbor.llm import bpe, mixing, neardup, pii, quality
+from rawharbor.llm import bpe, brown, chat, licenses, mixing, multiindex, neardup, pii, quality, wavelet
 from rawharbor.llm.common import table
+from rawharbor.session import fresh_dir, small_table
 
 
 def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,6 +36,32 @@ def op2_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.brown_scores(table(spark, sf, "documents"))
+
+
+def op4_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_dir(spark, "token-shards")
+    wavelet.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return wavelet.read_tokens(spark, path)
+
+
+def op5_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = small_table(spark, [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = fresh_dir(spark, "chat-windows")
+    chat.windows(rows).write.parquet(path)
+    return chat.digests(spark.read.parquet(path))
+
+
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents lie in a folder of their language inside one of their source."""
+    docs = table(spark, sf, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")))
+    return licenses.license_scan(docs, path)
+
+
 def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -55,6 +82,10 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return multiindex.embedding_duplicates(table(spark, sf, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     verdicts = quality.quality_verdicts(docs, table(spark, sf, "labels"), "quality")
@@ -68,7 +99,12 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_personal_data": op2_personal_data,
+    "op3_brown_scores": op3_brown_scores,
+    "op4_token_shards": op4_token_shards,
+    "op5_chat_windows": op5_chat_windows,
+    "op6_license_scan": op6_license_scan,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
