@@ -22,25 +22,26 @@ def regex_match(name: Column, pattern: Column | str) -> Column:
     return F.coalesce(F.rlike(name, flagged), F.lit(False))
 
 
-def fold(column: Column) -> Column:
-    """Lower case in the sense of a case-insensitive regex, where four
-    non-ASCII letters also equal an ASCII one."""
-    return F.lower(F.translate(column, "İıſK", "iisk"))
+def simple_fold(letter: str) -> str:
+    """The letter that a case-insensitive regex compares: upper case, then lower case,
+    each of one character only."""
+    upper = next((u for u in (letter.upper(), letter.title()) if len(u) == 1), letter)
+    return "i" if upper == "İ" else upper.lower()
 
 
-def is_plain(pattern: Column) -> Column:
-    """True if a pattern has no regex syntax, so that it is a substring search."""
-    return ~F.rlike(pattern, F.lit(REGEX_META))
+# Letters whose lower case differs from their fold, among them every sigma, since lower
+# case of a whole text writes the last one of a word differently.
+FOLDED = {c: simple_fold(c) for c in map(chr, range(0x80, 0x1E944)) if c.lower() != simple_fold(c) or c == "Σ"}
 
 
-def same_text(value: Column, query: Column | str) -> Column:
-    """Case-insensitive equality; an absent value counts as the empty text."""
-    return F.lower(F.coalesce(value, F.lit(""))) == F.lower(as_column(query))
+def fold(column: Column) -> Column:
+    """Lower case in the sense of a case-insensitive regex."""
+    return F.lower(F.translate(column, "".join(FOLDED), "".join(FOLDED.values())))
 
 
-def link_match(href: Column, query: Column | str, suffix: str) -> Column:
-    """The query occurs anywhere in any case; the suffix must match exactly."""
-    return F.endswith(href, F.lit(suffix)) & F.contains(F.lower(href), F.lower(as_column(query)))
+def is_plain(pattern: Column) -> Column:
+    """True if a pattern has no regex syntax, so that it is a substring search."""
+    return ~F.rlike(pattern, F.lit(REGEX_META))
 
 
 def unrelated_topic(topic: Column) -> Column:

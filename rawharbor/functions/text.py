@@ -9,8 +9,12 @@ DEFAULT_TOPIC = "finance"
 SHEET_NAME_LIMIT = 31
 
 
+# The characters that count as blank in any script.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.regexp_replace(column, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def topic_slug(query: Column) -> Column:
@@ -57,7 +61,30 @@ def size_text(rows: Column, columns: Column) -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    return F.when(ratio.isNotNull(), F.format_string("%.2f%%", (ratio * 100).cast("double")))
+    """Two decimals of the exact binary value of ``ratio * 100``, ties to the even digit.
+
+    The fraction is split so that both parts times 100 are exact; whether their sum lies
+    above, on or below the middle between two hundredths is then exact too.
+    """
+    value = (ratio.cast("double") * 100).cast("double")
+    size = F.abs(value)
+    whole = F.floor(size)
+    part = size - whole
+    high = F.floor(part * (1 << 26)) / (1 << 26)
+    cents = F.floor(high * 100)
+    beyond = (high * 100 - cents - 0.5) + (part - high) * 100
+    up = (beyond > 0) | ((beyond == 0) & (cents % 2 == 1))
+    hundredths = whole * 100 + cents + up.cast("bigint")
+    digits = F.concat(
+        F.floor(hundredths / 100).cast("string"),
+        F.lit("."),
+        F.lpad((hundredths % 100).cast("string"), 2, "0"),
+    )
+    sign = F.when(value < 0, "-").otherwise("")
+    # From 1e14 on a double has no two decimals left.
+    plain = F.when(size < 1e14, F.concat(sign, digits, F.lit("%"))).otherwise(F.format_string("%.2f%%", value))
+    known = F.when(value.isNull(), None).when(F.isnan(value), "nan%")
+    return known.when(size == float("inf"), F.concat(sign, F.lit("inf%"))).otherwise(plain)
 
 
 def dataset_name(path: Column) -> Column:

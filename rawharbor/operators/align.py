@@ -5,15 +5,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rawharbor.functions.nulls import column
+from rawharbor.operators.joins import join_reduced
 
 
 def append_target(
     features: DataFrame, target: DataFrame, key: Sequence[str], columns: Sequence[str] | str
 ) -> DataFrame:
-    """Keep every feature row; existing columns of the target's names are replaced."""
+    """Keep every feature row; existing columns of the target's names are replaced.
+
+    A key may stand in the target only once; the query fails if one is repeated.
+    """
     added = [columns] if isinstance(columns, str) else list(columns)
     kept = features.drop(*[c for c in added if c not in key])
-    return kept.join(target.select(*key, *added), list(key), "left")
+    values = F.struct(*[column(c).alias(c) for c in added])
+    single = target.groupBy(*[column(k) for k in key]).agg(F.count("*").alias("_copies"), F.first(values).alias("_target"))
+    once = F.when(F.col("_copies") > 1, F.raise_error(F.lit(f"a key of {list(key)} is repeated in the target")))
+    checked = single.select(*[column(k) for k in key], once.otherwise(F.col("_target")).alias("_target"))
+    joined = join_reduced(kept, checked, list(key))
+    names = [c for c in kept.columns if c not in key]
+    return joined.select(*[column(k) for k in key], *[column(c) for c in names], *[F.col("_target")[c].alias(c) for c in added])
 
 
 def concat_target(features: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:

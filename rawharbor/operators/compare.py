@@ -11,10 +11,13 @@ from rawharbor.functions.text import topic_slug
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, with ``surplus`` = copies left - right.
+    Tables whose columns differ in name or type are an error, in whatever order they stand.
 
     Both directions come from one shuffle, and copies are summed before it, so a
     row that is repeated very often is moved once per task.
     """
+    if sorted(left.dtypes) != sorted(right.dtypes):
+        raise ValueError(f"columns differ: {sorted(set(left.dtypes) ^ set(right.dtypes))}")
     columns = [column(c) for c in left.columns]
     signed = left.withColumn("_sign", F.lit(1)).unionByName(right.select(*columns).withColumn("_sign", F.lit(-1)))
     return (

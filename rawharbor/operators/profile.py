@@ -18,7 +18,8 @@ COLUMNS_PER_PASS = 100
 # Spellings taken for each type; a suffix such as 1d or 1f is text, not a number.
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 FLOATING = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(?:inity)?\s*$"
-LONG_BIT, DOUBLE_BIT, BOOLEAN_BIT, TEXT_BIT = 1, 2, 4, 8
+LONG_BIT, DOUBLE_BIT, BOOLEAN_BIT, TEXT_BIT, LARGE_BIT = 1, 2, 4, 8, 16
+LARGE = "decimal(38,0)"
 BOOLEAN = r"^(?:true|True|TRUE|false|False|FALSE)$"
 
 
@@ -112,7 +113,8 @@ def _printed(df: DataFrame, name: str) -> Column:
 
 def infer_types(text: DataFrame) -> DataFrame:
     """``ordinal, column, type`` for a table of strings: the narrowest of bigint,
-    double and boolean that reads every present value, else string."""
+    decimal(38,0), double and boolean that reads every present value, else string.
+    Whole numbers beyond bigint are never read as doubles, which would lose digits."""
     return in_passes(text, text.columns, _type_pass)
 
 
@@ -125,6 +127,7 @@ def _type_pass(text: DataFrame, names: Sequence[str], first: int) -> DataFrame:
         found = F.col(f"_bits{i}")
         kind = (
             F.when(found == LONG_BIT, "bigint")
+            .when(found.isin(LARGE_BIT, LONG_BIT | LARGE_BIT), LARGE)
             .when(found.isin(DOUBLE_BIT, LONG_BIT | DOUBLE_BIT), "double")
             .when(found == BOOLEAN_BIT, "boolean")
             .otherwise("string")
@@ -137,6 +140,7 @@ def _type_bit(value: Column) -> Column:
     return (
         F.when(value.isNull(), F.lit(None).cast("int"))
         .when(F.rlike(value, F.lit(WHOLE)) & F.trim(value).try_cast("bigint").isNotNull(), LONG_BIT)
+        .when(F.rlike(value, F.lit(WHOLE)), F.when(F.trim(value).try_cast(LARGE).isNotNull(), LARGE_BIT).otherwise(TEXT_BIT))
         .when(F.rlike(value, F.lit(FLOATING)), DOUBLE_BIT)
         .when(F.rlike(value, F.lit(BOOLEAN)), BOOLEAN_BIT)
         .otherwise(TEXT_BIT)

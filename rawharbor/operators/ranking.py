@@ -7,6 +7,7 @@ combines inside every task before the shuffle, so a hot group stays cheap.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ EXPORT_CAP = 1_048_575
 TOP_K_ROWS = 1_000
 # Relative accuracy of the quantile sketch that narrows longer prefixes.
 SKETCH_ACCURACY = 10_000
+UNHASHED_TYPES = (T.MapType, T.VariantType)
 ORDERED_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -37,7 +39,8 @@ def largest_per(df: DataFrame, by: Sequence[str], size: str, tie: str, values: S
 
 
 def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = None) -> DataFrame:
-    """The first ``n`` rows in the order of ``keys``; 0 means all of them.
+    """The first ``n`` rows in the order of ``keys``, in that order; 0 means all of them,
+    as they are.
 
     A short prefix is a top-k. A longer one must not be merged in a single task:
     rows that cannot belong to it are filtered out by a quantile of the leading
@@ -53,10 +56,12 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = No
     # Ranks and partition sizes must come from one and the same partitioning, so
     # the placed rows are written before either is used.
     path = fresh_dir(df.sparkSession, "placed")
+    # Rows equal in all keys are spread by a hash, so a hot key is not one partition.
+    spread = [F.xxhash64(*[column(f.name) for f in df.schema if not isinstance(f.dataType, UNHASHED_TYPES)])]
     (
         _narrow(df, keys[0], n, df.count() if total is None else total)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .repartitionByRange(*order, *spread)
+        .sortWithinPartitions(*order, *spread)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumns(
             {"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
@@ -75,7 +80,7 @@ def head_rows(df: DataFrame, keys: Sequence[str], n: int, total: int | None = No
             kept = placed.where((F.col("_part") <= part) & ((F.col("_part") < part) | (F.col("_place") < left)))
             break
         left -= sizes[part]
-    return kept.drop("_part", "_place")
+    return kept.orderBy(*order).drop("_part", "_place")
 
 
 def _narrow(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
@@ -112,8 +117,34 @@ def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFra
     return rows.withColumn("truncated", F.lit(total > cap))
 
 
-def key_page(df: DataFrame, key: str, after: object | None, size: int) -> DataFrame:
+def key_page(
+    df: DataFrame, key: str | Sequence[str], after: object | Sequence[object] | None, size: int
+) -> DataFrame:
     """The next page after a key: a range filter that reaches the scan, in place
-    of an offset that reads and throws away everything before it."""
-    rows = df if after is None else df.where(column(key) > F.lit(after))
-    return head_rows(rows, [key], size)
+    of an offset that reads and throws away everything before it.
+
+    A key that is repeated must be followed by columns that tell its rows apart, and
+    ``after`` then holds a value for each (nulls come first). A page is checked: if its
+    last key goes on behind it, rows would be lost, so the query fails.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df
+    if after is not None:
+        values = list(after) if isinstance(after, (list, tuple)) else [after]
+        if len(values) != len(keys):
+            raise ValueError(f"{len(keys)} keys need as many values to start after")
+        beyond = F.lit(False)
+        for i in reversed(range(len(keys))):
+            value = F.lit(values[i])
+            later = column(keys[i]).isNotNull() if values[i] is None else column(keys[i]) > value
+            beyond = later | (column(keys[i]).eqNullSafe(value) & beyond)
+        # The leading comparison alone can be pushed into the scan.
+        first = F.lit(True) if values[0] is None else column(keys[0]) >= F.lit(values[0])
+        rows = df.where(first & beyond)
+    page = head_rows(rows, keys, size)
+    last = page.orderBy(*[column(k).desc_nulls_last() for k in keys]).select(*[column(k) for k in keys]).first()
+    if last is not None:
+        tie = reduce(lambda a, b: a & b, [column(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, last)])
+        if rows.where(tie).count() > page.where(tie).count():
+            raise ValueError(f"the key {keys} is repeated across a page: add columns that tell its rows apart")
+    return page

@@ -8,12 +8,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from rawharbor.functions.nulls import column
 from rawharbor.functions.text import raw_file_name
 from rawharbor.operators.quality import MAX_NULL_DENSITY, assess, null_counts
 from rawharbor.operators.ranking import TOP_K_ROWS, head_rows
 from rawharbor.plans.layout import dataset_dir, write_description, write_raw
 from rawharbor.session import fresh_dir
+from rawharbor.sources.delimited import typed_values
 from rawharbor.sources.registry import get_source
 
 
@@ -85,10 +88,14 @@ def _limited(rows: DataFrame, request: Request, columnar: bool) -> DataFrame:
         return rows if columnar else _stage(rows)
     if not request.order_by:
         raise ValueError("a row limit needs order_by: the rows of a table have no order of their own")
-    if request.row_limit <= TOP_K_ROWS:
-        return _stage(head_rows(rows, request.order_by, request.row_limit))
-    # A long prefix takes several passes over its key and is written by head_rows.
-    return head_rows(rows if columnar else _stage(rows), request.order_by, request.row_limit)
+    if not columnar and request.row_limit > TOP_K_ROWS:
+        rows = _stage(rows)  # a long prefix takes several passes over its key
+    # Text is put in the order of what it says: 9 comes before 10.
+    texts = [c for c in request.order_by if isinstance(rows.schema[c].dataType, StringType)]
+    values = typed_values(rows, texts) if texts else {}
+    keys = {f"_order{i}": values.get(c, column(c)) for i, c in enumerate(request.order_by)}
+    head = head_rows(rows.withColumns(keys), [*keys, *request.order_by], request.row_limit).drop(*keys)
+    return _stage(head) if request.row_limit <= TOP_K_ROWS else head
 
 
 def _stage(rows: DataFrame) -> DataFrame:

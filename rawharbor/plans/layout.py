@@ -8,8 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rawharbor.functions.text import host_key, topic_slug
+from rawharbor.functions.nulls import column
+from rawharbor.functions.text import float_text, host_key, topic_slug
 from rawharbor.operators.profile import data_dictionary, render_dictionary
 
 # Nothing about a value may change on its way to disk: quotes are doubled, outer
@@ -34,9 +36,19 @@ def dataset_dir(outdir: str, dir_name: str, topic: str, root: str = "datasets",
     return os.path.join(outdir, root, dir_name, file_format.upper(), slug)
 
 
+def printed(df: DataFrame) -> DataFrame:
+    """A double as the shortest text that reads back as it, without a needless exponent; one
+    that is no number is an empty field, as a missing one is."""
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
+    floats = [f.name for f in df.schema if isinstance(f.dataType, T.FloatType)]
+    shown = {c: F.when(~F.isnan(column(c)), float_text(column(c))) for c in doubles}
+    shown |= {c: F.when(~F.isnan(column(c)), column(c)) for c in floats}
+    return df.select(*[shown.get(c, column(c)).alias(c) for c in df.columns])
+
+
 def write_raw(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Overwrite a folder of raw CSV part files."""
-    writer = df.write.mode("overwrite").options(**RAW_CSV)
+    writer = printed(df).write.mode("overwrite").options(**RAW_CSV)
     if compression:
         writer = writer.option("compression", compression)
     writer.csv(path)
@@ -58,7 +70,7 @@ def write_raw_batch(df: DataFrame, outdir: str, source: str, topic: str, file_fo
         F.lit(file_format.upper()).alias("format"),
         topic_slug(F.col(topic)).alias("topic"),
     )
-    writer = shaped.hint("rebalance", *partitions).write.mode("overwrite").options(**RAW_CSV, **ONLY_OWN_FOLDERS)
+    writer = printed(shaped).hint("rebalance", *partitions).write.mode("overwrite").options(**RAW_CSV, **ONLY_OWN_FOLDERS)
     writer.partitionBy(*partitions).csv(outdir)
 
 

@@ -141,7 +141,21 @@ def na_tokens(spark, sf):
 def facts_flatten(spark, sf):
     documents = landing.land(landing.facts_documents(table(spark, sf, "events")), "facts")
     facts = payloads.flatten_facts(documents, "payload", ("user_id",))
-    return facts.withColumn("val", F.col("val").cast("double"))
+    return facts.withColumn("val", F.col("val").cast("double")).withColumn("fy", F.col("fy").cast("bigint"))
+
+
+def facts_literal(spark, sf):
+    """Years written as text, with a decimal point, as a number and not at all, and long
+    values: every digit is kept, zeros at the end of a fraction are not."""
+    events = table(spark, sf, "events")
+    year = F.year("ts").cast("string")
+    form = F.col("event_id") % 4
+    fy = F.when(form == 0, F.concat(F.lit(', "fy": "FY'), year, F.lit('"'))).when(form == 1, F.concat(F.lit(', "fy": '), year, F.lit(".0")))
+    fy = F.coalesce(fy, F.when(form == 2, F.concat(F.lit(', "fy": '), year)), F.lit(""))
+    digits = F.concat(F.lit("12345678901234567890"), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".50"))
+    document = F.concat(F.lit('{"facts": {"t": {"c": {"units": {"U": [{"val": '), digits, fy, F.lit("}]}}}}}"))
+    landed = landing.land(events.select("event_id", document.alias("payload")), "facts-literal")
+    return payloads.flatten_facts(landed, "payload", ("event_id",)).select("event_id", "val", "fy", "fp")
 
 
 def observations_flatten(spark, sf):
@@ -348,6 +362,18 @@ def capped_export(spark, sf):
     return ranking.capped(items, items.columns, 20_000)
 
 
+def key_pages_all(spark, sf):
+    """Every page of a table whose first key is repeated, put together again."""
+    items = table(spark, sf, "lineitem")
+    size, after, pages = max(1, -(-items.count() // 4)), None, None
+    while True:
+        page = ranking.key_page(items, items.columns, after, size)
+        last = page.orderBy(*[F.col(c).desc() for c in items.columns]).first()
+        if last is None:
+            return items.limit(0) if pages is None else pages
+        pages, after = page if pages is None else pages.unionByName(page), tuple(last)
+
+
 def key_page(spark, sf):
     return ranking.key_page(table(spark, sf, "orders"), "o_orderkey", 4_000, 750)
 
@@ -423,6 +449,20 @@ def export_sheet(spark, sf):
     return rows.withColumn("truncated", F.lit(truncated))
 
 
+def ingest_literal(spark, sf):
+    """Long ids, leading and trailing zeros come through a run as they are written."""
+    landed, out = fresh_dir(spark, "landed"), fresh_dir(spark, "ingested")
+    orders = table(spark, sf, "orders")
+    id_text = F.concat(F.lit("1234567890"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
+    rows = orders.select(
+        id_text.alias("id"),
+        F.concat(F.lit("00"), F.col("o_custkey").cast("string")).alias("code"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit(".500")).alias("price"),
+    )
+    write_raw(rows, landed)
+    return delimited.scan_csv(spark, ingest(spark, Request("airbnb", "Literal Orders", landed), out))
+
+
 def published_table(spark, sf):
     path = fresh_dir(spark, "published")
     name = f"published_{path.rsplit('-', 1)[1]}"
@@ -503,15 +543,15 @@ QUERIES = {
     for f in (
         data_dictionary, description_text, null_density_gate, gate_threshold_edges, passed_rows_only, batch_outcome,
         column_widths, column_widths_missing, infer_types, na_tokens,
-        facts_flatten, observations_flatten, observation_rejects, keyed_object_scan, id_index_lookup,
+        facts_flatten, facts_literal, observations_flatten, observation_rejects, keyed_object_scan, id_index_lookup,
         page_links, html_table_rows,
         catalog_best_match, catalog_match_bulk, first_link_match, link_match_bulk, known_sources, unknown_sources,
         largest_member, file_tree_largest, active_keys_history, append_target, outer_concat_target,
         topic_slug, safe_stem, host_key, dataset_name, sheet_name, slug_collisions, row_limit_parse, zero_padded_ids,
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
-        row_limited, row_limited_short, capped_export, key_page, raw_preservation_check,
+        row_limited, row_limited_short, capped_export, key_page, key_pages_all, raw_preservation_check,
         csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
-        ingest_run, export_sheet, published_table,
+        ingest_run, ingest_literal, export_sheet, published_table,
         chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )

@@ -245,6 +245,12 @@ SQL = {
         CAST(NULL AS VARCHAR) AS nothing FROM {EVENTS_TEXT}""",
     "raw_layout": """SELECT lower(source) AS source, 'CSV' AS format, 'topic_' || lang AS topic, CAST(count(*) AS BIGINT) AS rows,
         CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL""",
+    "ingest_literal": """SELECT '1234567890' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS id,
+        '00' || o_custkey AS code, o_custkey || '.500' AS price FROM orders""",
+    "key_pages_all": "SELECT * FROM lineitem",
+    "facts_literal": """SELECT event_id, '12345678901234567890' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS val,
+        CASE event_id % 4 WHEN 0 THEN 'FY' || year(ts) WHEN 1 THEN CAST(year(ts) AS VARCHAR) WHEN 2 THEN CAST(year(ts) AS VARCHAR) END AS fy,
+        CAST(NULL AS VARCHAR) AS fp FROM events""",
     "ingest_run": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 3000",
     "export_sheet": """SELECT *, (SELECT count(*) FROM customer) > 1200 AS truncated FROM customer
         ORDER BY c_custkey LIMIT 1200""",

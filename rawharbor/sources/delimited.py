@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,22 +99,30 @@ def scan_csv_splitting(
     return rows.select(parsed.alias("_row")).select("_row.*")
 
 
-def scan_csv_inferred(spark: SparkSession, path: str | list[str], stage: bool = False, **kwargs) -> DataFrame:
-    """Scan CSV, blank out the missing-value spellings, and type every column by
-    all of its values: one aggregate pass finds the types, the scan applies them.
-
-    With ``stage`` the text is parsed once, into a columnar copy on shared storage
-    that the type pass and everything after it read instead of the CSV.
-    """
+def scan_csv_literal(spark: SparkSession, path: str | list[str], stage: bool = False, **kwargs) -> DataFrame:
+    """Scan CSV as text, every value as it is written; the missing-value spellings are
+    blanked out. With ``stage`` the text is parsed once, into a columnar copy on shared
+    storage that everything after it reads instead of the CSV."""
     text = scan_csv(spark, path, **kwargs)
     clean = text.select(*[na_to_null(column(c)).alias(c) for c in text.columns])
-    if stage:
-        copy = fresh_dir(spark, "text")
-        clean.write.parquet(copy)
-        clean = spark.read.schema(clean.schema).parquet(copy)
-    found = {row["column"]: row["type"] for row in infer_types(clean).collect()}
-    typed = lambda c: F.trim(column(c)).cast(found[c]).alias(c)
-    return clean.select(*[column(c) if found[c] == "string" else typed(c) for c in clean.columns])
+    if not stage:
+        return clean
+    copy = fresh_dir(spark, "text")
+    clean.write.parquet(copy)
+    return spark.read.schema(clean.schema).parquet(copy)
+
+
+def typed_values(text: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """The text columns ``names`` read as the types that all of their values allow."""
+    found = {row["column"]: row["type"] for row in infer_types(text.select(*[column(c) for c in names])).collect()}
+    return {c: column(c) if found[c] == "string" else F.trim(column(c)).cast(found[c]) for c in names}
+
+
+def scan_csv_inferred(spark: SparkSession, path: str | list[str], stage: bool = False, **kwargs) -> DataFrame:
+    """Scan CSV as :func:`scan_csv_literal` does, and type every column by all of its
+    values: one aggregate pass finds the types, the scan applies them."""
+    clean = scan_csv_literal(spark, path, stage, **kwargs)
+    return clean.select(*[value.alias(c) for c, value in typed_values(clean, clean.columns).items()])
 
 
 def csv_schema(df: DataFrame) -> T.StructType:

@@ -16,8 +16,9 @@ LITERAL = "literal"
 
 
 def facts_schema(value_type: str) -> str:
-    value = "variant" if value_type == LITERAL else value_type
-    observation = f"struct<val:{value},fy:bigint,fp:string,form:string,filed:string,end:string>"
+    literal = value_type == LITERAL
+    kinds = {f: "variant" if literal else "string" for f in FACT_FIELDS} | ({} if literal else {"val": value_type, "fy": "bigint"})
+    observation = f"struct<{','.join(f'{f}:{k}' for f, k in kinds.items())}>"
     return f"facts map<string,map<string,struct<units:map<string,array<{observation}>>>>>"
 
 
@@ -37,8 +38,9 @@ def flatten_facts(
     """taxonomy -> concept -> unit -> observations, as one row per observation.
 
     Missing levels give no rows, missing observation fields give NULL and fields
-    that are not listed are dropped while parsing. Values are the exact text of the
-    number unless ``value_type`` names a type to read them as, such as ``double``.
+    that are not listed are dropped while parsing. All fields are the text of what is
+    written, of whatever kind, with all digits (zeros that end a fraction go), unless ``value_type`` names a type to read values
+    as, such as ``double``; ``fy`` is then a whole number.
     """
     # inline gives key and value columns of their own, so that each level passes on
     # the key and lets go of the value it was unfolded from.
@@ -49,8 +51,8 @@ def flatten_facts(
         *keep, "taxonomy", "concept", F.inline(last_wins(F.col("_body.units"))).alias("unit", "_observations")
     )
     rows = units.select(*keep, "taxonomy", "concept", "unit", F.inline("_observations"))
-    value = F.col("val").cast("string").alias("val") if value_type == LITERAL else F.col("val")
-    return rows.select(*keep, "taxonomy", "concept", "unit", value, *FACT_FIELDS[1:])
+    fields = [F.col(f).cast("string").alias(f) if value_type == LITERAL else F.col(f) for f in FACT_FIELDS]
+    return rows.select(*keep, "taxonomy", "concept", "unit", *fields)
 
 
 def parse_observations(documents: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -70,8 +72,10 @@ def reject_observations(documents: DataFrame, payload: str, keep: tuple[str, ...
 
 
 def keyed_objects(documents: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """An object of ``position -> {cik_str, ticker, title}`` as rows in document order."""
+    """An object of ``key -> {cik_str, ticker, title}`` as rows. ``ordinal`` is the key where
+    it is a whole number, else the place of the entry in its document."""
     index = F.from_json(payload, INDEX_SCHEMA)
     parsed = documents.select(*keep, index.alias("_index"))
-    entries = parsed.select(*keep, F.inline(last_wins(F.col("_index"))).alias("_key", "_entry"))
-    return entries.select(*keep, F.col("_key").cast("bigint").alias("ordinal"), "_entry.*")
+    entries = parsed.select(*keep, F.posexplode(last_wins(F.col("_index"))).alias("_place", "_pair"))
+    ordinal = F.coalesce(F.col("_pair.key").try_cast("bigint"), F.col("_place").cast("bigint"))
+    return entries.select(*keep, ordinal.alias("ordinal"), "_pair.value.*")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rawharbor.functions.text import fill_template
 from rawharbor.operators.align import append_target
 from rawharbor.session import small_table
-from rawharbor.sources.delimited import scan_csv_inferred
+from rawharbor.sources.delimited import scan_csv_literal
 from rawharbor.sources.members import csv_members
 from rawharbor.sources.payloads import flatten_facts, flatten_observations
 
@@ -39,12 +39,13 @@ def read_largest_member(spark: SparkSession, path: str, options: dict) -> DataFr
     first = csv_members(spark, path).orderBy(F.desc("size"), "path").select("path").first()
     if first is None:
         raise ValueError("no CSV files found")
-    return scan_csv_inferred(spark, first["path"], stage=True, **options)
+    return scan_csv_literal(spark, first["path"], stage=True, **options)
 
 
 def read_csv(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """CSV files, compressed or not, such as listings or a price history."""
-    return scan_csv_inferred(spark, path, stage=True, **options)
+    """CSV files, compressed or not, such as listings or a price history. Values stay the
+    text that they are, so that long ids, zeros and digits reach the raw file unchanged."""
+    return scan_csv_literal(spark, path, stage=True, **options)
 
 
 def read_with_target(spark: SparkSession, path: str, options: dict) -> DataFrame:

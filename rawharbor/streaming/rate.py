@@ -14,16 +14,19 @@ def rate_audit(
     limit: int,
     every: str = "1 second",
     by: Sequence[str] = (),
-    late: str = "1 minute",
+    late: str | None = None,
 ) -> DataFrame:
     """Windows holding more requests than the limit.
 
     Counts combine before the shuffle. On a stream the watermark bounds the state
-    to one counter per open window and drops what comes later than ``late``.
+    to one counter per open window and drops what comes later than ``late``, which must
+    therefore be said; Spark reports the number as ``numRowsDroppedByWatermark``.
     """
     kind = requests.schema[ts].dataType
     rows = requests
     if requests.isStreaming:
+        if late is None:
+            raise ValueError("a stream needs to be told how late rows may come")
         # A watermark needs an instant; the result is turned back into the given type.
         rows = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     counted = rows.groupBy(F.window(ts, every), *by).agg(F.count(F.lit(1)).alias("requests"))

@@ -139,6 +139,45 @@ def test_key_pages_cover_everything_once(spark):
     assert seen == list(range(0, 50, 3))
 
 
+def test_large_whole_numbers_keep_their_digits(spark):
+    rows = [("12345678901234567890", "1", "9" * 39, "12345678901234567890"), ("7", "2.5", "1", "2.5")]
+    kinds = {r["column"]: r["type"] for r in profile.infer_types(spark.createDataFrame(rows, "a string, b string, c string, d string")).collect()}
+    assert kinds == {"a": "decimal(38,0)", "b": "double", "c": "string", "d": "string"}
+
+
+def test_key_pages_of_a_repeated_key(spark):
+    rows = [(None if i % 7 == 0 else i % 4, i) for i in range(40)]
+    df, seen, after = spark.createDataFrame(rows, "k bigint, i bigint").repartition(3), [], None
+    while True:
+        page = [tuple(r) for r in ranking.key_page(df, ["k", "i"], after, 3).collect()]
+        if not page:
+            break
+        seen += page
+        after = page[-1]
+    assert seen == brute_rank(rows, 40)
+    with pytest.raises(ValueError, match="repeated"):
+        ranking.key_page(df, "k", None, 3)
+    with pytest.raises(ValueError, match="as many values"):
+        ranking.key_page(df, ["k", "i"], 1, 3)
+
+
+def test_prefix_is_in_order_and_ties_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TOP_K_ROWS", 10)
+    df = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") % 977).alias("v"))
+    seen = []
+    written = ranking.fresh_dir
+    monkeypatch.setattr(ranking, "fresh_dir", lambda s, label: seen.append(written(s, label)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert ranking.head_rows(df, ["k"], 15_000).count() == 15_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(seen[0]).groupBy("_part").count().collect()]
+    assert max(sizes) < 10_000
+    values = [r["v"] for r in ranking.head_rows(df, ["v"], 500).collect()]
+    assert values == sorted(values)
+
+
 def test_id_lookup(spark):
     index = spark.createDataFrame(
         [(2, "9", "aapl", "later"), (0, "320193", "AAPL", "Apple"), (1, "12345678901", "MSFT", "M"), (3, "5", None, "untagged")],
@@ -221,6 +260,8 @@ def test_align(spark):
     appended = align.append_target(features, target, ["k"], "y").orderBy("k")
     assert appended.columns == ["k", "x", "y"]
     assert [tuple(r) for r in appended.collect()] == [(1, "a", None), (2, "b", 7)]
+    with pytest.raises(Exception, match="repeated in the target"):
+        align.append_target(features, target.unionByName(target), ["k"], "y").collect()
     joined = align.concat_target(features, target, ["k"]).orderBy("k")
     assert joined.columns == ["k", "x", "y", "y_target"]
     assert [tuple(r) for r in joined.collect()] == [(1, "a", 0, None), (2, "b", 0, 7), (3, None, None, 8)]
@@ -231,6 +272,8 @@ def test_bag_difference(spark):
     right = spark.createDataFrame([("a", 1), (None, 2), ("c", 3), ("c", 3)], "s string, i int")
     assert {tuple(r) for r in compare.bag_difference(left, right).collect()} == {(1, "a", 1), (3, "c", -1)}
     assert compare.bag_difference(left, left).isEmpty()
+    with pytest.raises(ValueError, match="columns differ"):
+        compare.bag_difference(left, left.withColumn("more", F.lit(1)))
 
 
 def test_slug_collisions(spark):

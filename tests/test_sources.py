@@ -73,7 +73,7 @@ def test_gzip_by_suffix(spark, tmp_path):
     with gzip.open(tmp_path / "listings.csv.gz", "wt") as out:
         out.write('id,price\n1,"$1,200.00"\n2,$3\n')
     df = registry.get_source("airbnb").read(spark, str(tmp_path / "listings.csv.gz"), {})
-    assert {tuple(r) for r in df.collect()} == {(1, "$1,200.00"), (2, "$3")}
+    assert {tuple(r) for r in df.collect()} == {("1", "$1,200.00"), ("2", "$3")}
 
 
 def facts(spark, *documents, **kwargs):
@@ -98,7 +98,7 @@ def test_facts_levels_units_and_absent_fields(spark):
     assert df.columns == ["doc", "taxonomy", "concept", "unit", "val", "fy", "fp", "form", "filed", "end"]
     got = sorted(map(tuple, df.drop("doc").collect()), key=str)
     expected = [
-        ("us-gaap", "Revenue", "USD", "1000", 2020, "FY", "10-K", "f", "e"),
+        ("us-gaap", "Revenue", "USD", "1000", "2020", "FY", "10-K", "f", "e"),
         ("us-gaap", "Revenue", "EUR", "7", *[None] * 5),
         ("us-gaap", "Revenue", "EUR", None, *[None] * 5),
         ("dei", "Shares", "shares", "5.25", *[None] * 5),

@@ -65,6 +65,8 @@ def test_rate_audit_on_table_and_stream(spark, tmp_path, kind):
     # A later row moves the watermark past the flagged window.
     rows.limit(1).select((F.col("ts") + F.expr("interval 1 hour")).alias("ts"), "agent").write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.raises(ValueError, match="how late"):
+        rate_audit(stream, "ts", 10)
     query = (
         rate_audit(stream, "ts", 10, by=["agent"], late="2 hours").writeStream.outputMode("update").format("memory").queryName(f"rates_{kind}")
         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
