@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rawharbor.functions.nulls import column
-from rawharbor.session import fresh_dir
+from rawharbor.session import fresh_dir, small_table
 
 EXPORT_CAP = 1_048_575
 # Up to here a sort with a limit keeps n rows per task and merges them in one.
@@ -110,6 +110,25 @@ def _order_number(df: DataFrame, key: str) -> Column | None:
     return None
 
 
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place in the order of ``keys``, from 0. Each partition of a range
+    partitioning counts its own rows; one offset per partition comes to the driver."""
+    order = [column(k) for k in keys]
+    spread = F.xxhash64(*[column(f.name) for f in df.schema if not isinstance(f.dataType, UNHASHED_TYPES)])
+    path = fresh_dir(df.sparkSession, "numbered")
+    placed = df.repartitionByRange(*order, spread).sortWithinPartitions(*order, spread)
+    placed.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    part, place = F.shiftright(column(name), 33), column(name).bitwiseAND(F.lit((1 << 33) - 1))
+    starts, start = [], 0
+    for row in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((row["part"], start))
+        start += row["count"]
+    offsets = small_table(df.sparkSession, starts, "_part bigint, _start bigint")
+    joined = rows.withColumn("_part", part).join(offsets, "_part")
+    return joined.withColumn(name, F.col("_start") + place).drop("_part", "_start")
+
+
 def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFrame:
     """At most ``cap`` rows in key order, with a flag that says whether rows were left out."""
     total = df.count()

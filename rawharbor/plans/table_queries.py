@@ -11,7 +11,7 @@ from rawharbor.operators import align, compare, history, profile, quality, ranki
 from rawharbor.plans import landing
 from rawharbor.plans.ingest import Request, ingest
 from rawharbor.plans.layout import RAW_CSV_READ, write_raw, write_raw_batch
-from rawharbor.plans.publish import export, publish_table
+from rawharbor.plans.publish import export, export_sheets, publish_table
 from rawharbor.plans.requests import plan_requests
 from rawharbor.session import fresh_dir, small_table
 from rawharbor.sources import delimited, html, members, payloads
@@ -442,6 +442,13 @@ def ingest_run(spark, sf):
     return delimited.scan_csv(spark, ingest(spark, request, out), delimited.csv_schema(orders), **RAW_CSV_READ)
 
 
+def export_all_sheets(spark, sf):
+    items, path = table(spark, sf, "lineitem"), fresh_dir(spark, "sheets")
+    export_sheets(items, path, items.columns, 25_000)
+    schema = delimited.csv_schema(items).add("sheet", "long")
+    return delimited.scan_csv(spark, f"{path}/rows", schema, multiline=False, **RAW_CSV_READ)
+
+
 def export_sheet(spark, sf):
     customer, path = table(spark, sf, "customer"), fresh_dir(spark, "export")
     truncated = export(customer, path, ["c_custkey"], 1_200)
@@ -551,7 +558,7 @@ QUERIES = {
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
         row_limited, row_limited_short, capped_export, key_page, key_pages_all, raw_preservation_check,
         csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
-        ingest_run, ingest_literal, export_sheet, published_table,
+        ingest_run, ingest_literal, export_sheet, export_all_sheets, published_table,
         chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )

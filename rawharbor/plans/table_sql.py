@@ -245,6 +245,8 @@ SQL = {
         CAST(NULL AS VARCHAR) AS nothing FROM {EVENTS_TEXT}""",
     "raw_layout": """SELECT lower(source) AS source, 'CSV' AS format, 'topic_' || lang AS topic, CAST(count(*) AS BIGINT) AS rows,
         CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL""",
+    "export_all_sheets": """SELECT *, CAST((row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+        l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) // 25000 + 1 AS BIGINT) AS sheet FROM lineitem""",
     "ingest_literal": """SELECT '1234567890' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS id,
         '00' || o_custkey AS code, o_custkey || '.500' AS price FROM orders""",
     "key_pages_all": "SELECT * FROM lineitem",
