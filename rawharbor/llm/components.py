@@ -13,6 +13,15 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("least"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either has one edge to a lesser node or is such a node itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    counted = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return counted.filter("out > 1 OR (out > 0 AND into > 0)").limit(1).count() == 0
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, label`` for every node in a link ``a, b``: the least node it can reach.
 
@@ -24,8 +33,7 @@ def connected(links: DataFrame) -> DataFrame:
     edges = materialize(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"
     )
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _nearest(both).select("a", F.least("a", "least").alias("least"))
         large = (
@@ -36,9 +44,5 @@ def connected(links: DataFrame) -> DataFrame:
         pairs = small.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         own = _nearest(large).withColumnRenamed("least", "b")
         edges = materialize(pairs.unionByName(own).distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
-        if now == mark:
-            break
-        mark = now
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

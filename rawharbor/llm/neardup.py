@@ -9,10 +9,11 @@ concentration of independent ones. ``BANDS`` bands of coordinates are looked up;
 at similarity 0.75 miss each other in all bands with a chance below one in 100,000.
 
 Candidates are confirmed on the full sets. Sets that share a band are not all paired:
-in each round the hubs of a band are compared with its members of other components, then
-components are joined, until no two components of a band are left unpaired. A group
-of m near copies so costs about m comparisons, and no link between different components
-that share a band is left out.
+in each round a few hubs of a band are compared with its members of other components, then
+components are joined; the last round compares every pair of different components that
+is left in a band, so no link between them is left out. Hubs are those that meet the most
+others, as the original of a family of copies does, so a group of m near copies costs about
+m comparisons.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing;
 equal sets are one node, whatever their ids; a component's id is the least document id in
@@ -38,6 +39,8 @@ WORDS = 5
 BANDS, ROWS = 60, 6
 BINS = BANDS * ROWS
 PERCENT = 75
+HUBS = (8, 64, None)  # per band in the rounds after the first; None: every pair that is left
+FILTER_BITS = 1 << 23
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +110,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-NODE = "struct<n:bigint,key:binary,high:bigint,bands:array<bigint>>"
+NODE = "struct<n:bigint,key:binary,bands:array<bigint>>"
 
 
 def _nodes(texts: pa.Array) -> pa.Array:
@@ -121,10 +124,9 @@ def _nodes(texts: pa.Array) -> pa.Array:
     whole = np.stack(sums, axis=1).astype(">u8").tobytes()
     present = counts > 0
     key = pa.array([whole[16 * i : 16 * i + 16] if p else None for i, p in enumerate(present)], pa.binary())
-    high = pa.array(sums[0].view(np.int64), mask=~present)
     cuts = np.concatenate([[0], np.cumsum(np.where(present, keys.shape[1], 0))]).astype(np.int32)
     bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[present].ravel(), pa.int64()))
-    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), key, high, bands], names=["n", "key", "high", "bands"])
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), key, bands], names=["n", "key", "bands"])
 
 
 def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -143,41 +145,73 @@ def _text_key(text):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` of candidate pairs; ``texts`` has one text per node."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     check = F.arrow_udf(_linked, "boolean").asNondeterministic()
     both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", check("text_a", "text_b").alias("linked"))
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, hubs_per_band: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a hub and a member of another component in one of their bands, and all
-    that may be hubs.
-
-    Hubs are members outside the band's largest component, so that a band with one
-    large component and a stranger costs one comparison per member.
-    """
-    if labels is None:
-        labelled = members.withColumn("label", F.col("key"))
-    else:
-        labelled = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "label", F.coalesce("label", "key")
-        )
-    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("band").agg(
-        F.max(F.struct("size", "label"))["label"].alias("largest"), F.count("*").alias("components")
-    )
-    mixed_bands = join_reduced(labelled, largest.filter("components > 1"), ["band"], "inner")
-    place = F.row_number().over(Window.partitionBy("band").orderBy("high", "key"))
-    strangers = mixed_bands.filter(F.col("label") != F.col("largest"))
-    hubs = (
-        strangers.withColumn("place", place)
-        .filter(F.col("place") <= hubs_per_band)
-        .select("band", F.col("key").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+def _near(one: str, other: str):
+    """Sets whose sizes differ more cannot be similar enough."""
+    return (F.least(one, other) * 100) >= (F.greatest(one, other) * PERCENT)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _first_candidates(members: DataFrame) -> DataFrame:
+    """Pairs of every band's best-known member and its other members."""
+    hub = F.max(F.struct("known", "node", "n"))
+    hubs = members.groupBy("band").agg(hub.alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    return _pairs(join_reduced(members, hubs, ["band"], "inner").filter((F.col("node") != F.col("hub")) & _near("n", "hub_n")))
+
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the bands that hold more than one component, with their labels."""
+    labelled = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("top")).filter("low <> top")
+    return materialize(join_reduced(labelled, spread.select("band"), ["band"], "inner"), "neardup-open")
+
+
+def _candidates(members: DataFrame, hubs_per_band: int | None) -> DataFrame:
+    """Pairs of a band's best-known members, or of all, with its members of other components."""
+    hubs = members
+    if hubs_per_band is not None:
+        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("known"), F.desc("node")))
+        hubs = members.withColumn("place", place).filter(F.col("place") <= hubs_per_band)
+    hubs = hubs.select("band", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+    met = members.join(hubs, "band").filter((F.col("label") != F.col("hub_label")) & _near("n", "hub_n"))
+    return _pairs(met if hubs_per_band is not None else met.filter("node < hub"))
+
+
+def _asked_texts(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text per wanted node. A bit map of fixed size, built from hashes of the wanted
+    texts, keeps most others out of the shuffle; the join decides."""
+    slot = F.pmod("text_key", F.lit(FILTER_BITS))
+    maps = (
+        wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()
     )
-    near = (F.least("n", "hub_n") * 100) >= (F.greatest("n", "hub_n") * PERCENT)
-    met = mixed_bands.join(hubs, "band").filter((F.col("label") != F.col("hub_label")) & near)
-    return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), strangers
+    # Buckets are numbered from 1 and hold 32,768 bits each.
+    packed = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
+    for row in maps:
+        packed[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = narrow.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+    def asked(slots: pa.Array, buckets: pa.Array, bits: pa.Array) -> pa.Array:
+        table, at = np.frombuffer(shared.value, np.uint8).reshape(-1, 4096), np.asarray(bits)
+        return pa.array((table[np.asarray(buckets), at >> 3] >> (at & 7) & 1).astype(bool))
+
+    keyed = narrow.withColumn("text_key", _text_key(F.col("text")))
+    some = F.arrow_udf(asked, "boolean")(slot, F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot))
+    w, d = wanted.alias("w"), keyed.filter(some).alias("d")
+    met = d.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    # Equal ids and texts may stand on several rows.
+    return materialize(met.select("w.node", "d.text").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,55 +228,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         ),
         "neardup-rows",
     )
-    nodes = materialize(
-        rows.filter("n > 0")
-        .groupBy("key")
-        .agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"),
-            F.first("n").alias("n"),
-            F.first("high").alias("high"),
-            F.first("bands").alias("bands"),
-        ),
-        "neardup-nodes",
-    )
-    lookups = nodes.select(F.explode("bands").alias("band"), "key", "high", "n")
-    shared = lookups.groupBy("band").agg(F.min("high").alias("low"), F.max("high").alias("top")).filter("low <> top")
-    members = materialize(join_reduced(lookups, shared.select("band"), ["band"], "inner"), "neardup-bands")
-    wanted = members.select("key").distinct().join(nodes.select("key", "first"), "key").select(
-        "key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")
+    distinct = rows.filter("n > 0").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"),
+        F.first("n").alias("n"),
+        F.first("bands").alias("bands"),
     )
-    # Equal ids and texts may stand on several rows; one text per node is kept.
-    w, d = wanted.alias("w"), narrow.withColumn("text_key", _text_key(F.col("text"))).alias("d")
-    texts = materialize(
-        d.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-        .select("w.key", "d.text")
-        .groupBy("key")
-        .agg(F.first("text").alias("text")),
-        "neardup-texts",
-    )
-    labels, done, hubs = None, None, 1
-    while True:
-        pairs, strangers = _candidates(members, labels, hubs)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        answers = materialize(_confirmed(pairs, texts), "neardup-pairs")
-        new, linked = answers.agg(F.count("*"), F.count(F.when(F.col("linked"), 1))).first()
-        if not new:
-            most = strangers.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-            if hubs >= most:
-                break
-        done = answers if done is None else done.unionByName(answers)
-        if linked:
+    # Numbers are given once and written, so they stay; they are shorter than the keys.
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
+    lookups = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = materialize(lookups.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "neardup-shared")
+    met = materialize(lookups.join(shared, "band"), "neardup-met")
+    # The text that a family of copies was made from meets more of them than they meet
+    # each other. As a hub it links nearly all at once.
+    known = met.groupBy("node").agg(F.sum("size").alias("known")).join(nodes.select("node", "n", "first"), "node")
+    known = materialize(known, "neardup-known")
+    members = materialize(join_reduced(met.drop("size"), known.select("node", "known", "n"), ["node"], "inner"), "neardup-bands")
+    texts = _asked_texts(narrow, known.select("node", "first.doc_id", "first.text_key"))
+    done = materialize(_confirmed(_first_candidates(members), texts), "neardup-pairs")
+    labels = materialize(connected(done.filter("linked").select("a", "b")), "neardup-labels")
+    for hubs in HUBS:
+        members = _unresolved(members, labels)
+        if members.isEmpty():
+            break
+        new = _candidates(members, hubs).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        answers = materialize(_confirmed(new, texts), "neardup-pairs")
+        done = done.unionByName(answers)
+        if not answers.filter("linked").isEmpty():
             labels = materialize(connected(done.filter("linked").select("a", "b")), "neardup-labels")
-        hubs *= 4
-    named = nodes.select("key", "first")
-    if labels is None:
-        named = named.withColumn("label", F.col("key"))
-    else:
-        named = named.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = nodes.select("key", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
     named = join_reduced(named.select("key", "label"), heads, ["label"], "inner").select("key", "head")
-    joined = join_reduced(rows.drop("bands", "high"), named, ["key"], "left")
+    joined = join_reduced(rows.drop("bands"), named, ["key"], "left")
     alone = F.col("n") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
     chosen = alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
