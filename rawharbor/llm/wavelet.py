@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,11 +179,19 @@ class TextTokenizer:
 
     A byte-level tokenizer without normalizer starts a new piece at a blank before
     anything but white space, so texts may be cut there; others are encoded whole, as are
-    texts with other blanks or with the strings of added tokens.
+    texts with other blanks or with the strings of added tokens. Given the pattern that the
+    tokenizer splits by, the pieces of new segments go straight to the library's model,
+    which takes half the time.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, pattern: str | None = None):
         self.tokenizer = Tokenizer.from_str(content)
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(pattern).findall if pattern else None
+        # A byte that prints in Latin-1 stands for itself, the others for what follows 255.
+        plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
         rules = self.tokenizer.pre_tokenizer
         self.cuts = type(rules).__name__ == "ByteLevel" and not rules.add_prefix_space and self.tokenizer.normalizer is None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -194,6 +203,17 @@ class TextTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def segments(self, texts: list[str]) -> list[bytes]:
+        if self.pieces is None:
+            return self.library(texts)
+        tokenize, letters, found = self.model.tokenize, self.letters, []
+        for text in texts:
+            ids: list[int] = []
+            for piece in self.pieces(text):
+                ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+            found.append(array("I", ids).tobytes())
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > SEGMENTS:
             self.known, self.older = {}, self.known
@@ -214,7 +234,7 @@ class TextTokenizer:
                     else:
                         new[part] = None
         fresh = list(new)
-        known.update(zip(fresh, self.library(fresh)))
+        known.update(zip(fresh, self.segments(fresh)))
         return [
             self.library([text])[0] if parts is None else b"".join([known[p] for p in parts])
             for text, parts in zip(texts, split)
@@ -224,10 +244,10 @@ class TextTokenizer:
 _MADE: dict[bytes, TextTokenizer] = {}
 
 
-def _tokenizer(content: str) -> TextTokenizer:
-    key = hashlib.sha256(content.encode()).digest()
+def _tokenizer(content: str, pattern: str | None) -> TextTokenizer:
+    key = hashlib.sha256(f"{pattern}\n{content}".encode()).digest()
     if key not in _MADE:
-        _MADE[key] = TextTokenizer(content)
+        _MADE[key] = TextTokenizer(content, pattern)
     return _MADE[key]
 
 
@@ -247,8 +267,10 @@ def write_tokens(
     end_id: int,
     id_column: str = "doc_id",
     text: str = "text",
+    pattern: str | None = None,
 ) -> None:
-    """Encode whole texts, end each with ``end_id``, and write shards below ``path``."""
+    """Encode whole texts, end each with ``end_id``, and write shards below ``path``.
+    ``pattern`` may name the expression by which a byte-level tokenizer splits texts."""
     spark = docs.sparkSession
     prepare_python(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -258,7 +280,7 @@ def write_tokens(
     width = "<u2" if planes <= 16 else "<u4"
 
     def tokenize(texts: pa.Array) -> pa.Array:
-        found = _tokenizer(content.value).encode([t or "" for t in texts.to_pylist()])
+        found = _tokenizer(content.value, pattern).encode([t or "" for t in texts.to_pylist()])
         end = np.array([end_id], width).tobytes()
         return pa.array([np.frombuffer(f, "<u4").astype(width).tobytes() + end for f in found], pa.binary())
 

@@ -199,10 +199,10 @@ def test_shard_round_trip():
         wavelet.Shard(b"XXXX" + bytes(24))
 
 
-def check_tokens(spark, docs, shard_tokens, monkeypatch):
+def check_tokens(spark, docs, shard_tokens, monkeypatch, pattern=public_tokenizers.PATTERN):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", shard_tokens)
     path = fresh_dir(spark, "tokens")
-    wavelet.write_tokens(docs, path, TOKENIZER, 2)
+    wavelet.write_tokens(docs, path, TOKENIZER, 2, pattern=pattern)
     library = Tokenizer.from_file(TOKENIZER)
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     expected, start = [], 0
@@ -221,6 +221,7 @@ def test_token_files(spark, shard_tokens, monkeypatch):
 
 def test_token_files_of_odd_documents(spark, monkeypatch):
     check_tokens(spark, odd_documents(spark), 50, monkeypatch)
+    check_tokens(spark, odd_documents(spark), 50, monkeypatch, None)
     path = fresh_dir(spark, "tokens")
     wavelet.write_tokens(no_documents(spark), path, TOKENIZER, 2)
     assert wavelet.read_tokens(spark, path).count() == 0
