@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from rawharbor.llm.common import quoted
 from rawharbor.session import prepare_python
 
-STATES = 150_000  # kept states, pair answers and segments; they bound memory, not results
-PAIRS = 400_000
-SEGMENTS = 200_000  # in each of two generations
+STATES = 60_000  # kept states, pair answers and segments; they bound memory, not results
+PAIRS = 100_000
+GROWN = 15_000
+SEGMENTS = 80_000  # in each of two generations
 NEVER = 1 << 60
 
 Config = tuple[int, int, tuple[int, ...]]  # trie node, token before, tokens not yet written
@@ -107,6 +108,8 @@ class Transducer:
             return known
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
+        if len(self.grown) >= GROWN:
+            self.grown.clear()
         for t in (before, token):
             if t not in self.grown:
                 self.grown[t] = self.edges(t)
