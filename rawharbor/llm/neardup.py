@@ -12,8 +12,8 @@ Candidates are confirmed on the full sets. Sets that share a band are not all pa
 in each round a few hubs of a band are compared with its members of other components, then
 components are joined; the last round compares every pair of different components that
 is left in a band, so no link between them is left out. Hubs are those that meet the most
-others, as the original of a family of copies does, so a group of m near copies costs about
-m comparisons.
+others, as the original of a family of copies does: copies that a hub links cost one
+comparison each, a text that none links is compared with every member of its bands.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing;
 equal sets are one node, whatever their ids; a component's id is the least document id in
