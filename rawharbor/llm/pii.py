@@ -8,7 +8,10 @@ matches in time linear in the text, however long a run of digits or letters is.
 Base kinds (email, ip, card, phone) stay once their own check confirms them; their score
 only reports confidence. Kinds added by the method stay if their score reaches
 ``THRESHOLD``: an iban by its mod-97 remainder, ``ssn`` (three-two-four digits) and
-``local_phone`` (no country code) by context words in the 48 characters before.
+``local_phone`` (no country code) by context words.
+
+Context words are looked for in the ``CONTEXT`` code points before and after a span, in the
+text as it is, whatever else was found there. Words that the limit cuts do not count.
 
 Defined cases: a null text counts as empty; spans of one kind do not overlap, spans of
 different kinds may; equal rows give equal answers; other columns are kept, and one named
@@ -36,7 +39,7 @@ class Kind:
     pattern: str
     confirm: Callable[[Column], Column]
     score: float  # of a confirmed span without context
-    context: str  # words before the span that raise the score
+    context: str  # words around the span that raise the score
     base: bool
     hint: str | None = None  # no match without this character in the text
 
@@ -83,59 +86,84 @@ def always(found: Column) -> Column:
     return F.lit(True)
 
 
+def word(*forms: str) -> str:
+    """One of these words; digits, underscores and the like end a word, letters do not."""
+    return rf"(?<=\P{{L}})(?:{'|'.join(forms)})(?=\P{{L}})"
+
+
+PHONE_WORDS = (
+    r"\p{L}*phon(?:e|es|ed|ing)", "phonenumbers?", "call(?:s|ed|er|ers|ing|back)?", "tel(?:s|no|nr)?", "mobiles?", "fax(?:es|ed|ing)?",
+)
 EMAIL_CHAR = "[A-Za-z0-9._%+-]"
 KINDS = (
     Kind(
         "email",
         # A match may begin inside a run only where the match before it ended.
         rf"(?:\G|(?<!{EMAIL_CHAR})){EMAIL_CHAR}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        always, 0.9, r"\b(?:mail|e-mail|email|contact|write)\b", True, "@",
+        always, 0.9, word(r"\p{L}*mails?", "mailto", "contacts?", "writes?"), True, "@",
     ),
     Kind(
         "ip",
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        byte_parts, 0.6, r"\b(?:ip|host|server|address|from)\b", True, ".",
+        byte_parts, 0.6, word("ips?", r"\p{L}*hosts?", r"\p{L}*servers?", "addresse?s?", "from"), True, ".",
     ),
     Kind(
         "card",
         r"[0-9](?:[\x20-]?[0-9])++",
-        luhn, 0.7, r"\b(?:card|visa|mastercard|credit|debit|payment)\b", True,
+        luhn, 0.7, word(r"\p{L}*cards?", "visa", "credits?", "debits?", r"\p{L}*payments?"), True,
     ),
     Kind(
         "phone",
         r"\+[0-9][\x20().0-9-]+[0-9]",
-        lambda m: F.length(digits(m)).between(9, 15), 0.7, r"\b(?:phone|call|tel|mobile|fax)\b", True, "+",
+        lambda m: F.length(digits(m)).between(9, 15), 0.7, word(*PHONE_WORDS), True, "+",
     ),
     Kind(
         "iban",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-        mod97, 0.8, r"\b(?:iban|account|bank|konto|compte|cuenta)\b", False,
+        mod97, 0.8, word("ibans?", r"\p{L}*accounts?", r"\p{L}*banks?", r"\p{L}*konto", r"\p{L}*konten", "comptes?", "cuentas?"), False,
     ),
     Kind(
         "ssn",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-        lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.4, r"\b(?:ssn|social security|security number)\b", False, "-",
+        lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.4, word("ssns?", r"social[\s_-]*security", r"(?:social)?[\s_-]*security[\s_-]*(?:numbers?|nos?|nr)"), False, "-",
     ),
     Kind(
         "local_phone",
         r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-        always, 0.4, r"\b(?:phone|call|tel|mobile|fax|ring)\b", False,
+        always, 0.4, word(*PHONE_WORDS, "rings?"), False,
     ),
 )
 SPAN = "array<struct<start:bigint,kind_order:int,kind:string,end:bigint,score:double>>"
 
 
-def _span(kind: Kind, order: int, between: Column, ends: Column):
+SMALL = 256  # code points of a block, at least those of a stretch
+
+
+def _stretch(blocks: Column, start: Column, size: Column) -> Column:
+    two = F.array_join(F.slice(blocks, (F.shiftright(start, 8) + 1).cast("int"), 2), "")
+    return F.substring(two, (start.bitwiseAND(SMALL - 1) + 1).cast("int"), size.cast("int"))
+
+
+def _near(blocks: Column, start: Column, end: Column, context: str) -> Column:
+    """A context word stands before or after. One code point more than the limit is looked at,
+    which shows whether the limit cuts a word; beyond the ends of the text stand blanks."""
+    begin = F.greatest(start - CONTEXT - 1, F.lit(0))
+    before = F.lpad(_stretch(blocks, begin, F.least(start, F.lit(CONTEXT + 1))), CONTEXT + 1, " ")
+    after = F.rpad(_stretch(blocks, end, F.lit(CONTEXT + 1)), CONTEXT + 1, " ")
+    return F.concat(F.lower(before), F.lit(" ")).rlike(context) | F.concat(F.lit(" "), F.lower(after)).rlike(context)
+
+
+def _span(kind: Kind, order: int, ends: Column, blocks: Column):
     def span(found, i):
         end = F.element_at(ends, i + 1)
-        before = F.lower(F.substring(F.element_at(between, i + 1), -CONTEXT, CONTEXT))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
+        near = _near(blocks, end - F.length(found), end, kind.context)
+        score = F.when(near, F.lit(min(kind.score + CONTEXT_GAIN, 1.0))).otherwise(F.lit(kind.score))
         return F.struct(
             (end - F.length(found)).cast("bigint").alias("start"),
             F.lit(order).alias("kind_order"),
             F.lit(kind.name).alias("kind"),
             end.alias("end"),
-            F.when(kind.confirm(found), F.least(score, F.lit(1.0))).otherwise(F.lit(0.0)).alias("score"),
+            F.when(kind.confirm(found), score).otherwise(F.lit(0.0)).alias("score"),
         )
 
     return span
@@ -179,9 +207,12 @@ def with_spans(docs: DataFrame, out: str, text: str = "text", kinds: tuple[Kind,
         }
     )
     ends = [free_name(docs, f"_ends_{kind.name}") for kind in kinds]
-    for order, (kind, n, b, e) in enumerate(zip(kinds, names, between, ends)):
+    blocks = free_name(docs, "_blocks")
+    some = F.greatest(*[F.size(quoted(n)) for n in names]) > 0
+    rows = rows.withColumn(blocks, F.when(some, F.regexp_extract_all(t, F.lit(f"(?s).{{1,{SMALL}}}"), F.lit(0))))
+    for order, (kind, n, e) in enumerate(zip(kinds, names, ends)):
         keep = (lambda s: s["score"] > 0) if kind.base else (lambda s: s["score"] >= THRESHOLD)
-        scored = F.filter(F.transform(quoted(n), _span(kind, order, quoted(b), quoted(e))), keep)
+        scored = F.filter(F.transform(quoted(n), _span(kind, order, quoted(e), quoted(blocks))), keep)
         per_kind.append(F.when(F.size(quoted(n)) > 0, scored).otherwise(F.array().cast(SPAN)))
     spans = F.array_sort(F.flatten(F.array(*per_kind)))
     return rows.select(*[quoted(c) for c in docs.columns if c != out], spans.alias(out))

@@ -260,6 +260,34 @@ def test_method_adds_confirmed_spans(spark):
     assert kinds == {0: ["iban"], 1: [], 2: ["iban"], 3: ["ssn"], 4: [], 5: ["local_phone"], 6: []}
 
 
+def test_context_of_lists_and_after_spans(spark):
+    texts = {
+        "Call 555-123-4567 or 555-987-6543": 2,
+        "SSN 123-45-6789, 234-56-7890": 2,
+        "123-45-6789 is my SSN": 1,
+        "Phones: 555-123-4567": 1,
+        "Telephone 555-123-4567": 1,
+        "phone_number=555-123-4567": 1,
+        "é" * 4090 + " call 555-123-4567 " + "😀" * 4090 + "123-45-6789" + " " * 44 + "ssn": 2,
+        "call" + " " * 44 + "555-123-4567": 1,
+        "x call" + " " * 44 + "555-123-4567": 1,
+        "call" + " " * 45 + "555-123-4567": 0,
+        "555-123-4567" + " " * 44 + "call": 1,
+        "555-123-4567" + " " * 45 + "call": 0,
+        "555-123-4567" + " " * 44 + "ringed": 0,
+        "string" + " " * 44 + "555-123-4567": 0,
+        "Call 555-123-4000, 555-123-4001, 555-123-4002, 555-123-4003": 4,
+        "bring lot 555-123-4567 and 555-987-6543": 0,
+        "lots 555-123-4567" + " x" * 30 + " 555-987-6543 call": 1,
+        "555-123-4567": 0,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = pii.mask(pii.with_spans(docs, "spans").withColumn("n", F.size("spans")), "spans").collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == dict(enumerate(texts.values()))
+    masked = {r["doc_id"]: r["text"] for r in rows}
+    assert masked[0] == "Call [LOCAL_PHONE] or [LOCAL_PHONE]" and masked[2] == "[SSN] is my SSN"
+
+
 def test_spans_of_odd_documents(spark):
     found = pii.with_spans(odd_documents(spark), "_spans")
     assert sorted(found.columns) == sorted(odd_documents(spark).columns)
