@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawharbor.llm import bpe, brown, chat, licenses, mixing, multiindex, neardup, pii, quality, wavelet
+from rawharbor.llm import (
+    bpe,
+    brown,
+    chat,
+    langid,
+    licenses,
+    mixing,
+    multiindex,
+    neardup,
+    phrases,
+    pii,
+    quality,
+    wavelet,
+    whitening,
+)
 from rawharbor.llm.common import table
 from rawharbor.session import fresh_dir, small_table
 
@@ -97,6 +111,19 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.language_ids(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_personal_data": op2_personal_data,
@@ -108,4 +135,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_phrases": op12_phrases,
+    "op13_language_id": op13_language_id,
 }

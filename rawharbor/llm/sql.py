@@ -142,5 +142,54 @@ links AS (
     + r"""
 SELECT n.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = n.id) AS n_links, c.component_id, n.id = c.component_id AS kept
 FROM nodes n JOIN components c ON c.id = n.id
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+numbered AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM numbered),
+runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER (PARTITION BY piece ORDER BY pos) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY pos) AS w3
+  FROM words
+),
+counts AS (
+  SELECT lang, w1 AS p, 1 AS size, count(*) AS f, NULL AS head, NULL AS tail, NULL AS first, NULL AS last FROM runs GROUP BY ALL
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2, 2, count(*), w1, w2, w1, w2 FROM runs WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*), w1 || ' ' || w2, w2 || ' ' || w3, w1, w3 FROM runs WHERE w3 IS NOT NULL GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.p, c.size, c.a, k, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, 1 AS k, first AS left_part, tail AS right_part FROM candidates
+        UNION ALL SELECT *, 2, head, last FROM candidates WHERE size = 3) c
+  JOIN counts x ON x.lang = c.lang AND x.p = c.left_part
+  JOIN counts y ON y.lang = c.lang AND y.p = c.right_part
+),
+weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+),
+covered AS (
+  SELECT lang, part, max(a) AS longer
+  FROM (SELECT lang, a, unnest([head, tail]) AS part FROM candidates WHERE size = 3) GROUP BY lang, part
+),
+ranked AS (
+  SELECT w.*, w.p AS phrase FROM weakest w
+  LEFT JOIN covered c ON w.size = 2 AND c.lang = w.lang AND c.part = w.p
+  WHERE c.longer IS NULL OR 100 * c.longer < 50 * w.a
+)
+SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r.r, n, score
+FROM ranked r JOIN totals t ON t.lang = r.lang
+QUALIFY rank <= 2000
 """,
 }
