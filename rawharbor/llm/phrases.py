@@ -4,7 +4,7 @@
    block's distinct words, and per token its word, with a mark after each piece.
 2. *Fingerprints.* Prefix polynomials modulo two primes, over the bytes of words and then over
    the words, give every n-gram of a block a fingerprint in a few vector operations. Equal
-   ones of a block become one entry: fingerprint, count, and a pointer to one occurrence.
+   ones of a block become one entry: fingerprint, count, and a pointer (block and number).
 3. *Aggregate.* Entries are packed by range of fingerprint and shuffled; a range adds them up
    and returns the pointers of those whose sum reaches the least count. A hot n-gram is
    one entry per block, so no range is hot.
@@ -26,6 +26,7 @@ columns, whatever their names, are not read; ties in score and count go by the p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ LEAST = 10  # occurrences of a phrase
 INSIDE = 50  # percent of its occurrences that lie in one longer candidate
 BEST = 2_000  # rows per language
 UNKNOWN = "und"
+SPARE_BITS = 12  # of a fingerprint, beyond those that number the bytes of all texts
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 6 << 20  # text per range of fingerprints
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -136,14 +138,18 @@ def _unpack(words: bytes, codes: bytes) -> tuple[list[bytes], np.ndarray]:
 # --- fingerprints -----------------------------------------------------------------
 
 
+@lru_cache(maxsize=128)
+def _powers(base: int, size: int, prime: int) -> np.ndarray:
+    if size == 1:
+        return np.ones(1, np.int64)
+    half = powers(base, size // 2, prime)
+    return np.concatenate([half, half * pow(base, size // 2, prime) % prime])
+
+
 def powers(base: int, count: int, prime: int) -> np.ndarray:
     """base**i modulo the prime, by doubling."""
-    out, size = np.ones(max(count, 1), np.int64), 1
-    while size < count:
-        more = min(size, count - size)
-        out[size : size + more] = out[:more] * pow(base, size, prime) % prime
-        size += more
-    return out
+    size = 1 << max(count - 1, 0).bit_length()
+    return _powers(base, size, prime)[:count]
 
 
 class Prefixes:
@@ -153,7 +159,7 @@ class Prefixes:
     def __init__(self, values: np.ndarray, base: int, prime: int):
         self.prime = prime
         self.up = powers(base, len(values) + 1, prime)
-        weighed = values * powers(pow(base, -1, prime), len(values), prime)[: len(values)] % prime
+        weighed = values * powers(pow(base, -1, prime), len(values), prime) % prime
         self.sums = np.concatenate([[0], np.cumsum(weighed)])  # below 2**63 up to 2**32 values
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,46 +173,71 @@ def byte_values(words: list[bytes], base: int, prime: int) -> np.ndarray:
     return (prefixes.of(ends - lengths, ends) * base + lengths + 1) % prime
 
 
-def fingerprints(words: list[bytes], codes: np.ndarray, tags: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per length: where its n-grams start, and their fingerprints of 62 bits. ``tags`` is a
-    number per token that also counts, as the language does."""
+def fingerprints(
+    words: list[bytes], codes: np.ndarray, tags: np.ndarray, longest: int, bits: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length: where its n-grams start, and their fingerprints. ``tags`` is a number per
+    token that also counts, as the language does."""
     halves = []
     for base, prime in zip(BASES, PRIMES):
         values = np.append(byte_values(words, base, prime), 0)[codes]
         halves.append((Prefixes(values, base, prime), prime, base))
-    left = np.cumsum((codes == len(words))[::-1])[::-1]  # marks from here on
+    marks = np.concatenate([[0], np.cumsum(codes == len(words))])  # before each token
     for size in range(1, longest + 1):
         if len(codes) < size:
             return
-        starts = np.flatnonzero((left[: len(codes) - size + 1] == left[size - 1 :]) & (codes[: len(codes) - size + 1] < len(words)))
+        starts = np.flatnonzero(marks[size:] == marks[:-size])
         high, low = ((p.of(starts, starts + size) * base + tags[starts] + size) % prime for p, prime, base in halves)
-        yield size, starts, high << 31 | low
-
-
-def entries(words: list[bytes], codes: np.ndarray, tags: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, count and first place of each distinct n-gram, by fingerprint."""
-    out = []
-    for size, starts, prints in fingerprints(words, codes, tags, longest):
-        order = np.argsort(prints, kind="stable")
-        starts, prints = starts[order], prints[order]
-        new = np.ones(len(starts), bool)
-        new[1:] = prints[1:] != prints[:-1]
-
-        def unlike(a: np.ndarray, b: np.ndarray, size=size) -> np.ndarray:
-            other = tags[a] != tags[b]
-            for k in range(size):
-                other |= codes[a + k] != codes[b + k]
-            return other
-
-        if (unlike(starts[1:], starts[:-1]) & ~new[1:]).any():  # one fingerprint, other words
-            order = np.lexsort([*(codes[starts + k] for k in reversed(range(size))), tags[starts], prints])
-            starts, prints = starts[order], prints[order]
-            new[1:] = (prints[1:] != prints[:-1]) | unlike(starts[1:], starts[:-1])
-        at = np.flatnonzero(new)
-        out.append((prints[at], np.diff(np.append(at, len(starts))), starts[at] * (longest + 1) + size))
-    merged = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
-    order = np.argsort(merged[0], kind="stable")
-    return merged[0][order], merged[1][order], merged[2][order]
+        yield starts, (high << 31 | low) & ((1 << bits) - 1)
+
+
+def _order(prints: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the fingerprints in rising order; sorting plain numbers is much the fastest,
+    so a number holds fingerprint and place where it can."""
+    wide = len(prints).bit_length()
+    if bits + wide > 63:
+        return np.argsort(prints, kind="stable")
+    return np.sort(prints << wide | np.arange(len(prints))) & ((1 << wide) - 1)
+
+
+def entries(
+    words: list[bytes], codes: np.ndarray, tags: np.ndarray, longest: int, bits: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, count, place and length of each distinct n-gram, by fingerprint and then by
+    the n-gram, so that the same block always gives the same order."""
+    found = list(fingerprints(words, codes, tags, longest, bits))
+    if not found:
+        return (np.empty(0, np.int64),) * 4
+    starts = np.concatenate([s for s, _ in found])
+    sizes = np.repeat(np.arange(1, len(found) + 1, dtype=np.int8), [len(s) for s, _ in found])
+    prints = np.concatenate([p for _, p in found])
+    order, last = _order(prints, bits), len(codes) - 1
+
+    def columns(order: np.ndarray) -> Iterator[np.ndarray]:
+        """What makes n-grams equal: length, language, words."""
+        at, size = starts[order], sizes[order]
+        yield size
+        yield tags[at]
+        for k in range(longest):
+            yield np.where(size > k, codes[np.minimum(at + k, last)], -1)
+
+    def unlike(order: np.ndarray) -> np.ndarray:
+        """Whether an n-gram differs from the one before it in this order."""
+        out = np.zeros(max(len(order) - 1, 0), bool)
+        for column in columns(order):
+            out |= column[1:] != column[:-1]
+        return out
+
+    new = np.ones(len(prints), bool)
+    ordered, other = prints[order], unlike(order)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if torn := set(ordered[1:][other & ~new[1:]].tolist()):  # one fingerprint, other words
+        mixed = np.flatnonzero(np.isin(ordered, list(torn)))
+        rows = order[mixed]
+        order[mixed] = rows[np.lexsort([*reversed(list(columns(rows))), prints[rows]])]
+        new[1:] |= unlike(order)
+    at = np.flatnonzero(new)
+    return ordered[at], np.diff(np.append(at, len(prints))), starts[order[at]], sizes[order[at]]
 
 
 def _tags(spans: list[dict], tokens: int) -> np.ndarray:
@@ -216,95 +247,97 @@ def _tags(spans: list[dict], tokens: int) -> np.ndarray:
     return np.repeat(values, np.diff([*(s["start"] for s in spans), tokens])) if names else np.empty(0, np.int64)
 
 
-def _packed(longest: int, ranges: int):
-    """Rows ``part, block, content``: the entries of a block by range of fingerprint."""
+def _packed(longest: int, bits: int, ranges: int):
+    """Rows ``part, block, first, content``: the entries of a block by range of fingerprint.
+    An entry's pointer is its number among those of its block, and ``first`` the number of
+    the range's first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        width = -(-(1 << 62) // ranges)
+        width = -(-(1 << bits) // ranges)
         for batch in batches:
             for block, spans, words, codes in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words, codes = _unpack(words, codes)
-                prints, counts, places = entries(words, codes, _tags(spans, len(codes)), longest)
+                prints, counts, _, _ = entries(words, codes, _tags(spans, len(codes)), longest, bits)
                 parts = prints // width
-                cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else [0]
-                rows = []
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    steps = np.diff(prints[a:b], prepend=0)
-                    content = b"".join([_planes(steps), _planes(counts[a:b]), _planes(places[a:b])])
-                    rows.append((int(parts[a]), packer.compress(content)))
+                cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else np.zeros(1, np.int64)
+                contents = [
+                    packer.compress(_planes(np.diff(prints[a:b], prepend=0)) + _planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])
+                ]
                 yield pa.record_batch(
                     [
-                        pa.array([p for p, _ in rows], pa.int64()),
-                        pa.array([block] * len(rows), pa.int64()),
-                        pa.array([c for _, c in rows], pa.binary()),
+                        pa.array(parts[cuts[:-1]], pa.int64()),
+                        pa.array([block] * len(contents), pa.int64()),
+                        pa.array(cuts[:-1], pa.int64()),
+                        pa.array(contents, pa.binary()),
                     ],
-                    names=["part", "block", "content"],
+                    names=["part", "block", "first", "content"],
                 )
 
     return run
 
 
 def _frequent(least: int):
-    """Of one range: per block the places and counts of entries whose sum over all blocks
+    """Of one range: per block the pointers and counts of entries whose sum over all blocks
     reaches ``least``."""
 
     def run(rows: pa.Table) -> pa.Table:
         opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        prints, counts, places, sizes = [], [], [], []
+        prints, counts = [], []
         for content in rows["content"]:
-            columns = _unplanes_three(opener.decompress(content.as_py()))
-            prints.append(np.cumsum(columns[0]))
-            counts.append(columns[1].astype(np.int32) if columns[1].max() < 1 << 31 else columns[1])
-            places.append(columns[2])
-            sizes.append(len(columns[0]))
-        all_prints = np.concatenate(prints)
+            steps, n = _halves(opener.decompress(content.as_py()))
+            prints.append(np.cumsum(steps))
+            counts.append(n)
+        sizes = list(map(len, counts))
+        flat, order = np.concatenate(counts), np.argsort(np.concatenate(prints))
+        ordered = np.concatenate(prints)[order]
         prints.clear()
-        order = np.argsort(all_prints)
-        ordered = all_prints[order]
         new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        flat = np.concatenate(counts)
-        sums = np.add.reduceat(flat[order].astype(np.int64), new)
         good = np.zeros(len(order), bool)
-        good[order] = np.repeat(sums >= least, np.diff(np.append(new, len(order))))
+        good[order] = np.repeat(np.add.reduceat(flat[order], new) >= least, np.diff(np.append(new, len(order))))
         out, at = [], 0
-        for block, size, place, count in zip(rows["block"].to_pylist(), sizes, places, counts):
-            kept = good[at : at + size]
+        for block, first, size in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), sizes):
+            kept = np.flatnonzero(good[at : at + size])
+            if len(kept):
+                content = _planes(np.diff(kept + first, prepend=0)) + _planes(flat[at + kept])
+                out.append((block, packer.compress(content)))
             at += size
-            if kept.any():
-                by_place = np.argsort(place[kept])
-                steps = np.diff(place[kept][by_place], prepend=0)
-                out.append((block, packer.compress(_planes(steps) + _planes(count[kept][by_place].astype(np.int64)))))
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], names=["block", "content"])
 
     return run
 
 
-def _unplanes_three(content: bytes) -> list[np.ndarray]:
-    third = len(content) // 3
-    return [_unplanes(content[i * third : (i + 1) * third], np.int64) for i in range(3)]
+def _halves(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(content) // 2
+    return _unplanes(content[:half], np.int64), _unplanes(content[half:], np.int64)
 
 
-def _read(longest: int):
-    """The phrases of a block at the given places, and how often each stands in the block."""
+def _read(longest: int, bits: int):
+    """The phrases of a block that the pointers name, and how often each stands in the block."""
 
     def run(key: tuple, blocks: pa.Table, hits: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
         spans, (words, codes) = blocks["spans"][0].as_py(), _unpack(blocks["words"][0].as_py(), blocks["codes"][0].as_py())
-        parts = [opener.decompress(c.as_py()) for c in hits["content"]]
-        places = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unplanes(p[: len(p) // 2], np.int64)) for p in parts)])
-        counts = np.concatenate([np.empty(0, np.int64), *(_unplanes(p[len(p) // 2 :], np.int64) for p in parts)])
-        sizes, starts = places % (longest + 1), places // (longest + 1)
+        _, _, places, sizes = entries(words, codes, _tags(spans, len(codes)), longest, bits)
+        named, counts = zip(*(_halves(opener.decompress(c.as_py())) for c in hits["content"])) if hits.num_rows else ((), ())
+        pointers = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, named)])
+        counts = np.concatenate([np.empty(0, np.int64), *counts])
+        places, sizes = places[pointers], sizes[pointers]
         table = pa.array([*words, None], pa.binary())
+        names, begins = pa.array([s["lang"] for s in spans], pa.string()), [s["start"] for s in spans]
         out = []
         for size in range(1, longest + 1):
             chosen = sizes == size
-            first = starts[chosen]
+            first = places[chosen]
             columns = [table.take(pa.array(codes[first + k])) for k in range(size)]
-            texts = pc.binary_join_element_wise(*columns, b" ").cast(pa.string()) if size > 1 else columns[0].cast(pa.string())
-            lang = np.searchsorted([s["start"] for s in spans], first, side="right") - 1
-            names = pa.array([s["lang"] for s in spans], pa.string()).take(pa.array(lang))
-            out.append(pa.table([names, pa.array(np.full(len(first), size, np.int32)), texts, pa.array(counts[chosen])], names=["lang", "size", "phrase", "n"]))
+            texts = pc.binary_join_element_wise(*columns, b" ") if size > 1 else columns[0]
+            langs = names.take(pa.array(np.searchsorted(begins, first, side="right") - 1))
+            out.append(
+                pa.table(
+                    [langs, pa.array(np.full(len(first), size, np.int32)), texts.cast(pa.string()), pa.array(counts[chosen])],
+                    names=["lang", "size", "phrase", "n"],
+                )
+            )
         return pa.concat_tables(out)
 
     return run
@@ -321,10 +354,11 @@ def frequent_phrases(
     )
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_BYTES))
+    bits = min(total.bit_length() + SPARE_BITS, 62)  # texts decide, so more would only save needless pointers
     blocks = materialize(narrow.mapInArrow(_blocks, BLOCK_SCHEMA), "phrase-blocks")
-    packed = blocks.mapInArrow(_packed(longest, ranges), "part bigint, block bigint, content binary")
+    packed = blocks.mapInArrow(_packed(longest, bits, ranges), "part bigint, block bigint, first bigint, content binary")
     hits = packed.groupBy("part").applyInArrow(_frequent(least), "block bigint, content binary")
-    found = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_read(longest), "lang string, size int, phrase string, n bigint")
+    found = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_read(longest, bits), "lang string, size int, phrase string, n bigint")
     phrases = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     words = blocks.select(F.explode("spans").alias("s")).groupBy("s.lang").agg(F.sum("s.words").alias("n"))
     return materialize(phrases, "phrases"), words
