@@ -93,7 +93,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal number, waiting, size
         waiting.sort(key=lambda row: row[0])  # texts of a language stand together
-        words, codes, first = tokens([text for _, text in waiting])
+        words, codes, first = _by_frequency(*tokens([text for _, text in waiting]))
         langs = [lang for lang, _ in waiting]
         changes = [i for i, lang in enumerate(langs) if not i or lang != langs[i - 1]]
         bounds = [int(first[i]) - 1 if i else 0 for i in changes]  # the mark before a text belongs to it
@@ -116,6 +116,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _by_frequency(words: list[bytes], codes: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same tokens with the smallest numbers for the most frequent words, which pack best."""
+    order = np.argsort(-np.bincount(codes, minlength=len(words) + 1)[:-1], kind="stable")
+    renamed = np.full(len(words) + 1, len(words), np.int32)
+    renamed[order] = np.arange(len(words))
+    return [words[i] for i in order], renamed[codes], first
+
+
 BLOCK_SCHEMA = "block bigint, spans array<struct<lang:string,start:bigint,words:bigint>>, words binary, codes binary"
 
 
@@ -302,7 +310,8 @@ def _frequent(least: int):
                 content = _planes(np.diff(kept + first, prepend=0)) + _planes(flat[at + kept])
                 out.append((block, packer.compress(content)))
             at += size
-        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], names=["block", "content"])
+        part = pa.array([rows["part"][0].as_py()] * len(out), pa.int64())
+        return pa.table([part, pa.array([b for b, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], names=["part", "block", "content"])
 
     return run
 
@@ -313,32 +322,54 @@ def _halves(content: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(longest: int, bits: int):
-    """The phrases of a block that the pointers name, and how often each stands in the block."""
+    """The phrases of a block that the pointers name, by range: rows ``part, langs, texts, marks``.
+    ``marks`` holds the number of each phrase's language, then how often it stands in the block."""
 
     def run(key: tuple, blocks: pa.Table, hits: pa.Table) -> pa.Table:
-        opener = zstandard.ZstdDecompressor()
+        opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         spans, (words, codes) = blocks["spans"][0].as_py(), _unpack(blocks["words"][0].as_py(), blocks["codes"][0].as_py())
         _, _, places, sizes = entries(words, codes, _tags(spans, len(codes)), longest, bits)
-        named, counts = zip(*(_halves(opener.decompress(c.as_py())) for c in hits["content"])) if hits.num_rows else ((), ())
-        pointers = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, named)])
-        counts = np.concatenate([np.empty(0, np.int64), *counts])
-        places, sizes = places[pointers], sizes[pointers]
-        table = pa.array([*words, None], pa.binary())
-        names, begins = pa.array([s["lang"] for s in spans], pa.string()), [s["start"] for s in spans]
-        out = []
-        for size in range(1, longest + 1):
-            chosen = sizes == size
-            first = places[chosen]
-            columns = [table.take(pa.array(codes[first + k])) for k in range(size)]
-            texts = pc.binary_join_element_wise(*columns, b" ") if size > 1 else columns[0]
-            langs = names.take(pa.array(np.searchsorted(begins, first, side="right") - 1))
-            out.append(
-                pa.table(
-                    [langs, pa.array(np.full(len(first), size, np.int32)), texts.cast(pa.string()), pa.array(counts[chosen])],
-                    names=["lang", "size", "phrase", "n"],
-                )
-            )
-        return pa.concat_tables(out)
+        table, begins = pa.array([*words, b""], pa.binary()), np.array([s["start"] for s in spans])
+        texts, marks = [], []
+        for content in hits["content"]:
+            steps, counts = _halves(opener.decompress(content.as_py()))
+            pointers = np.cumsum(steps)
+            at, size = places[pointers], sizes[pointers]
+            # All words of these phrases in a row, with the blank or line break that follows.
+            row = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+            after = np.full(len(row), b" ")
+            after[np.cumsum(size) - 1] = b"\n"
+            joined = pc.binary_join_element_wise(table.take(pa.array(codes[row])), pa.array(after), b"")
+            texts.append(packer.compress(joined.buffers()[2].to_pybytes()[: np.asarray(pc.binary_length(joined)).sum()]))
+            lang = np.searchsorted(begins, at, side="right") - 1
+            marks.append(packer.compress(_planes(lang.astype(np.int64)) + _planes(counts)))
+        langs = pa.array([[s["lang"] for s in spans]] * hits.num_rows, pa.list_(pa.string()))
+        return pa.table([hits["part"], langs, pa.array(texts, pa.binary()), pa.array(marks, pa.binary())], names=["part", "langs", "texts", "marks"])
+
+    return run
+
+
+def _added(least: int):
+    """Of one range: the phrases that all blocks together have ``least`` times."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        opener = zstandard.ZstdDecompressor()
+        texts, langs, counts = [], [], []
+        for row in rows.to_batches():
+            for names, text, mark in zip(row.column("langs"), row.column("texts"), row.column("marks")):
+                lang, n = _halves(opener.decompress(mark.as_py()))
+                raw = np.frombuffer(opener.decompress(text.as_py()), np.uint8)
+                ends = np.flatnonzero(raw == ord("\n"))
+                cuts = np.concatenate([[0], ends + 1]).astype(np.int32)
+                texts.append(pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]))
+                langs.append(names.values.take(pa.array(lang)))
+                counts.append(n)
+        found = pa.table([pa.chunked_array(langs), pa.chunked_array(texts), pa.array(np.concatenate(counts))], names=["lang", "phrase", "n"])
+        sums = found.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+        phrase = pc.binary_replace_slice(sums["phrase"], -1, 2**31 - 1, b"").cast(pa.string())  # without the line break
+        size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+        return pa.table([sums["lang"], size, phrase, sums["n_sum"]], names=["lang", "size", "phrase", "n"])
 
     return run
 
@@ -357,9 +388,11 @@ def frequent_phrases(
     bits = min(total.bit_length() + SPARE_BITS, 62)  # texts decide, so more would only save needless pointers
     blocks = materialize(narrow.mapInArrow(_blocks, BLOCK_SCHEMA), "phrase-blocks")
     packed = blocks.mapInArrow(_packed(longest, bits, ranges), "part bigint, block bigint, first bigint, content binary")
-    hits = packed.groupBy("part").applyInArrow(_frequent(least), "block bigint, content binary")
-    found = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_read(longest, bits), "lang string, size int, phrase string, n bigint")
-    phrases = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    hits = packed.groupBy("part").applyInArrow(_frequent(least), "part bigint, block bigint, content binary")
+    read = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
+        _read(longest, bits), "part bigint, langs array<string>, texts binary, marks binary"
+    )
+    phrases = read.groupBy("part").applyInArrow(_added(least), "lang string, size int, phrase string, n bigint")
     words = blocks.select(F.explode("spans").alias("s")).groupBy("s.lang").agg(F.sum("s.words").alias("n"))
     return materialize(phrases, "phrases"), words
 
@@ -390,25 +423,29 @@ def collocations(
     def stretch(start, length):
         return F.array_join(F.slice("w", start, length), " ")
 
-    candidates = phrases.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), words.alias("w"))
+    candidates = phrases.filter("size > 1").select("lang", "size", F.col("n").alias("a"), words.alias("w"))
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "k", stretch(F.lit(1), F.col("k")).alias("first"), stretch(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest")
+        "lang", "a", "k", stretch(F.lit(1), F.col("k")).alias("first"), stretch(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest")
     )
     counts = phrases.select("lang", F.col("phrase").alias("part"), "n")
     cuts = join_reduced(cuts, counts.select("lang", F.col("part").alias("first"), F.col("n").alias("l")), ["lang", "first"], "inner")
     cuts = join_reduced(cuts, counts.select("lang", F.col("part").alias("rest"), F.col("n").alias("r")), ["lang", "rest"], "inner")
-    scored = cuts.select(
-        "lang", "phrase", "a", F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r").alias("cut")
-    )
-    weakest = scored.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))
+    cut = F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")
+    scored = cuts.select("lang", F.concat_ws(" ", "first", "rest").alias("phrase"), "a", cut.alias("cut"), F.lit(None).cast("bigint").alias("longer"))
     spans = F.explode(F.sequence(F.lit(2), F.col("size") - 1))
     longer = candidates.filter("size > 2").select("lang", "a", "w", "size", spans.alias("len"))
     longer = longer.select("lang", "a", "w", "len", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("len") + 1)).alias("at"))
-    covers = longer.select("lang", stretch(F.col("at"), F.col("len")).alias("phrase"), F.col("a").alias("longer"))
-    covers = covers.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = join_reduced(weakest, covers, ["lang", "phrase"], "left").filter(
-        F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside)
+    nothing = F.lit(None)
+    covers = longer.select(
+        "lang",
+        stretch(F.col("at"), F.col("len")).alias("phrase"),
+        nothing.cast("bigint").alias("a"),
+        nothing.cast(scored.schema["cut"].dataType).alias("cut"),
+        F.col("a").alias("longer"),
     )
+    # What covers a candidate is a candidate too, so all that it covers are here as well.
+    judged = scored.unionByName(covers).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min("cut").alias("cut"), F.max("longer").alias("longer"))
+    kept = judged.filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside))
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     top = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     return top.join(totals, "lang").select(

@@ -224,11 +224,15 @@ def test_phrases_that_share_fingerprints_in_the_whole_job(spark, monkeypatch):
         parts.append(pa.Table.from_batches(phrases._packed(3, 4, 3)(iter([block]))))
     packed = pa.concat_tables(parts)
     hits = pa.concat_tables([phrases._frequent(10)(packed.filter(pa.compute.equal(packed["part"], p))) for p in range(3)])
-    counts = Counter()
+    texts = []
     for block in made:
-        table = pa.Table.from_batches([block])
         own = hits.filter(pa.compute.equal(hits["block"], block.column(0)[0]))
-        for row in phrases._read(3, 4)((), table, own).to_pylist():
+        texts.append(phrases._read(3, 4)((), pa.Table.from_batches([block]), own))
+    texts = pa.concat_tables(texts)
+    counts = Counter()
+    for part in range(3):
+        for row in phrases._added(1)(texts.filter(pa.compute.equal(texts["part"], part))).to_pylist():
+            assert row["size"] == row["phrase"].count(" ") + 1
             counts[row["lang"], row["phrase"]] += row["n"]
     exact = Counter()
     for text, lang in docs:
