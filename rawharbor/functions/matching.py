@@ -16,10 +16,14 @@ def as_column(value: Column | str) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def flagged(pattern: Column | str) -> Column:
+    """The pattern with upper and lower case taken as alike."""
+    return F.concat(F.lit("(?iu)"), as_column(pattern))
+
+
 def regex_match(name: Column, pattern: Column | str) -> Column:
     """Case-insensitive regex search; a NULL name never matches."""
-    flagged = F.concat(F.lit("(?iu)"), as_column(pattern))
-    return F.coalesce(F.rlike(name, flagged), F.lit(False))
+    return F.coalesce(F.rlike(name, flagged(pattern)), F.lit(False))
 
 
 def simple_fold(letter: str) -> str:

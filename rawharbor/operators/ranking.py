@@ -6,7 +6,9 @@ combines inside every task before the shuffle, so a hot group stays cheap.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -110,23 +112,75 @@ def _order_number(df: DataFrame, key: str) -> Column | None:
     return None
 
 
-def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows with their place in the order of ``keys``, from 0. Each partition of a range
-    partitioning counts its own rows; one offset per partition comes to the driver."""
+@dataclass(frozen=True)
+class Ranked:
+    """Rows written once in the order of their keys, each part of them with its ranks.
+
+    ``starts`` holds the rank of the first row of each part: as many values as the range
+    partitioning had partitions.
+    """
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    place: str
+    parts: tuple[int, ...]
+    starts: tuple[int, ...]
+    total: int
+
+    def ranked(self, name: str) -> DataFrame:
+        """All rows with their rank, from 0."""
+        offsets = small_table(self.rows.sparkSession, list(zip(self.parts, self.starts)), "_part bigint, _start bigint")
+        part, at = F.shiftright(column(self.place), 33), column(self.place).bitwiseAND(F.lit((1 << 33) - 1))
+        joined = self.rows.withColumn("_part", part).join(offsets, "_part")
+        return joined.withColumn(name, F.col("_start") + at).drop("_part", "_start", *([] if name == self.place else [self.place]))
+
+    def between(self, first: int, end: int) -> DataFrame:
+        """The rows of ranks from ``first`` up to ``end``, in order: one range of a stored column,
+        which skips the files and row groups outside it."""
+        if first >= min(end, self.total):
+            return self.rows.drop(self.place).limit(0)
+        inside = column(self.place) >= self._id(first)
+        if end < self.total:
+            inside &= column(self.place) < self._id(end)
+        return self.rows.where(inside).orderBy(self.place).drop(self.place)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """A page of ``size`` rows, counted from 0."""
+        return self.between(number * size, (number + 1) * size)
+
+    def pages(self, size: int) -> DataFrame:
+        """``page``, the keys of its first row, and ``rows``: one row per page."""
+        rank = "_rank"
+        heads = self.ranked(rank).where(F.col(rank) % size == 0)
+        rows = F.least(F.lit(size), F.lit(self.total) - F.col(rank))
+        return heads.select(F.floor(F.col(rank) / size).alias("page"), *[column(k) for k in self.keys], rows.cast("bigint").alias("rows"))
+
+    def _id(self, rank: int) -> int:
+        at = bisect_right(self.starts, rank) - 1
+        return (self.parts[at] << 33) + rank - self.starts[at]
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], place: str = "_place") -> Ranked:
+    """Order rows by ``keys`` in one pass. Each partition of a range partitioning counts its
+    own rows; one number per partition comes to the driver. Rows equal in all keys are
+    spread by a hash, so a hot key is not one partition."""
     order = [column(k) for k in keys]
     spread = F.xxhash64(*[column(f.name) for f in df.schema if not isinstance(f.dataType, UNHASHED_TYPES)])
-    path = fresh_dir(df.sparkSession, "numbered")
+    path = fresh_dir(df.sparkSession, "ranked")
     placed = df.repartitionByRange(*order, spread).sortWithinPartitions(*order, spread)
-    placed.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    placed.withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
-    part, place = F.shiftright(column(name), 33), column(name).bitwiseAND(F.lit((1 << 33) - 1))
-    starts, start = [], 0
-    for row in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((row["part"], start))
-        start += row["count"]
-    offsets = small_table(df.sparkSession, starts, "_part bigint, _start bigint")
-    joined = rows.withColumn("_part", part).join(offsets, "_part")
-    return joined.withColumn(name, F.col("_start") + place).drop("_part", "_start")
+    parts, starts, total = [], [], 0
+    for row in rows.groupBy(F.shiftright(column(place), 33).alias("part")).count().orderBy("part").collect():
+        parts.append(row["part"])
+        starts.append(total)
+        total += row["count"]
+    return Ranked(rows, tuple(keys), place, tuple(parts), tuple(starts), total)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place in the order of ``keys``, from 0."""
+    return rank_rows(df, keys, name).ranked(name)
 
 
 def capped(df: DataFrame, keys: Sequence[str], cap: int = EXPORT_CAP) -> DataFrame:

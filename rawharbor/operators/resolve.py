@@ -11,11 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rawharbor.functions.matching import fold, is_plain, regex_match
+from rawharbor.functions.literals import is_pattern, needed
+from rawharbor.functions.matching import flagged, fold, is_plain, regex_match
 from rawharbor.functions.text import size_text, zero_pad
 from rawharbor.operators.joins import join_reduced
+from rawharbor.session import prepare_python
 
-# Up to here the distinct queries become constants of the scan.
+# Up to here the distinct link queries become constants of the scan.
 LITERAL_QUERIES = 64
 # Longest piece of a query that is used as a join key.
 ANCHOR_LENGTH = 8
@@ -39,17 +41,15 @@ def lookup_ids(requests: DataFrame, index: DataFrame) -> DataFrame:
 def best_catalog_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Regex query -> the matching dataset with the most instances, ties to the lowest did.
 
-    ``requests(query_id, query)``, ``catalog(did, name, instances, features)``.
+    ``requests(query_id, query)``, ``catalog(did, name, instances, features)``. A query that
+    is no valid pattern matches nothing; :func:`rejected_searches` tells which those are.
     """
-    queries = requests.select("query").distinct()
-    few = _few(queries)
-    if few is not None:
-        pairs = _literal_pairs(catalog, few, lambda q: regex_match(F.col("name"), q))
-    else:
-        # With many queries a name costs far more to match than to move, and what
-        # matches depends on the name alone: keep the best entry of each name.
-        named = catalog.where(F.col("name").isNotNull()).groupBy("name").agg(_best_entry("did", "instances", "features"))
-        pairs = _regex_pairs(queries.where(F.col("query").isNotNull()), named.select("name", "_best.*"))
+    prepare_python(requests.sparkSession)
+    queries = requests.select("query").distinct().where(_is_search(F.col("query")))
+    # A name costs far more to match than to move, and what matches depends on the name
+    # alone: keep the best entry of each name.
+    named = catalog.where(F.col("name").isNotNull()).groupBy("name").agg(_best_entry("did", "instances", "features"))
+    pairs = _regex_pairs(queries, named.select("name", "_best.*"))
     hits = pairs.groupBy("query").agg(_best_entry("did", "name", "instances", "features"))
     return join_reduced(requests, hits, ["query"]).select(
         "query_id",
@@ -60,6 +60,15 @@ def best_catalog_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def rejected_searches(requests: DataFrame) -> DataFrame:
+    """Requests whose query is not a valid pattern, so that it cannot be searched for."""
+    return requests.where(F.col("query").isNotNull() & ~_is_search(F.col("query")))
+
+
+def _is_search(query: Column) -> Column:
+    return F.coalesce(is_pattern(flagged(query)), F.lit(False))
+
+
 def _best_entry(*values: str) -> Column:
     # Struct order puts a missing size last under max.
     return F.max_by(F.struct(*values), F.struct("instances", -F.col("did"))).alias("_best")
@@ -112,20 +121,25 @@ def _literal_pairs(rows: DataFrame, queries: list[str], test) -> DataFrame:
 
 
 def _regex_pairs(queries: DataFrame, named: DataFrame) -> DataFrame:
-    plain = queries.where(is_plain(F.col("query")))
-    regexes = queries.where(~is_plain(F.col("query")))
-    return _contains_pairs(plain, fold(F.col("query")), named, fold(F.col("name"))).unionByName(
-        _chunked_regex_pairs(regexes, named)
-    )
+    """Matching pairs of valid patterns and names; a pair may come more than once.
+
+    A match contains one of the literals that its pattern needs, so names are found by
+    these literals and then tested. Only a pattern that needs none sees all names.
+    """
+    needs = queries.withColumn("_needs", needed(F.col("query")))
+    literal = needs.where(F.size("_needs") > 0).select("query", F.explode("_needs").alias("_literal"))
+    found = _contains_pairs(literal, fold(F.col("_literal")), named, fold(F.col("name")))
+    tested = found.where(is_plain(F.col("query")) | regex_match(F.col("name"), F.col("query")))
+    return tested.unionByName(_chunked_regex_pairs(needs.where(F.size("_needs") == 0).select("query"), named))
 
 
 def _contains_pairs(queries: DataFrame, needle: Column, rows: DataFrame, hay: Column) -> DataFrame:
     """Rows joined to the queries they contain, by equality instead of comparison of all pairs.
 
-    A query is keyed by one piece of itself, at most ANCHOR_LENGTH long and chosen
-    to be shared with as few other queries as possible; a row offers all its pieces
-    of the lengths in use. Every true match shares its query's key, so testing the
-    joined rows is exact.
+    An index counts the rows that hold each piece, of the lengths in use. A query is
+    keyed by its own piece, at most ANCHOR_LENGTH long, that the fewest rows hold; one
+    with a piece that no row holds has no match and is left out. Every true match holds
+    its query's key, so testing the joined rows is exact.
     """
     needles = queries.select("query", needle.alias("_needle"))
     length = F.least(F.length("_needle"), F.lit(ANCHOR_LENGTH))
@@ -137,14 +151,13 @@ def _contains_pairs(queries: DataFrame, needle: Column, rows: DataFrame, hay: Co
 
     own = F.coalesce(*[F.when(F.col("_length") == n, pieces(F.col("_needle"), n)) for n in lengths])
     offered = sized.select("query", "_needle", F.explode(own).alias("_anchor"))
-    shared = offered.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_shared"))
-    rarest = F.min_by("_anchor", F.struct("_shared", "_anchor"))
-    anchors = join_reduced(offered, shared, ["_anchor"], "inner").groupBy("query", "_needle").agg(rarest.alias("_anchor"))
-
     text = rows.withColumn("_hay", hay)
-    keyed = text.withColumn(
-        "_anchor", F.explode(F.array_distinct(F.concat(*[pieces(F.col("_hay"), n) for n in lengths])))
-    )
+    keys = F.explode(F.array_distinct(F.concat(*[pieces(F.col("_hay"), n) for n in lengths])))
+    index = text.select(keys.alias("_anchor")).groupBy("_anchor").agg(F.count(F.lit(1)).alias("_rows"))
+    held = join_reduced(offered, index, ["_anchor"]).withColumn("_rows", F.coalesce("_rows", F.lit(0)))
+    rarest = held.groupBy("query", "_needle").agg(F.min(F.struct("_rows", "_anchor")).alias("_key"))
+    anchors = rarest.where("_key._rows > 0").select("query", "_needle", F.col("_key._anchor").alias("_anchor"))
+    keyed = text.withColumn("_anchor", keys)
     return (
         keyed.join(anchors, "_anchor")
         .where(F.contains("_hay", "_needle"))
@@ -160,7 +173,7 @@ def pieces(text: Column, length: int) -> Column:
 
 
 def _chunked_regex_pairs(regexes: DataFrame, named: DataFrame) -> DataFrame:
-    """Arbitrary patterns must each see each name. Patterns are packed into chunks of
+    """Patterns without a literal of their own must each see each name. Patterns are packed into chunks of
     a steady size, so that a row is repeated per chunk and not per pattern, and the
     chunk number is an equi-join key that the adaptive planner can broadcast or split.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rawharbor.functions import text
 from rawharbor.functions.nulls import na_to_null
@@ -11,13 +12,13 @@ from rawharbor.operators import align, compare, history, profile, quality, ranki
 from rawharbor.plans import landing
 from rawharbor.plans.ingest import Request, ingest
 from rawharbor.plans.layout import RAW_CSV_READ, write_raw, write_raw_batch
-from rawharbor.plans.publish import export, export_sheets, publish_table
+from rawharbor.plans.publish import export, export_sheets, publish, publish_table
 from rawharbor.plans.requests import plan_requests
 from rawharbor.session import fresh_dir, small_table
 from rawharbor.sources import delimited, html, members, payloads
 from rawharbor.sources.registry import registry_table, source_url
 from rawharbor.streaming.landed import load_landed, read_accepted, read_verdicts
-from rawharbor.streaming.rate import rate_audit
+from rawharbor.streaming.rate import rate_audit, rolling_rate
 
 GATE = 0.6
 CATALOG_QUERIES = ("RING", "^old", "gear$", "", "b[lo]", "no such name", "(hot|cold) bolt", "plate")
@@ -212,9 +213,12 @@ def catalog_match_bulk(spark, sf):
     forms = F.array(
         F.upper(name), first, last, F.concat(F.lit("^"), first), F.concat(last, F.lit("$")),
         F.concat(F.lit("("), first, F.lit("|"), last, F.lit(")$")), F.concat(first, F.lit(".*"), last),
+        F.concat(F.lit("["), F.substring(first, 1, 2), F.lit("]+ "), last), F.concat(F.lit("("), first),
     )
-    queries = table(spark, sf, "part").select(name).distinct().select(F.explode(forms).alias("query"))
-    return resolve.best_catalog_match(with_ids(queries), part_catalog(spark, sf))
+    queries = with_ids(table(spark, sf, "part").select(name).distinct().select(F.explode(forms).alias("query")))
+    invalid = resolve.rejected_searches(queries).select("query_id", F.lit(True).alias("rejected"))
+    matched = resolve.best_catalog_match(queries, part_catalog(spark, sf))
+    return matched.join(invalid, "query_id", "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
 
 
 def first_link_match(spark, sf):
@@ -362,16 +366,24 @@ def capped_export(spark, sf):
     return ranking.capped(items, items.columns, 20_000)
 
 
+def ranked_items(spark, sf):
+    items = table(spark, sf, "lineitem")
+    return ranking.rank_rows(items, items.columns)
+
+
 def key_pages_all(spark, sf):
     """Every page of a table whose first key is repeated, put together again."""
-    items = table(spark, sf, "lineitem")
-    size, after, pages = max(1, -(-items.count() // 4)), None, None
-    while True:
-        page = ranking.key_page(items, items.columns, after, size)
-        last = page.orderBy(*[F.col(c).desc() for c in items.columns]).first()
-        if last is None:
-            return items.limit(0) if pages is None else pages
-        pages, after = page if pages is None else pages.unionByName(page), tuple(last)
+    ranked = ranked_items(spark, sf)
+    size = max(1, -(-ranked.total // 4))
+    return ranked.ranked("rank").withColumn("page", F.floor(F.col("rank") / size).cast("bigint"))
+
+
+def key_page_index(spark, sf):
+    return ranked_items(spark, sf).pages(1_000)
+
+
+def key_page_far(spark, sf):
+    return ranked_items(spark, sf).page(37, 1_000)
 
 
 def key_page(spark, sf):
@@ -408,6 +420,20 @@ def csv_splitting_scan(spark, sf):
     return delimited.scan_csv_splitting(spark, path, delimited.csv_schema(documents))
 
 
+def csv_stray_quotes(spark, sf):
+    """Files of quoted texts with line breaks beside values that hold quotes of their own."""
+    documents, path = table(spark, sf, "documents"), fresh_dir(spark, "stray")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    stray = F.concat(F.col("n_chars").cast("string"), F.lit('" wide'))
+    part = F.pmod("doc_id", F.lit(4)).cast("int")
+    record = F.concat_ws(",", F.col("doc_id").cast("string"), stray, quoted, F.concat("lang", F.lit('"a,"b"')))
+    rows = documents.select(part.alias("part"), F.lit(1).alias("place"), record.alias("value"))
+    heads = spark.range(4).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("place"), F.lit("doc_id,size,text,mark,more").alias("value"))
+    files = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "place").drop("place")
+    files.write.partitionBy("part").text(path)
+    return delimited.scan_csv_splitting(spark, path, T.StructType.fromDDL("doc_id bigint, size string, text string, mark string, more string"))
+
+
 def csv_roundtrip_diff(spark, sf):
     events = table(spark, sf, "events")
     return compare.bag_difference(events, written_and_read(spark, events, "roundtrip-diff"))
@@ -477,6 +503,16 @@ def published_table(spark, sf):
     return spark.table(name)
 
 
+def publish_run(spark, sf):
+    """From a raw file to a table of typed columns and its sheets, read back from both."""
+    path, out = fresh_dir(spark, "publish"), fresh_dir(spark, "published")
+    part = table(spark, sf, "part")
+    write_raw(part, path)
+    done = publish(spark, path, ["p_partkey"], f"published_{path.rsplit('-', 1)[1]}", out)
+    sheets = delimited.scan_csv(spark, f"{done['export']}/rows", delimited.csv_schema(part).add("sheet", "long"), multiline=False)
+    return spark.table(done["table"]).join(sheets.select("p_partkey", "sheet", F.col("p_name").alias("exported")), "p_partkey")
+
+
 def loaded_chunks(spark, sf):
     source, target = fresh_dir(spark, "chunks"), fresh_dir(spark, "loaded")
     events = table(spark, sf, "events")
@@ -505,6 +541,14 @@ def rate_audit_by_key(spark, sf):
     return rate_audit(table(spark, sf, "events"), "ts", 1, "1 minute", ["event_type"])
 
 
+def rolling_rate_all(spark, sf):
+    return rolling_rate(table(spark, sf, "events"), "ts", 4, 600_000_000)
+
+
+def rolling_rate_by_key(spark, sf):
+    return rolling_rate(table(spark, sf, "events"), "ts", 1, 60_000_000, ["event_type"])
+
+
 # --- requests --------------------------------------------------------------------------------
 
 
@@ -556,10 +600,10 @@ QUERIES = {
         largest_member, file_tree_largest, active_keys_history, append_target, outer_concat_target,
         topic_slug, safe_stem, host_key, dataset_name, sheet_name, slug_collisions, row_limit_parse, zero_padded_ids,
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
-        row_limited, row_limited_short, capped_export, key_page, key_pages_all, raw_preservation_check,
-        csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
-        ingest_run, ingest_literal, export_sheet, export_all_sheets, published_table,
-        chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key,
+        row_limited, row_limited_short, capped_export, key_page, key_pages_all, key_page_index, key_page_far, raw_preservation_check,
+        csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_stray_quotes, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
+        ingest_run, ingest_literal, export_sheet, export_all_sheets, published_table, publish_run,
+        chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key, rolling_rate_all, rolling_rate_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )
 }

@@ -93,9 +93,12 @@ def link_match(requests: str) -> str:
 
 
 BULK_CATALOG = r"""(SELECT DISTINCT query AS query_id, query FROM (SELECT unnest([upper(n), f, l, '^' || f, l || '$',
-    '(' || f || '|' || l || ')$', f || '.*' || l]) AS query
+    '(' || f || '|' || l || ')$', f || '.*' || l, '[' || left(f, 2) || ']+ ' || l]) AS query
   FROM (SELECT DISTINCT p_name AS n, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', -1) AS l FROM part)))"""
 
+# An opened bracket is no pattern.
+BROKEN_CATALOG = "(SELECT DISTINCT '(' || split_part(p_name, ' ', 1) AS query FROM part)"
+
 BULK_LINKS = """(SELECT DISTINCT query AS query_id, query FROM (
   SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS query FROM benchmark) WHERE length(query) > 1)"""
 
@@ -182,7 +185,8 @@ SQL = {
     "html_table_rows": """SELECT CAST(p_partkey // 1024 AS BIGINT) AS block, p_partkey, p_name,
         CASE WHEN p_size > 10 THEN p_brand END AS brand FROM part""",
     "catalog_best_match": best_match(numbered(CATALOG_QUERIES)),
-    "catalog_match_bulk": best_match(BULK_CATALOG),
+    "catalog_match_bulk": f"""SELECT *, false AS rejected FROM ({best_match(BULK_CATALOG)})
+        UNION ALL SELECT query, query, NULL, NULL, NULL, true FROM {BROKEN_CATALOG}""",
     "first_link_match": link_match(numbered(LINK_QUERIES)),
     "link_match_bulk": link_match(BULK_LINKS),
     "known_sources": f"""SELECT request_id, source, dir_name, url_template FROM (
@@ -238,6 +242,7 @@ SQL = {
     "csv_roundtrip": "SELECT * FROM events",
     "csv_text_roundtrip": "SELECT * FROM documents",
     "csv_splitting_scan": "SELECT * FROM documents",
+    "csv_stray_quotes": """SELECT doc_id, n_chars || '" wide' AS size, text, lang || '"a' AS mark, 'b' AS more FROM documents""",
     "csv_roundtrip_diff": "SELECT *, CAST(1 AS BIGINT) AS surplus FROM events WHERE event_id IS NULL",
     "gzip_csv_scan": "SELECT * FROM orders",
     "csv_inferred_scan": f"""SELECT TRY_CAST(event_id AS BIGINT) AS event_id, ts, TRY_CAST(value AS DOUBLE) AS value,
@@ -249,7 +254,11 @@ SQL = {
         l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) // 25000 + 1 AS BIGINT) AS sheet FROM lineitem""",
     "ingest_literal": """SELECT '1234567890' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS id,
         '00' || o_custkey AS code, o_custkey || '.500' AS price FROM orders""",
-    "key_pages_all": "SELECT * FROM lineitem",
+    "key_pages_all": f"""SELECT *, rank // ((SELECT count(*) + 3 FROM lineitem) // 4) AS page
+        FROM (SELECT *, row_number() OVER (ORDER BY {ITEM_COLUMNS}) - 1 AS rank FROM lineitem)""",
+    "key_page_index": f"""SELECT rank // 1000 AS page, {ITEM_COLUMNS}, least(1000, (SELECT count(*) FROM lineitem) - rank) AS rows
+        FROM (SELECT *, row_number() OVER (ORDER BY {ITEM_COLUMNS}) - 1 AS rank FROM lineitem) WHERE rank % 1000 = 0""",
+    "key_page_far": f"SELECT * FROM lineitem ORDER BY {ITEM_COLUMNS} LIMIT 1000 OFFSET 37000",
     "facts_literal": """SELECT event_id, '12345678901234567890' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS val,
         CASE event_id % 4 WHEN 0 THEN 'FY' || year(ts) WHEN 1 THEN CAST(year(ts) AS VARCHAR) WHEN 2 THEN CAST(year(ts) AS VARCHAR) END AS fy,
         CAST(NULL AS VARCHAR) AS fp FROM events""",
@@ -257,12 +266,18 @@ SQL = {
     "export_sheet": """SELECT *, (SELECT count(*) FROM customer) > 1200 AS truncated FROM customer
         ORDER BY c_custkey LIMIT 1200""",
     "published_table": "SELECT * FROM part",
+    "publish_run": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice,
+        CAST(1 AS BIGINT) AS sheet, p_name AS exported FROM part""",
     "chunked_table_load": "SELECT * FROM events",
     "chunk_verdicts": "SELECT 'passed' AS status, CAST(count(*) AS BIGINT) AS rows, CAST(3 AS BIGINT) AS batches FROM events",
     "rate_audit_hourly": """SELECT date_trunc('hour', ts) AS window_start, CAST(count(*) AS BIGINT) AS requests FROM events
         GROUP BY 1 HAVING count(*) > 17""",
     "rate_audit_by_key": """SELECT date_trunc('minute', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS requests FROM events
         GROUP BY 1, 2 HAVING count(*) > 1""",
+    "rolling_rate_all": """SELECT DISTINCT ts, requests FROM (SELECT ts, count(*) OVER (ORDER BY ts
+        RANGE BETWEEN INTERVAL 599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS requests FROM events) WHERE requests > 4""",
+    "rolling_rate_by_key": """SELECT DISTINCT ts, event_type, requests FROM (SELECT ts, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts
+        RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS requests FROM events) WHERE requests > 1""",
     "request_plan": f"""SELECT request_id, position, source, topic, warned,
         CASE WHEN dir_name IS NULL THEN 'unknown source' ELSE 'planned' END AS status, dir_name AS folder,
         {SLUG.format('topic')} AS slug, {STEM.format('topic')} AS file_name

@@ -39,41 +39,117 @@ def scan_csv(
     return rows.repartition(partitions) if partitions else rows
 
 
+# Where a scan stands between two characters of a line: before a field, in a field without
+# quotes, in a quoted field, behind a quote that may close it, and behind blanks after that.
+FIELD, PLAIN, QUOTED, CLOSED, BLANK = range(5)
+
+
+def _past_text(state: Column, text: Column, delimiter: str) -> Column:
+    """The state after characters that are no quotes."""
+    ends_field = F.endswith(text, F.lit(delimiter))
+    open_text = F.when(ends_field, F.lit(FIELD)).otherwise(F.lit(PLAIN))
+    return (
+        F.when((text == "") | (state == QUOTED), state)
+        .when((state == CLOSED) & ~ends_field & ~F.rlike(text, F.lit(r"[^\x00-\x20]")), F.lit(BLANK))
+        .otherwise(open_text)
+    )
+
+
+def _past_quote(state: Column) -> Column:
+    """A quote opens a value only where a field begins; two in a value stand for one."""
+    return (
+        F.when((state == FIELD) | (state == CLOSED), F.lit(QUOTED))
+        .when(state == QUOTED, F.lit(CLOSED))
+        .otherwise(F.lit(PLAIN))
+    )
+
+
+def _line_end(line: Column, begin: int, delimiter: str) -> Column:
+    """1 if a line that begins in this state ends inside a quoted value."""
+    parts = F.split(line, '"', -1)
+    end = F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        _past_text(F.lit(begin), parts[0], delimiter),
+        lambda state, text: _past_text(_past_quote(state), text, delimiter),
+    )
+    unquoted = F.lit(int(begin == QUOTED))
+    return F.when(F.contains(line, F.lit('"')), (end == QUOTED).cast("int")).otherwise(unquoted)
+
+
+def _composed(rows: DataFrame, by: list[str], order: str, outside: str, inside: str, start: Column) -> DataFrame:
+    """Rows, each a function from "inside a value?" to "inside a value?", given by its two
+    results; adds what holds before each row (``_inside``) when ``start`` does at first, and
+    ``_turns`` and ``_known``, which describe all rows up to it as one function.
+
+    Such a function keeps its argument, turns it round, or forgets it. What holds is
+    therefore the last result of one that forgot, turned as often as rows did since then.
+    """
+    upto = Window.partitionBy(*by).orderBy(order)
+    turns = F.sum(((F.col(outside) == 1) & (F.col(inside) == 0)).cast("bigint"))
+    counted = rows.withColumn("_turns", turns.over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    forgot = F.when(F.col(outside) == F.col(inside), (F.col(outside) + F.col("_turns")) % 2)
+    known = counted.withColumn("_forgot", forgot)
+    known = known.withColumn("_before", F.last("_forgot", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    turned = F.col("_turns") - ((F.col(outside) == 1) & (F.col(inside) == 0)).cast("bigint")
+    return known.withColumns(
+        {
+            "_inside": (F.coalesce("_before", start) + turned) % 2 == 1,
+            "_known": F.coalesce("_forgot", "_before"),
+        }
+    ).drop("_forgot", "_before")
+
+
 def scan_csv_splitting(
     spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, **options: str
 ) -> DataFrame:
-    """Scan plain CSV files whose quoted values hold line breaks, each by many tasks.
-
-    For files in which every quote is part of a quoted value (as the raw sink and
-    most writers produce), this reads what :func:`scan_csv` reads in one task. The
-    line scan splits files at any byte. A line is inside a value if the number of
-    quotes before it is odd, so quotes are summed per split, the sums (one row per
-    split) are accumulated per file, and only the lines of broken records are
-    moved together again. No group is larger than a split or a record. Line breaks
-    inside values stay as they are, whereas the plain scan of a file with CRLF line
-    ends reads them as LF.
+    """Scan CSV files whose quoted values may hold line breaks, each by many tasks.
+
+    Reads what :func:`scan_csv` reads in one task, stray quotes included. The line scan
+    splits files at any byte, so a task cannot know whether its first line begins inside a
+    value. Each line is therefore a function from one answer to the other; the lines of a
+    split make one function, those of a file's splits (one row each) are composed in order,
+    and only the lines of broken records are moved together again. No group is larger than a
+    split or a record. A file that ends inside a value is an error, as all lines since its
+    last opening quote would be one value. Line breaks inside values stay as they are,
+    whereas the plain scan of a file with CRLF line ends reads them as LF.
     """
+    if {"quote", "escape", "lineSep"} & set(options):
+        raise ValueError("quotes are doubled and lines end in LF or CRLF")
+    delimiter = options.get("sep", options.get("delimiter", ","))
     fields = schema or scan_csv(spark, path, **options).schema
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
-        quotes.alias("_quotes"),
+        _line_end(F.col("value"), FIELD, delimiter).alias("_if_outside"),
+        _line_end(F.col("value"), QUOTED, delimiter).alias("_if_inside"),
     )
     split = ["_file", "_split"]
     so_far = Window.partitionBy(*split).orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-
-    totals = lines.groupBy(*split).agg(F.sum("_quotes").alias("_sum"))
-    opened = totals.select(*split, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    counted = lines.join(opened, split).withColumn("_after", F.sum("_quotes").over(so_far) + F.col("_before"))
-    inside = (F.col("_after") - F.col("_quotes")) % 2 == 1
-    marked = counted.withColumns(
+    whole = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    placed = _composed(lines, split, "_line", "_if_outside", "_if_inside", F.lit(None).cast("bigint"))
+    last_line = F.max_by(F.struct("_turns", "_known"), "_line")
+    splits = placed.groupBy(*split).agg(last_line.alias("_all")).select(
+        *split,
+        F.coalesce((F.col("_all._known") + F.col("_all._turns")) % 2, F.col("_all._turns") % 2).alias("_if_outside"),
+        F.coalesce((F.col("_all._known") + F.col("_all._turns")) % 2, (F.col("_all._turns") + 1) % 2).alias("_if_inside"),
+    )
+    opened = _composed(splits, ["_file"], "_split", "_if_outside", "_if_inside", F.lit(0).cast("bigint"))
+    after = F.when(F.col("_inside"), F.col("_if_inside")).otherwise(F.col("_if_outside"))
+    unclosed = F.concat(F.lit("the file ends inside a quoted value: "), F.col("_file"))
+    begins = F.when(F.last("_after").over(whole) == 1, F.raise_error(unclosed).cast("bigint")).otherwise(F.col("_inside").cast("bigint"))
+    opened = opened.withColumn("_after", after).select(*split, begins.alias("_begins"))
+
+    turned = F.col("_turns") - ((F.col("_if_outside") == 1) & (F.col("_if_inside") == 0)).cast("bigint")
+    inside = F.coalesce(F.col("_inside"), (F.col("_begins") + turned) % 2 == 1)
+    marked = placed.join(opened, split).withColumn("_inside", inside)
+    ends_inside = F.when(F.col("_inside"), F.col("_if_inside")).otherwise(F.col("_if_outside")) == 1
+    marked = marked.withColumns(
         {
-            "_inside": inside,
-            "_broken": inside | (F.col("_after") % 2 == 1),
+            "_broken": F.col("_inside") | ends_inside,
             # Only the first line of a file is without a line before it.
             "_header": (F.col("_split") == 0) & (F.row_number().over(so_far) == 1),
         }
@@ -94,16 +170,23 @@ def scan_csv_splitting(
     records = marked.where("NOT _broken").select("value", "_header").unionByName(mended)
     text = F.regexp_replace("value", "\r$", "")
     rows = records.where(~F.col("_header")).select(text.alias("value")).where("value <> ''")
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
-    parsed = F.from_csv("value", ddl, {**options, "quote": '"', "escape": '"'})
-    return rows.select(parsed.alias("_row")).select("_row.*")
+    # A last value that is torn is read otherwise at the end of a record than before a
+    # delimiter, so one more column ends each record.
+    tail = "_end"
+    while tail.lower() in {f.name.lower() for f in fields}:
+        tail = "_" + tail
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in [*fields, T.StructField(tail, T.StringType())])
+    parsed = F.from_csv(F.concat("value", F.lit(delimiter)), ddl, {**options, "quote": '"', "escape": '"'})
+    return rows.select(parsed.alias("_row")).select("_row.*").drop(tail)
 
 
-def scan_csv_literal(spark: SparkSession, path: str | list[str], stage: bool = False, **kwargs) -> DataFrame:
+def scan_csv_literal(spark: SparkSession, path: str | list[str], stage: bool = False, multiline: bool = True, **kwargs) -> DataFrame:
     """Scan CSV as text, every value as it is written; the missing-value spellings are
-    blanked out. With ``stage`` the text is parsed once, into a columnar copy on shared
-    storage that everything after it reads instead of the CSV."""
-    text = scan_csv(spark, path, **kwargs)
+    blanked out. Large files are split whether or not their values hold line breaks;
+    ``multiline=False`` says that they hold none, which is cheaper. With ``stage`` the text
+    is parsed once, into a columnar copy on shared storage that everything after it
+    reads instead of the CSV."""
+    text = scan_csv_splitting(spark, path, **kwargs) if multiline else scan_csv(spark, path, multiline=False, **kwargs)
     clean = text.select(*[na_to_null(column(c)).alias(c) for c in text.columns])
     if not stage:
         return clean

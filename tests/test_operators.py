@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rawharbor.functions import literals
 from rawharbor.operators import align, compare, history, joins, profile, quality, ranking, resolve
 
 NAN = math.nan
@@ -204,9 +205,7 @@ def test_catalog_match(spark):
 WORDS = ["iris", "Wine", "credit", "maſs", "İzmir", "ısı", "a", "bb", "straße", "long-winded-title", "x.y", "C++", "Kelvin"]
 
 
-@pytest.mark.parametrize("literals", [0, 10_000])
-def test_catalog_match_against_brute_force(spark, monkeypatch, literals):
-    monkeypatch.setattr(resolve, "LITERAL_QUERIES", literals)
+def test_catalog_match_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(resolve, "PATTERNS_PER_CHUNK", 3)
     rng = random.Random(3)
     names = [" ".join(rng.choices(WORDS, k=rng.randrange(1, 4))) for _ in range(120)] + [None, ""]
@@ -221,9 +220,9 @@ def test_catalog_match_against_brute_force(spark, monkeypatch, literals):
         assert got[i] == best[0], query
 
 
-@pytest.mark.parametrize("literals", [0, 10_000])
-def test_links_against_brute_force(spark, monkeypatch, literals):
-    monkeypatch.setattr(resolve, "LITERAL_QUERIES", literals)
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_links_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(resolve, "LITERAL_QUERIES", few)
     rng = random.Random(5)
     cities = ["amsterdam", "paris", "new-york-city", "rome"]
     # A third of all links share one city.
@@ -240,6 +239,51 @@ def test_links_against_brute_force(spark, monkeypatch, literals):
         assert got[i] == (hits[0] if hits else None), query
 
 
+def random_pattern(rng, depth=0):
+    """Patterns that the engine and Python read alike."""
+    atoms = ["a", "b", "ir", "is", "Wine", "-", " ", ".", "[ab]", "[^x\\]]", r"\.", r"\+", r"\w", r"\d", r"\x61", r"\Qwi.n\E", "é", "^", "$"]
+    if depth < 3:
+        atoms += [f"({random_pattern(rng, depth + 1)})", f"(?:{random_pattern(rng, depth + 1)})", f"(?={random_pattern(rng, depth + 1)})"]
+    quantifiers = ["", "", "", "", "?", "*", "+", "{2}", "{0,2}", "+?", "{1,}"]
+    bare = ("^", "$")
+    parts = [a + ("" if a in bare or a.startswith("(?=") else rng.choice(quantifiers)) for a in rng.choices(atoms, k=rng.randrange(1, 5))]
+    return "|".join(["".join(parts), *([random_pattern(rng, depth + 1)] if depth < 3 and rng.random() < 0.3 else [])])
+
+
+def test_needed_literals():
+    def need(pattern):
+        return literals.needed_literals(pattern)
+
+    assert need("iris") == need("(?i)iris") == need("x*iris$") == need("^(iris)+") == ["iris"]
+    assert need("(hot|cold) bolt") == [" bolt"] and need("hot|cold") == ["cold", "hot"]
+    assert need("colou?r") == ["colo"] and need("ab{0,3}cde") == ["cde"] and need("ab{2}") == ["ab"]
+    assert need(r"\x41bc\Q.*\Ed\.e") == ["bc.*d.e"] and need(r"\p{L}xy\pLz") == ["xy"] and need(r"(a)\1234") == ["a"]
+    assert need("[a]b]c") == ["b]c"] and need("[]a]b") == ["b"] and need(r"[\]x]yz") == ["yz"]
+    for unclear in ("", ".*", "[ab]", "a|", "(?x)a b", "(?=a)", "(?!abc)", "[a[b]]c", "[a&&b]c", "a)b", "(", "x{", "(?-i)abc", "(?<n>a)?"):
+        assert need(unclear) == [], unclear
+
+
+def test_random_patterns_against_the_engine(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PATTERNS_PER_CHUNK", 7)
+    rng = random.Random(9)
+    names = [" ".join(rng.choices([*WORDS, "wi.n", "aab", "isis"], k=rng.randrange(1, 4))) for _ in range(150)]
+    rows = catalog(spark, [(i, n, rng.randrange(5), 1) for i, n in enumerate(names)])
+    bad = ["(", "[a", "a{2", "*", "x(?<", "a**", "(?z)a", "a\\"]
+    queries = [random_pattern(rng) for _ in range(400)] + bad + [None]
+    requests = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = {r["query_id"]: r["did"] for r in resolve.best_catalog_match(requests, rows).collect()}
+    assert {r["query"] for r in resolve.rejected_searches(requests).collect()} == set(bad)
+    assert len(got) == len(queries)
+    # The engine itself over all pairs.
+    pairs = requests.where(F.col("query").isNotNull() & ~F.col("query").isin(bad)).crossJoin(rows)
+    hits = pairs.where(F.expr("name rlike concat('(?iu)', query)")).groupBy("query_id").agg(F.min_by("did", F.struct(-F.col("instances"), "did")).alias("did"))
+    best = {r["query_id"]: r["did"] for r in hits.collect()}
+    assert len(best) > 100
+    assert got == {i: best.get(i) for i in range(len(queries))}
+    plan = resolve._regex_pairs(requests.select("query"), rows)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_no_query_at_all(spark):
     none = spark.createDataFrame([], "query_id int, query string")
     assert resolve.best_catalog_match(none, catalog(spark, [(1, "a", 1, 1)])).collect() == []
@@ -346,3 +390,34 @@ def test_hot_keys_are_split(spark, hot_keys):
 def test_hash_needs_equal_types(spark):
     with pytest.raises(TypeError):
         joins.join_reduced(spark.range(3), spark.range(3).select(F.col("id").cast("int").alias("id")), ["id"])
+
+
+def test_bag_difference_reads_only_buckets_that_differ(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 0.0, -0.0, NAN, 1.5]), rng.choice([None, "a", "b"]), rng.choice([None, "a", "b"])) for _ in range(300)]
+    left = spark.createDataFrame(rows, "x double, y string, z string")
+    assert compare.differing_buckets(left, left.orderBy("y").select("z", "y", "x").select("x", "y", "z")) == []
+    assert compare.bag_difference(left, left.select("z", "x", "y")).collect() == []
+    # Swapped nulls and one more copy are seen.
+    right = spark.createDataFrame([*rows[1:], (None, None, "q"), (None, "p", None)], left.schema)
+    other = spark.createDataFrame([*rows[1:], (None, "q", None), (None, "p", None), (None, "p", None)], left.schema)
+    got = {(r["y"], r["z"]): r["surplus"] for r in compare.bag_difference(right, other).collect()}
+    assert got == {(None, "q"): 1, ("q", None): -1, ("p", None): -1}
+    assert len(compare.differing_buckets(right, other)) == 3
+    empty = left.limit(0)
+    assert sum(r["surplus"] for r in compare.bag_difference(left, empty).collect()) == 300
+    assert compare.bag_difference(empty, empty).collect() == []
+
+
+def test_pages_of_ranked_rows(spark):
+    rows = [(i % 7, None if i % 5 == 0 else f"v{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    ranked = ranking.rank_rows(df, ["k", "v"])
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    pages = [[tuple(r) for r in ranked.page(i, 30).collect()] for i in range(8)]
+    assert [r for p in pages for r in p] == ordered and [len(p) for p in pages] == [30] * 6 + [20, 0]
+    index = ranked.pages(30).orderBy("page").collect()
+    assert [(r["page"], (r["k"], r["v"]), r["rows"]) for r in index] == [(i, ordered[30 * i], min(30, 200 - 30 * i)) for i in range(7)]
+    assert ranking.rank_rows(df.limit(0), ["k"]).page(0, 10).collect() == []
+    plan = ranked.page(2, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_place" in plan and "Exchange hashpartitioning" not in plan

@@ -54,6 +54,49 @@ def test_splitting_scan_reads_every_record(spark, tmp_path, end):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_splitting_scan_equals_plain_scan_with_stray_quotes(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    parts = ['"', '""', ",", "\n", "a", "b ", " ", '""', '",', ',"', '"\n', '1.5" p', 'x"y']
+    for name in "abc":
+        while True:
+            body = "".join(rng.choice(parts) for _ in range(rng.randrange(5, 60)))
+            if body.count('"') % 2 == 0:  # mostly closed again; the others are looked at below
+                break
+        rows = "1,2,3\n" * rng.randrange(3)
+        (tmp_path / f"{name}.csv").write_text(f"h1,h2,h3\n{rows}{body}\nend,1,2\n", newline="")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name in "abc":
+        path = str(tmp_path / f"{name}.csv")
+        expected = Counter(map(tuple, delimited.scan_csv(spark, path).collect()))
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(rng.choice([3, 10, 40, 1000])))
+            got = Counter(map(tuple, delimited.scan_csv_splitting(spark, path).collect()))
+        except Exception as error:  # noqa: BLE001
+            # The plain scan takes the rest of the file for one value.
+            assert "ends inside a quoted value" in str(error)
+            assert ("end", "1", "2") not in expected
+        else:
+            assert got == expected
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_stray_quote_in_the_first_row(spark, tmp_path):
+    rows = ['0,1.5" pipe', *[f'{i},"x\n{i}"' for i in range(1, 300)]]
+    (tmp_path / "a.csv").write_text("id,v\n" + "\n".join(rows) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        scan = delimited.scan_csv_literal(spark, str(tmp_path))
+        assert scan.count() == 300 and scan.rdd.getNumPartitions() > 1
+        assert scan.where("id = '0'").first()["v"] == '1.5" pipe'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    with pytest.raises(ValueError, match="doubled"):
+        delimited.scan_csv_splitting(spark, str(tmp_path), quote="'")
+
+
 def test_timestamps_keep_microseconds(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 00:00:07.179575' a, timestamp'2024-01-01 00:00:07.000001' b")
     path = fresh_dir(spark, "ts")

@@ -1,11 +1,12 @@
 import glob
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rawharbor.streaming.landed import load_landed, read_accepted, read_verdicts
-from rawharbor.streaming.rate import rate_audit
+from rawharbor.streaming.rate import WINDOWS_PER_BLOCK, rate_audit, rolling_rate, rolling_rate_stream
 
 SCHEMA = "id bigint, note string, x double, y double, z double, w double"
 
@@ -75,3 +76,59 @@ def test_rate_audit_on_table_and_stream(spark, tmp_path, kind):
     counts = {(r["agent"], r["window_start"]): r["requests"] for r in spark.table(f"rates_{kind}").orderBy("requests").collect()}
     assert dict(spark.table(f"rates_{kind}").dtypes)["window_start"] == kind
     assert [(agent, n) for (agent, _), n in counts.items()] == [("a", 11)]
+
+
+def bursts(spark, kind, within):
+    """Requests in bursts, many of them over borders of seconds and of blocks."""
+    rng, width = random.Random(4), within * WINDOWS_PER_BLOCK
+    rows = []
+    for block in range(1, 5):
+        for _ in range(6):
+            middle = block * width + rng.choice([0, rng.randrange(width)])
+            rows += [(middle + rng.randrange(-within, within), rng.choice("ab")) for _ in range(rng.randrange(2, 14))]
+    df = spark.createDataFrame(rows, "at bigint, agent string")
+    return rows, df.select(F.timestamp_micros("at").cast(kind).alias("ts"), "agent")
+
+
+def brute_rolling(rows, limit, within, by):
+    out = set()
+    for at, agent in rows:
+        n = sum(at - within < other <= at and (not by or agent == a) for other, a in rows)
+        if n > limit:
+            out.add((at, agent if by else None, n))
+    return out
+
+
+@pytest.mark.parametrize("by", [[], ["agent"]])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_rolling_rate(spark, kind, by):
+    rows, df = bursts(spark, kind, 1_000_000)
+    found = rolling_rate(df, "ts", 5, by=by)
+    assert dict(found.dtypes)["ts"] == kind
+    got = {(r["at"], r["agent"] if by else None, r["requests"]) for r in found.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).collect()}
+    assert got == brute_rolling(rows, 5, 1_000_000, by) and got
+    assert rolling_rate(df.limit(0), "ts", 5, by=by).collect() == []
+
+
+def test_rolling_rate_of_a_stream_equals_the_table_after_a_restart(spark, tmp_path):
+    rows, df = bursts(spark, "timestamp", 1_000_000)
+    path, out, progress = (str(tmp_path / n) for n in ("requests", "out", "progress"))
+    df.repartition(3).write.parquet(path)
+    end = df.limit(1).select(F.timestamp_micros(F.lit(10**12)).alias("ts"), F.lit("z").alias("agent"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        found = rolling_rate_stream(stream, "ts", 5, "2 hours", by=["agent"])
+        found.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+
+    try:
+        run()  # half of the state waits for its timers
+        end.coalesce(1).write.mode("append").parquet(path)
+        run()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    got = {(r["at"], r["agent"], r["requests"]) for r in spark.read.parquet(out).withColumn("at", F.unix_micros("ts")).collect()}
+    assert got == brute_rolling(rows, 5, 1_000_000, ["agent"])
