@@ -58,7 +58,7 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 # must not add up to gigabytes in a worker.
 ARROW_BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
