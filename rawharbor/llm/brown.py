@@ -9,23 +9,28 @@ How the corpus is passed:
 
 1. *Blocks.* Documents are tokenized once into blocks of some megabytes: token codes, the
    block's distinct words as 64-bit hashes, and their training counts.
-2. *Word table.* Per block and word, one row with its count and the frequent words that
-   stand left and right of it; shuffled by word and merged as a stream. A word has at
-   most one row per block, so no key is hot.
-3. *Exchange.* In each sweep every word moves to the class that gives its neighbours the
-   highest likelihood, the classes' own statistics staying as they were; only class
-   totals (classes x neighbours) come to the driver. Sweeps end when few words move.
-4. *Replies.* Every block gets count and class of its words, and returns per document the
+2. *Word counts.* Per block and range of hashes, one packed row; ranges are added up.
+   A word has one entry per block, so no key is hot.
+3. *Exchange.* The ``MOVED`` most frequent words start in ``CLASSES`` classes. Each sweep counts,
+   over all blocks, the classes left and right of each of them and the class bigrams of all
+   tokens. The gain in class-bigram likelihood is computed exactly for each word and class,
+   and a share of the words moves to its best class at once. A sweep that lowers the
+   likelihood, as moves at the same time may, is undone and taken with half the share.
+4. *Other words.* They go to the class of the greatest gain, to the first order as they are rare,
+   once, from the classes beside them in all blocks. Every word of the corpus gets a class.
+5. *Replies.* Every block gets count and class of its words, and returns per document the
    class transitions, per block those of training documents.
-5. *Scores.* The matrix of transitions (classes squared) is all that the scoring pass needs.
+6. *Scores.* The matrix of transitions (classes squared) is all that the scoring pass needs.
 
-Everything learned covers all training documents. ``CLASSES``, ``NEIGHBOURS`` and ``SWEEPS``
-are sizes of the model and do not grow with the input.
+Everything learned covers all training documents. ``CLASSES``, ``MOVED`` and ``SWEEPS`` are
+sizes of the model and do not grow with the input; tasks and driver hold ``MOVED`` times
+``CLASSES`` counts. To the classes of a sweep, words outside ``MOVED`` are one more class.
 
 Defined cases: a null text is empty and has one token, the end; without training
 documents every word is unknown; repeated rows are scored alike and counted each time;
-a null id counts as the empty text where documents are held out; an empty table gives
-an empty one.
+a null id counts as the empty text where documents are held out; a text larger than a block
+is a block of its own, whole; an empty table gives an empty one; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,17 +46,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rawharbor.llm.common import materialize, quoted
+from rawharbor.llm.common import materialize, planes, quoted, unplanes
 from rawharbor.session import prepare_python
 
 CLASSES = 32
-NEIGHBOURS = 48  # frequent words that serve as context on either side
-SWEEPS = 6
-SETTLED = 0.01  # stop when fewer of the training tokens change class
-BLOCK_BYTES = 8 << 20
+MOVED = 8_192  # frequent words that are exchanged; all others are classed by their neighbours
+SWEEPS = 10
+SETTLED = 1e-4  # a sweep that gains a smaller part of the likelihood is followed by one of half the moves,
+LEAST_SHARE = 0.02  # until these are too few
+SHARE = 0.5  # of the words that gain by moving, in a sweep: all at once would hinder each other
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 32 << 20  # text per range of word hashes
 END = int(np.uint64(xxhash.xxh3_64_intdigest(b"\n")).astype(np.int64))  # no word holds a line break
 UNKNOWN = CLASSES  # number of the class of unknown words
 WIDE = CLASSES + 1
+OTHER = CLASSES  # during the exchange: words that are not exchanged
+SALTS = 64
 
 
 def held_out(id_column: Column) -> Column:
@@ -59,29 +69,32 @@ def held_out(id_column: Column) -> Column:
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all tokens (each text's words, then the end), texts' lengths, word hashes."""
+    """Codes of all tokens (each text's words, then the end), texts' lengths, word hashes in order."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat, cuts = lists.flatten(), np.asarray(lists.offsets)
     real = np.asarray(pc.greater(pc.binary_length(flat), 0)).astype(bool)
     bounds = np.concatenate([[0], np.cumsum(real)])[cuts - cuts[0]]
     coded = flat.filter(pa.array(real)).dictionary_encode()
     words = [xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()]
-    hashes = np.concatenate([np.array(words, np.uint64).view(np.int64), [END]])
+    hashes = np.concatenate([np.array(words, np.uint64), np.array([END]).view(np.uint64)])
     counts = np.diff(bounds)
     codes = np.full(int(bounds[-1]) + len(counts), len(hashes) - 1, np.int32)
     places = np.arange(int(bounds[-1])) + np.repeat(np.arange(len(counts)), counts)
     codes[places] = np.asarray(coded.indices)
-    return codes, counts + 1, hashes
+    order = np.argsort(hashes)
+    renamed = np.empty(len(order), np.int32)
+    renamed[order] = np.arange(len(order))
+    return renamed[codes], counts + 1, hashes[order]
 
 
 BLOCK_SCHEMA = (
-    "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, codes binary,"
-    " words array<bigint>, counts array<bigint>, frequent array<struct<word:bigint,n:bigint>>"
+    "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, codes binary, words binary, counts binary"
 )
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+    packer = zstandard.ZstdCompressor(level=1)
 
     def flush() -> pa.RecordBatch:
         nonlocal number, waiting, size
@@ -89,176 +102,358 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths, hashes = _tokens(table["text"].combine_chunks())
         held = np.asarray(table["held"].combine_chunks()).astype(bool)
         counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(hashes))
-        top = np.argsort(-counts, kind="stable")[: 4 * NEIGHBOURS]
-        row = {
-            "block": number,
-            "doc_ids": table["doc_id"].to_pylist(),
-            "held": held.tolist(),
-            "lengths": lengths,
-            "codes": zstandard.ZstdCompressor(level=1).compress(codes.tobytes()),
-            "words": hashes,
-            "counts": counts,
-            "frequent": [{"word": int(hashes[i]), "n": int(counts[i])} for i in top if counts[i]],
-        }
-        pair = pa.struct([("word", pa.int64()), ("n", pa.int64())])
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pair)]
-        out = pa.record_batch([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
+        row = [
+            number,
+            table["doc_id"].to_pylist(),
+            held.tolist(),
+            lengths,
+            packer.compress(planes(codes)),
+            packer.compress(planes(np.diff(hashes, prepend=np.uint64(0)))),
+            packer.compress(planes(counts)),
+        ]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        names = ["block", "doc_ids", "held", "lengths", "codes", "words", "counts"]
+        out = pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
         number, waiting, size = number + 1, [], 0
         return out
 
     for batch in batches:
-        waiting.append(batch)
-        size += batch.nbytes
-        if size >= BLOCK_BYTES:
-            yield flush()
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0))
+        first = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > BLOCK_BYTES:
+                waiting.append(batch.slice(first, i - first))
+                yield flush()
+                first = i
+            size += n + 1
+        waiting.append(batch.slice(first))
     if waiting:
         yield flush()
 
 
-def _codes(content: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.int32)
+def _unpacked(content: pa.Scalar, kind) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(content.as_py()), kind)
 
 
-def _before(lengths: np.ndarray, codes: np.ndarray, end: int) -> np.ndarray:
-    """The code before each token; before the first of a text stands the end."""
-    out = np.empty_like(codes)
-    out[1:] = codes[:-1]
-    out[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = end
-    return out
+class _Block:
+    """A block's columns, as arrays."""
+
+    def __init__(self, row: dict):
+        self.number = row["block"].as_py()
+        self.held, self.lengths = np.array(row["held"].as_py(), bool), np.asarray(row["lengths"].values)
+        self.codes = _unpacked(row["codes"], np.int32)
+        self.words = np.cumsum(_unpacked(row["words"], np.uint64), dtype=np.uint64)
+        self.counts = _unpacked(row["counts"], np.int64)
+        self.end = int(np.searchsorted(self.words, np.array([END]).view(np.uint64))[0])
+
+    def before(self) -> np.ndarray:
+        """The code before each token; before the first of a text stands the end."""
+        out = np.empty_like(self.codes)
+        out[1:] = self.codes[:-1]
+        out[np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)] = self.end
+        return out
+
+    def train(self) -> np.ndarray:
+        return np.repeat(~self.held, self.lengths)
+
+    def cuts(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of hashes that hold words met in training, and where each begins; the last
+        place ends the last one."""
+        seen = np.flatnonzero(self.counts)
+        parts = (self.words[seen] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(seen) else np.zeros(1, np.int64)
+        return parts[cuts[:-1]].astype(np.int64), cuts
+
+    def kinds(self, frequent: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number among the exchanged words (or their count) and class of each word."""
+        at = np.minimum(np.searchsorted(frequent, self.words), max(len(frequent) - 1, 0))
+        known = frequent[at] == self.words if len(frequent) else np.zeros(len(self.words), bool)
+        return np.where(known, at, len(frequent)), np.where(known, classes[at] if len(frequent) else 0, OTHER)
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _Block({name: batch.column(name)[i] for name in batch.schema.names})
+
+
+PACKED = "part bigint, block bigint, content binary"
+
+
+def _rows(parts: list, blocks: list, contents: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(parts, pa.int64()), pa.array(blocks, pa.int64()), pa.array(contents, pa.binary())], names=["part", "block", "content"])
 
 
-def _word_rows(frequent: list[int]):
-    """Per block and word: training count, and the neighbours among frequent words as
-    ``neighbour << 40 | count``; right neighbours are numbered after the left ones."""
+# --- word counts ------------------------------------------------------------------
+
+
+def _counts(ranges: int):
+    """Per block and range of hashes: words met in training, as steps, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(np.array(frequent, np.int64))
-        ranked = np.array(frequent, np.int64)[order]
-        for batch in batches:
-            for held, lengths, codes, words, counts in zip(*(batch.column(i) for i in range(5))):
-                held, lengths = np.array(held.as_py(), bool), np.asarray(lengths.values)
-                words, counts, codes = np.asarray(words.values), np.asarray(counts.values), _codes(codes.as_py())
-                at = np.minimum(np.searchsorted(ranked, words), max(len(ranked) - 1, 0))
-                number = np.where(ranked[at] == words, order[at], -1) if len(ranked) else np.full(len(words), -1)
-                previous, train = _before(lengths, codes, len(words) - 1), np.repeat(~held, lengths)
-                left, here = number[previous[train]], codes[train]
-                right = number[here]
-                pairs = []
-                for word, neighbour in ((here, left), (previous[train], np.where(right >= 0, right + NEIGHBOURS, -1))):
-                    good = neighbour >= 0
-                    pairs.append(word[good].astype(np.int64) * (2 * NEIGHBOURS) + neighbour[good])
-                keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-                cuts = np.searchsorted(keys, np.arange(len(words) + 1, dtype=np.int64) * (2 * NEIGHBOURS))
-                packed = (keys % (2 * NEIGHBOURS)) << 40 | n
-                seen = counts > 0
-                # Words of held-out texts alone have no neighbours either, so no list is torn.
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(packed.astype(np.int64)))
-                yield pa.record_batch(
-                    [pa.array(words[seen]), pa.array(counts[seen]), lists.filter(pa.array(seen))], names=["word", "n", "near"]
-                )
+        packer = zstandard.ZstdCompressor(level=1)
+        for block in _each_block(batches):
+            parts, cuts = block.cuts(ranges)
+            seen = np.flatnonzero(block.counts)
+            words, counts = block.words[seen], block.counts[seen]
+            contents = [
+                packer.compress(planes(np.diff(words[a:b], prepend=np.uint64(0))) + planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])
+            ]
+            yield _rows(parts.tolist(), [block.number] * len(contents), contents)
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word from rows sorted by word; the last word of a batch is carried on."""
-    held: list[pa.RecordBatch] = []
-
-    def merge(rows: list[pa.RecordBatch], last: bool):
-        table = pa.Table.from_batches(rows).combine_chunks()
-        words, n = np.asarray(table["word"].combine_chunks()), np.asarray(table["n"].combine_chunks())
-        near = table["near"].combine_chunks()
-        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        index = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-        flat, owner = np.asarray(near.flatten()), np.repeat(index, np.asarray(pc.list_value_length(near)))
-        keys, place = np.unique(owner * (2 * NEIGHBOURS) + (flat >> 40), return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, place, flat & ((1 << 40) - 1))
-        cuts = np.searchsorted(keys, np.arange(len(starts) + 1) * (2 * NEIGHBOURS)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((keys % (2 * NEIGHBOURS)) << 40 | sums))
-        out = pa.record_batch([pa.array(words[starts]), pa.array(np.add.reduceat(n, starts)), lists], names=["word", "n", "near"])
-        return (out, None) if last else (out.slice(0, len(starts) - 1), out.slice(len(starts) - 1))
+def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, their sums, and the number of each entry's word."""
+    kinds, place = np.unique(words, return_inverse=True)
+    sums = np.zeros(len(kinds), np.int64)
+    np.add.at(sums, place, counts)
+    return kinds, sums, place
 
-    for batch in batches:
-        if batch.num_rows:
-            ready, carried = merge([*held, batch], False)
-            held = [carried]
-            if ready.num_rows:
-                yield ready
-    if held:
-        yield merge(held, True)[0]
-
-
-def _dense(near: pa.ListArray, n: np.ndarray) -> np.ndarray:
-    """Neighbour counts, with one more column per side for all other words."""
-    wide = NEIGHBOURS + 1
-    out = np.zeros((len(n), 2 * wide))
-    flat, owner = np.asarray(near.flatten()), np.repeat(np.arange(len(n)), np.asarray(pc.list_value_length(near)))
-    number, count = flat >> 40, flat & ((1 << 40) - 1)
-    out[owner, number + (number >= NEIGHBOURS)] = count
-    out[:, NEIGHBOURS] = n - out[:, :NEIGHBOURS].sum(1)
-    out[:, -1] = n - out[:, wide:-1].sum(1)
+
+def _most(moved: int):
+    """Of one range: the words with the greatest counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words, counts = [], []
+        for content in rows["content"]:
+            raw = zstandard.ZstdDecompressor().decompress(content.as_py())
+            words.append(np.cumsum(unplanes(raw[: len(raw) // 2], np.uint64), dtype=np.uint64))
+            counts.append(unplanes(raw[len(raw) // 2 :], np.int64))
+        kinds, sums, _ = _summed(np.concatenate(words), np.concatenate(counts))
+        top = np.lexsort((kinds, -sums))[:moved]
+        return pa.table([pa.array(kinds[top].view(np.int64)), pa.array(sums[top])], names=["word", "n"])
+
+    return run
+
+
+# --- exchange ---------------------------------------------------------------------
+
+
+def _neighbours(block: _Block, word: np.ndarray, kind: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class counts left and right of words 0 to ``words`` - 1, how often each follows itself,
+    and the class bigrams of all tokens, over training documents."""
+    train = block.train()
+    here, there = block.codes[train], block.before()[train]
+    w, v, c, d = word[here], word[there], kind[here], kind[there]
+    wide, inside, outside = WIDE, w < words, v < words
+    left = np.bincount(w[inside] * wide + d[inside], minlength=words * wide).reshape(words, wide)
+    right = np.bincount(v[outside] * wide + c[outside], minlength=words * wide).reshape(words, wide)
+    twice = np.bincount(w[inside & (here == there)], minlength=words)
+    bigrams = np.bincount(d * wide + c, minlength=wide * wide).reshape(wide, wide)
+    return np.concatenate([left, right, twice[:, None]], axis=1), bigrams
+
+
+CHUNK = 512  # exchanged words per row of counts
+
+
+def _sweep(frequent: np.ndarray, classes: np.ndarray):
+    """Per task, the counts of a sweep in rows of ``CHUNK`` words; bigrams are row -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        near = np.zeros((len(frequent), 2 * WIDE + 1), np.int64)
+        bigrams = np.zeros((WIDE, WIDE), np.int64)
+        for block in _each_block(batches):
+            some, pairs = _neighbours(block, *block.kinds(frequent, classes), len(frequent))
+            near += some
+            bigrams += pairs
+        salt = TaskContext.get().partitionId() % SALTS
+        chunks = [near[i : i + CHUNK] for i in range(0, len(near), CHUNK)] if near.any() else []
+        contents = [packer.compress(planes(c.ravel())) for c in [bigrams, *chunks]]
+        yield _rows(list(range(-1, len(chunks))), [salt] * len(contents), contents)
+
+    return run
+
+
+def _add_rows(rows: pa.Table) -> pa.Table:
+    total = 0
+    for content in rows["content"]:
+        total = total + _unpacked(content, np.int64)
+    packed = zstandard.ZstdCompressor(level=1).compress(planes(total))
+    return pa.table([rows["part"].slice(0, 1), rows["block"].slice(0, 1), pa.array([packed], pa.binary())], names=["part", "block", "content"])
+
+
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """Class-bigram log likelihood, but for what no exchange changes."""
+    n = bigrams.astype(float)
+    return float(_g(n).sum() - _g(n.sum(0)).sum() - _g(n.sum(1)).sum())
+
+
+def gains(bigrams: np.ndarray, near: np.ndarray, current: np.ndarray) -> np.ndarray:
+    """What moving each word alone, from its class to each of ``CLASSES``, adds to the likelihood.
+
+    ``near`` holds per word the class counts left and right of it and how often it follows
+    itself; ``bigrams`` and the counts are those before any move.
+    """
+    out = np.zeros((len(near), CLASSES))
+    n = bigrams.astype(float)
+    rows, columns, every = n.sum(1), n.sum(0), np.arange(WIDE)
+    for first in range(0, len(near), 256):
+        some, a = near[first : first + 256].astype(float), current[first : first + 256]
+        at, twice = np.arange(len(some)), some[:, -1]
+        left, right = some[:, :WIDE].copy(), some[:, WIDE : 2 * WIDE].copy()
+        as_next, as_first = left.sum(1), right.sum(1)
+        left[at, a] -= twice  # the word beside itself moves with it
+        right[at, a] -= twice
+        # All counts without the word.
+        base = np.repeat(n[None], len(some), axis=0)
+        base[at, :, a] -= left
+        base[at, a, :] -= right
+        base[at, a, a] -= twice
+        row, column = np.repeat(rows[None], len(some), axis=0), np.repeat(columns[None], len(some), axis=0)
+        row[at, a] -= as_first
+        column[at, a] -= as_next
+        into = _g(base + left[:, :, None]) - _g(base)  # cells (c, b)
+        from_ = _g(base + right[:, None, :]) - _g(base)  # cells (b, c)
+        diagonal = base[:, every, every]
+        both = _g(diagonal + left + right + twice[:, None]) - _g(diagonal)
+        total = into.sum(1) - into[:, every, every] + from_.sum(2) - from_[:, every, every] + both
+        total -= _g(row + as_first[:, None]) - _g(row) + _g(column + as_next[:, None]) - _g(column)
+        out[first : first + 256] = (total - total[at, a][:, None])[:, :CLASSES]
     return out
 
 
-def _log_profiles(totals: np.ndarray) -> np.ndarray:
-    """log P(neighbour | class), each side normalized."""
-    wide, smooth = NEIGHBOURS + 1, totals + 0.5
-    sides = [np.log(smooth[:, i : i + wide] / smooth[:, i : i + wide].sum(1, keepdims=True)) for i in (0, wide)]
-    return np.concatenate(sides, axis=1)
-
-
-def _exchange(words: DataFrame) -> np.ndarray:
-    """Log profiles of the classes after the sweeps."""
-    wide = 2 * (NEIGHBOURS + 1)
-    seeds = words.orderBy(F.desc("n"), "word").limit(CLASSES).toArrow()
-    if not seeds.num_rows:
-        return np.zeros((1, wide))
-    totals = _dense(seeds["near"].combine_chunks(), np.asarray(seeds["n"].combine_chunks()).astype(float))
-    before = None
-    for _ in range(SWEEPS):
-        profiles, old = _log_profiles(totals), before
-
-        def sweep(batches: Iterator[pa.RecordBatch], profiles=profiles, old=old) -> Iterator[pa.RecordBatch]:
-            sums, moved = np.zeros_like(profiles), 0.0
-            for batch in batches:
-                n = np.asarray(batch.column(0)).astype(float)
-                counts = _dense(batch.column(1), n)
-                best = (counts @ profiles.T).argmax(1)
-                np.add.at(sums, best, counts)
-                if old is not None:
-                    moved += n[(counts @ old.T).argmax(1) != best].sum()
-            rows, columns = np.nonzero(sums)
-            yield pa.record_batch(
-                [
-                    pa.array(np.append(rows, -1)),
-                    pa.array(np.append(columns, -1)),
-                    pa.array(np.append(sums[rows, columns], moved)),
-                ],
-                names=["class", "near", "n"],
-            )
-
-        found = words.select("n", "near").mapInArrow(sweep, "class bigint, near bigint, n double")
-        cells = found.groupBy("class", "near").agg(F.sum("n").alias("n")).toArrow()
-        where = [np.asarray(cells[c].combine_chunks()) for c in ("class", "near", "n")]
-        real = where[0] >= 0
-        totals = np.zeros_like(totals)
-        totals[where[0][real], where[1][real]] = where[2][real]
-        moved, all_tokens = where[2][~real].sum(), totals[:, : NEIGHBOURS + 1].sum()
-        before = profiles
-        if old is not None and moved <= SETTLED * all_tokens:
+def fit_weights(bigrams: np.ndarray) -> np.ndarray:
+    """Times a word's class counts left and right of it, the gain of putting it into each class,
+    to the first order: exact enough for words that are rare beside a class."""
+    n = bigrams + 1.0
+    left = np.log(n[:, :CLASSES]) - np.log(n.sum(0)[:CLASSES])
+    right = np.log(n[:CLASSES].T) - np.log(n.sum(1)[:CLASSES])
+    return np.concatenate([left, right])
+
+
+def exchange(blocks: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the exchanged words, the class bigrams, and the likelihood after each sweep
+    that was kept, which never falls."""
+
+    def measure(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = blocks.mapInArrow(_sweep(frequent, classes), PACKED)
+        added = rows.groupBy("part", "block").applyInArrow(_add_rows, PACKED).groupBy("part").applyInArrow(_add_rows, PACKED)
+        found = {r["part"]: unplanes(zstandard.ZstdDecompressor().decompress(r["content"]), np.int64) for r in added.collect()}
+        bigrams = found.pop(-1, np.zeros(WIDE * WIDE, np.int64)).reshape(WIDE, WIDE)
+        chunks = [found[k].reshape(-1, 2 * WIDE + 1) for k in sorted(found)]
+        return bigrams, np.concatenate(chunks) if chunks else np.zeros((len(frequent), 2 * WIDE + 1), np.int64)
+
+    rank = np.empty(len(frequent), np.int64)
+    rank[np.lexsort((frequent, -counts))] = np.arange(len(frequent))
+    classes = np.minimum(rank, CLASSES - 1)
+    bigrams, near = measure(classes)
+    history, share = [likelihood(bigrams)], SHARE
+    wanted = gains(bigrams, near, classes)
+    for sweep in range(SWEEPS):
+        best = wanted.argmax(1)
+        move = wanted[np.arange(len(best)), best] > 1e-9
+        # Another share of the words each time, the same in every run.
+        lot = (frequent * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sweep * 0xBF58476D1CE4E5B9 % 2**64)) >> np.uint64(40)
+        move &= lot < np.uint64(int(share * (1 << 24)))
+        if not move.any():
             break
-    return before
+        proposed = np.where(move, best, classes)
+        new_bigrams, new_near = measure(proposed)
+        reached = likelihood(new_bigrams)
+        if reached < history[-1]:
+            share /= 2
+            if share < LEAST_SHARE:
+                break
+            continue
+        classes, bigrams, near = proposed, new_bigrams, new_near
+        gained = reached - history[-1]
+        history.append(reached)
+        if gained < SETTLED * abs(reached):
+            share /= 2  # fewer moves at once hinder each other less
+        if share < LEAST_SHARE:
+            break
+        wanted = gains(bigrams, near, classes)
+    return classes, bigrams, history
+
+
+# --- classes of all words ---------------------------------------------------------
+
+
+def _word_rows(frequent: np.ndarray, classes: np.ndarray, ranges: int):
+    """Per block and range of hashes: words met in training, their counts, and the classes
+    beside them: cells of word, side and class, with how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, wide = zstandard.ZstdCompressor(level=1), 2 * WIDE
+        for block in _each_block(batches):
+            parts, cuts = block.cuts(ranges)
+            seen = np.flatnonzero(block.counts)
+            _, kind = block.kinds(frequent, classes)
+            train = block.train()
+            here, there = block.codes[train].astype(np.int64), block.before()[train].astype(np.int64)
+            cells = np.sort(np.concatenate([here * wide + kind[there], there * wide + WIDE + kind[here]]))
+            new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+            times, cells = np.diff(np.append(new, len(cells))), cells[new]
+            number = np.searchsorted(seen, cells // wide)  # every word of a cell was met in training
+            edges = np.searchsorted(number, cuts)
+            contents = []
+            for a, b, p, q in zip(cuts[:-1], cuts[1:], edges[:-1], edges[1:]):
+                words, counts = block.words[seen[a:b]], block.counts[seen[a:b]]
+                sizes = np.array([b - a, q - p])
+                owner, column = number[p:q] - a, cells[p:q] % wide
+                columns = [planes(np.diff(words, prepend=np.uint64(0))), planes(counts), planes(np.diff(owner, prepend=0)), planes(column), planes(times[p:q])]
+                contents.append(packer.compress(sizes.tobytes() + b"".join(columns)))
+            yield _rows(parts.tolist(), [block.number] * len(contents), contents)
+
+    return run
 
 
-def _classify(profiles: np.ndarray):
-    def run(near: pa.Array, n: pa.Array) -> pa.Array:
-        counts = _dense(near, np.asarray(n).astype(float))
-        return pa.array((counts @ profiles.T).argmax(1).astype(np.int64))
+def _open(content: bytes) -> list[np.ndarray]:
+    """Words, counts, and the cells' words, columns and times."""
+    words, cells = np.frombuffer(content[:16], np.int64).tolist()
+    out, at = [], 16
+    for size, kind in ((words, np.uint64), (words, np.int64), (cells, np.int64), (cells, np.int64), (cells, np.int64)):
+        out.append(unplanes(content[at : at + 8 * size], kind))
+        at += 8 * size
+    return [np.cumsum(out[0], dtype=np.uint64), out[1], np.cumsum(out[2]), out[3], out[4]]
+
+
+def _classed(frequent: np.ndarray, classes: np.ndarray, bigrams: np.ndarray):
+    """Of one range: per block its words' counts in all of training and their classes. The row
+    of block -1 holds what all words of the range sum up to: tokens, words, words met once."""
+    weights = fit_weights(bigrams)
+
+    def run(rows: pa.Table) -> pa.Table:
+        opener, packer, wide = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), 2 * WIDE
+        opened = [_open(opener.decompress(c.as_py())) for c in rows["content"]]
+        sizes = [len(o[0]) for o in opened]
+        starts = np.cumsum([0, *sizes[:-1]])
+        kinds, sums, place = _summed(np.concatenate([o[0] for o in opened]), np.concatenate([o[1] for o in opened]))
+        cell = np.concatenate([place[o[2] + s] * wide + o[3] for o, s in zip(opened, starts)])
+        cells, at = np.unique(cell, return_inverse=True)
+        times = np.zeros(len(cells), np.int64)
+        np.add.at(times, at, np.concatenate([o[4] for o in opened]))
+        del opened, cell, at
+        owner, chosen = cells // wide, np.zeros(len(kinds), np.int8)
+        for first in range(0, len(kinds), 4096):
+            p, q = np.searchsorted(owner, [first, first + 4096])
+            near = np.zeros((min(4096, len(kinds) - first), wide))
+            near[owner[p:q] - first, cells[p:q] % wide] = times[p:q]
+            chosen[first : first + 4096] = (near @ weights).argmax(1)
+        if len(frequent):
+            where = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
+            chosen = np.where(frequent[where] == kinds, classes[where], chosen).astype(np.int8)
+        blocks, contents = rows["block"].to_pylist(), []
+        for size, start in zip(sizes, starts):
+            mine = place[start : start + size]
+            contents.append(packer.compress(planes(sums[mine]) + chosen[mine].tobytes()))
+        totals = np.array([sums.sum(), len(sums), (sums == 1).sum()], np.int64)
+        part = rows["part"][0].as_py()
+        return pa.Table.from_batches([_rows([part] * (len(blocks) + 1), [*blocks, -1], [*contents, totals.tobytes()])])
 
     return run
 
 
+# --- scores -----------------------------------------------------------------------
+
+
 SCORED = (
     "block bigint, doc_id bigint, held boolean, n_tokens bigint, n_known bigint, base double, emitted double,"
     " moves array<bigint>, trained array<bigint>"
@@ -272,50 +467,47 @@ def _moves(total: float, kinds: float):
     def packed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         return keys.astype(np.int64) << 40 | n.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, ids, held, lengths, codes, size, reply in zip(*(batch.column(i) for i in range(7))):
-                held, lengths, codes = np.array(held.as_py(), bool), np.asarray(lengths.values), _codes(codes.as_py())
-                size = size.as_py()
-                count, kind = np.zeros(size, np.int64), np.full(size, UNKNOWN, np.int64)
-                if reply.is_valid and len(reply.values):
-                    at = np.asarray(reply.values.field("place"))
-                    count[at], kind[at] = np.asarray(reply.values.field("n")), np.asarray(reply.values.field("class"))
-                previous = _before(lengths, codes, size - 1)
-                here, there, seen = kind[codes], kind[previous], count[codes]
-                docs = np.repeat(np.arange(len(lengths)), lengths)
-                base = np.log10((count + 1) / (total + kinds + 1))[codes]
-                emit = np.log10(np.maximum(count, 1))[codes]
-                ends = np.cumsum(lengths)
-                sums = lambda x, e=ends, n=lengths: np.add.reduceat(x, e - n) if len(e) else np.empty(0)
-                keys, n = np.unique(docs * (WIDE * WIDE) + there * WIDE + here, return_counts=True)
-                cuts = np.searchsorted(keys, np.arange(len(lengths) + 1) * (WIDE * WIDE)).astype(np.int32)
-                train = np.repeat(~held, lengths)
-                # Words seen once stand for unknown ones, on either side.
-                once_here, once_there = train & (seen == 1), train & (count[previous] == 1)
-                pairs = np.concatenate(
-                    [
-                        (there * WIDE + here)[train],
-                        (there * WIDE + UNKNOWN)[once_here],
-                        (UNKNOWN * WIDE + here)[once_there],
-                    ]
-                )
-                learned, times = np.unique(pairs, return_counts=True)
-                trained: list = [packed(learned, times), *[None] * (len(lengths) - 1)]
-                yield pa.record_batch(
-                    [
-                        pa.array([block.as_py()] * len(lengths), pa.int64()),
-                        pa.array(ids.as_py(), pa.int64()),
-                        pa.array(held),
-                        pa.array(lengths),
-                        pa.array(sums((seen > 0).astype(np.int64))),
-                        pa.array(sums(base)),
-                        pa.array(sums(emit)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(packed(keys % (WIDE * WIDE), n))),
-                        pa.array(trained, pa.list_(pa.int64())),
-                    ],
-                    names=["block", "doc_id", "held", "n_tokens", "n_known", "base", "emitted", "moves", "trained"],
-                )
+    def run(key: tuple, blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        block, opener = _Block({name: blocks[name][0] for name in blocks.schema.names}), zstandard.ZstdDecompressor()
+        lengths, codes = block.lengths, block.codes
+        # Replies come by range, in the order of the block's words met in training.
+        order = np.argsort(np.asarray(replies["part"].combine_chunks()))
+        contents = [opener.decompress(replies["content"][i].as_py()) for i in order.tolist()]
+        seen = np.flatnonzero(block.counts)
+        count, kind = np.zeros(len(block.words), np.int64), np.full(len(block.words), UNKNOWN, np.int64)
+        if contents:
+            count[seen] = np.concatenate([unplanes(c[: len(c) // 9 * 8], np.int64) for c in contents])
+            kind[seen] = np.concatenate([np.frombuffer(c[len(c) // 9 * 8 :], np.int8) for c in contents])
+        previous = block.before()
+        here, there, met = kind[codes], kind[previous], count[codes]
+        docs = np.repeat(np.arange(len(lengths)), lengths)
+        base = np.log10((count + 1) / (total + kinds + 1))[codes]
+        emit = np.log10(np.maximum(count, 1))[codes]
+        first = np.cumsum(lengths) - lengths
+        keys, n = np.unique(docs * (WIDE * WIDE) + there * WIDE + here, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(lengths) + 1) * (WIDE * WIDE)).astype(np.int32)
+        train = block.train()
+        # Words seen once stand for unknown ones, on either side.
+        once_here, once_there = train & (met == 1), train & (count[previous] == 1)
+        pairs = np.concatenate(
+            [(there * WIDE + here)[train], (there * WIDE + UNKNOWN)[once_here], (UNKNOWN * WIDE + here)[once_there]]
+        )
+        learned, times = np.unique(pairs, return_counts=True)
+        trained: list = [packed(learned, times), *[None] * (len(lengths) - 1)]
+        return pa.table(
+            [
+                pa.array([block.number] * len(lengths), pa.int64()),
+                blocks["doc_ids"].combine_chunks().flatten(),
+                pa.array(block.held),
+                pa.array(lengths),
+                pa.array(np.add.reduceat((met > 0).astype(np.int64), first)),
+                pa.array(np.add.reduceat(base, first)),
+                pa.array(np.add.reduceat(emit, first)),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(packed(keys % (WIDE * WIDE), n))),
+                pa.array(trained, pa.list_(pa.int64())),
+            ],
+            names=["block", "doc_id", "held", "n_tokens", "n_known", "base", "emitted", "moves", "trained"],
+        )
 
     return run
 
@@ -351,8 +543,9 @@ def _score(logs: np.ndarray):
     return run
 
 
-def brown_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
+def _learned(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, int, float, np.ndarray, list[float]]:
+    """Transitions per document, totals of training, its matrix of transitions, and the
+    likelihood after each sweep."""
     spark = docs.sparkSession
     prepare_python(spark)
     narrow = docs.select(
@@ -360,32 +553,21 @@ def brown_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         held_out(quoted(id_column)).alias("held"),
         quoted(text).cast("string").alias("text"),
     )
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE_BYTES))
     blocks = materialize(narrow.mapInArrow(_blocks, BLOCK_SCHEMA), "brown-blocks")
-    frequent = (
-        blocks.select(F.explode("frequent").alias("f"))
-        .groupBy("f.word")
-        .agg(F.sum("f.n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(NEIGHBOURS)
-        .collect()
-    )
-    rows = blocks.select("held", "lengths", "codes", "words", "counts").mapInArrow(
-        _word_rows([r["word"] for r in frequent]), "word bigint, n bigint, near array<bigint>"
-    )
-    merged = rows.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, "word bigint, n bigint, near array<bigint>")
-    words = materialize(merged, "brown-words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
-    tokens, kinds, once = map(float, totals)
-    profiles = _exchange(words)
-    classes = words.select("word", "n", F.arrow_udf(_classify(profiles), "bigint")("near", "n").alias("class"))
-    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    replies = (
-        asked.join(classes, "word")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("place", "n", "class")).alias("reply"))
-    )
-    answered = blocks.select("block", "doc_ids", "held", "lengths", "codes", F.size("words").alias("size")).join(replies, "block", "left")
-    moved = answered.mapInArrow(_moves(tokens, kinds), SCORED)
+    counted = blocks.mapInArrow(_counts(ranges), PACKED).groupBy("part").applyInArrow(_most(MOVED), "word bigint, n bigint")
+    top = counted.orderBy(F.desc("n"), "word").limit(MOVED).collect()
+    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    frequent, counts = words[order], np.array([r["n"] for r in top], np.int64)[order]
+    classes, bigrams, history = exchange(blocks, frequent, counts)
+    rows = blocks.mapInArrow(_word_rows(frequent, classes, ranges), PACKED)
+    replies = materialize(rows.groupBy("part").applyInArrow(_classed(frequent, classes, bigrams), PACKED), "brown-replies")
+    sums = [np.frombuffer(r["content"], np.int64) for r in replies.filter("block = -1").select("content").collect()]  # one per range
+    tokens, kinds, once = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0)
+    answers = replies.filter("block >= 0").groupBy("block")
+    moved = blocks.groupBy("block").cogroup(answers).applyInArrow(_moves(float(tokens), float(kinds)), SCORED)
     scored = materialize(moved, "brown-moves")
     learned = scored.select(F.explode("trained").alias("t")).groupBy(F.shiftright("t", 40).alias("pair")).agg(
         F.sum(F.col("t").bitwiseAND((1 << 40) - 1)).alias("n")
@@ -393,13 +575,19 @@ def brown_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     matrix = np.zeros(WIDE * WIDE)
     for row in learned.collect():  # at most WIDE squared
         matrix[row["pair"]] = row["n"]
-    logs = transition_logs(matrix.reshape(WIDE, WIDE), once, tokens)
+    return scored, tokens, float(once), matrix.reshape(WIDE, WIDE), history
+
+
+def brown_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
+    scored, tokens, once, matrix, _ = _learned(docs, id_column, text)
+    logs = transition_logs(matrix, once, float(tokens))
     return scored.select(
         "doc_id",
         F.col("held").alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
         F.col("base").alias("base_score"),
         F.arrow_udf(_score(logs), "double").asNondeterministic()("moves", "emitted").alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then all second ones, and so on: high bytes compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unplanes(content: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 #: Rows up to which a reduced table becomes part of the plan.
 ROWS_IN_PLAN = 10_000
 

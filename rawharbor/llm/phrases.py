@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rawharbor.llm.common import materialize, quoted
+from rawharbor.llm.common import materialize, planes, quoted, unplanes
 from rawharbor.operators.joins import join_reduced
 from rawharbor.session import prepare_python
 
@@ -100,7 +100,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.concatenate([[0], np.cumsum(codes < len(words))])
         spans = [{"lang": langs[i], "start": a, "words": int(counted[b] - counted[a])} for i, a, b in zip(changes, bounds, [*bounds[1:], len(codes)])]
         packer = zstandard.ZstdCompressor(level=1)
-        row = [number, spans, packer.compress(b" ".join(words)), packer.compress(_planes(codes))]
+        row = [number, spans, packer.compress(b" ".join(words)), packer.compress(planes(codes))]
         number, waiting, size = number + 1, [], 0
         return pa.record_batch([pa.array([v], kind) for v, kind in zip(row, kinds)], names=["block", "spans", "words", "codes"])
 
@@ -127,20 +127,10 @@ def _by_frequency(words: list[bytes], codes: np.ndarray, first: np.ndarray) -> t
 BLOCK_SCHEMA = "block bigint, spans array<struct<lang:string,start:bigint,words:bigint>>, words binary, codes binary"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """First bytes of all values, then all second ones, and so on: high bytes compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _unplanes(content: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def _unpack(words: bytes, codes: bytes) -> tuple[list[bytes], np.ndarray]:
     opener = zstandard.ZstdDecompressor()
     joined = opener.decompress(words)
-    return joined.split(b" ") if joined else [], _unplanes(opener.decompress(codes), np.int32)
+    return joined.split(b" ") if joined else [], unplanes(opener.decompress(codes), np.int32)
 
 
 # --- fingerprints -----------------------------------------------------------------
@@ -270,7 +260,7 @@ def _packed(longest: int, bits: int, ranges: int):
                 parts = prints // width
                 cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else np.zeros(1, np.int64)
                 contents = [
-                    packer.compress(_planes(np.diff(prints[a:b], prepend=0)) + _planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])
+                    packer.compress(planes(np.diff(prints[a:b], prepend=0)) + planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])
                 ]
                 yield pa.record_batch(
                     [
@@ -307,7 +297,7 @@ def _frequent(least: int):
         for block, first, size in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), sizes):
             kept = np.flatnonzero(good[at : at + size])
             if len(kept):
-                content = _planes(np.diff(kept + first, prepend=0)) + _planes(flat[at + kept])
+                content = planes(np.diff(kept + first, prepend=0)) + planes(flat[at + kept])
                 out.append((block, packer.compress(content)))
             at += size
         part = pa.array([rows["part"][0].as_py()] * len(out), pa.int64())
@@ -318,7 +308,7 @@ def _frequent(least: int):
 
 def _halves(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     half = len(content) // 2
-    return _unplanes(content[:half], np.int64), _unplanes(content[half:], np.int64)
+    return unplanes(content[:half], np.int64), unplanes(content[half:], np.int64)
 
 
 def _read(longest: int, bits: int):
@@ -342,7 +332,7 @@ def _read(longest: int, bits: int):
             joined = pc.binary_join_element_wise(table.take(pa.array(codes[row])), pa.array(after), b"")
             texts.append(packer.compress(joined.buffers()[2].to_pybytes()[: np.asarray(pc.binary_length(joined)).sum()]))
             lang = np.searchsorted(begins, at, side="right") - 1
-            marks.append(packer.compress(_planes(lang.astype(np.int64)) + _planes(counts)))
+            marks.append(packer.compress(planes(lang.astype(np.int64)) + planes(counts)))
         langs = pa.array([[s["lang"] for s in spans]] * hits.num_rows, pa.list_(pa.string()))
         return pa.table([hits["part"], langs, pa.array(texts, pa.binary()), pa.array(marks, pa.binary())], names=["part", "langs", "texts", "marks"])
 

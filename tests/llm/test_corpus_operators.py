@@ -382,20 +382,97 @@ def test_brown_of_odd_documents(spark):
     assert all(math.isfinite(r["score"]) for r in brown.brown_scores(lone).collect())
 
 
-def test_classes_follow_neighbours(spark, monkeypatch):
-    """Words that stand in the same places come into one class."""
-    monkeypatch.setattr(brown, "CLASSES", 3)
-    monkeypatch.setattr(brown, "NEIGHBOURS", 3)
-    rng = random.Random(8)
-    text = " ".join(f"the {rng.choice(['cat', 'dog', 'owl'])} then {rng.choice(['runs', 'eats', 'naps'])}" for _ in range(500))
-    words = {w: i for i, w in enumerate(sorted(set(text.split())))}
-    sequence = [words[w] for w in text.split()]
-    frequent = [words["the"], words["then"]]
-    near = np.zeros((len(words), 8))
+def plain_bigrams(sequence, classes):
+    out = np.zeros((brown.WIDE, brown.WIDE), np.int64)
     for a, b in zip(sequence, sequence[1:]):
-        near[b, frequent.index(a) if a in frequent else 3] += 1
-        near[a, 4 + (frequent.index(b) if b in frequent else 3)] += 1
-    profiles = brown._log_profiles(near[[words["cat"], words["runs"], words["the"]]])
-    kinds = (near @ profiles.T).argmax(1)
-    assert kinds[words["cat"]] == kinds[words["dog"]] == kinds[words["owl"]]
-    assert kinds[words["runs"]] == kinds[words["eats"]] == kinds[words["naps"]] != kinds[words["cat"]]
+        out[classes[a], classes[b]] += 1
+    return out
+
+
+def plain_neighbours(sequence, classes, words):
+    out = np.zeros((words, 2 * brown.WIDE + 1), np.int64)
+    for a, b in zip(sequence, sequence[1:]):
+        out[b, classes[a]] += 1
+        out[a, brown.WIDE + classes[b]] += 1
+        out[a, -1] += a == b
+    return out
+
+
+def test_gain_is_the_change_of_likelihood():
+    rng = random.Random(6)
+    sequence = [rng.choice([0, 0, 1, 2, 2, 3, 4, 5, 6, 7]) for _ in range(400)] + [3, 3, 3, 5, 5]
+    classes = np.array([rng.randrange(4) for _ in range(8)])
+    classes[7] = brown.OTHER
+    before = plain_bigrams(sequence, classes)
+    found = brown.gains(before, plain_neighbours(sequence, classes, 8), classes)
+    for word in range(8):
+        for kind in range(6):
+            moved = classes.copy()
+            moved[word] = kind
+            change = brown.likelihood(plain_bigrams(sequence, moved)) - brown.likelihood(before)
+            assert found[word, kind] == pytest.approx(change, abs=1e-6)
+
+
+def grammar(seed, count):
+    rng = random.Random(seed)
+    kinds = [["cat", "dog", "owl", "yak"], ["runs", "eats", "naps", "sings"], ["now", "then", "here"], ["the", "a"]]
+    return [
+        " ".join(w for _ in range(rng.randrange(3, 9)) for w in (rng.choice(kinds[3]), rng.choice(kinds[0]), rng.choice(kinds[1]), rng.choice(kinds[2])))
+        for _ in range(count)
+    ], kinds
+
+
+def test_exchange_never_lowers_the_likelihood(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).select("doc_id", "text")
+    caught, plain = [], brown.exchange
+
+    def watched(blocks, frequent, counts):
+        caught.append((frequent, *plain(blocks, frequent, counts)))
+        return caught[0][1:]
+
+    monkeypatch.setattr(brown, "exchange", watched)
+    monkeypatch.setattr(brown, "MOVED", 500)
+    brown._learned(docs.repartition(4), "doc_id", "text")
+    frequent, classes, bigrams, history = caught[0]
+    assert len(history) > 2 and all(b >= a for a, b in zip(history, history[1:]))
+    # The counts that the blocks returned are those of a plain pass over the training texts.
+    of = {int(h): int(c) for h, c in zip(frequent, classes)}
+    end = of[int(np.array([brown.END]).view(np.uint64)[0])]
+    exact = np.zeros_like(bigrams)
+    for row in docs.collect():
+        if zlib.crc32(str(row["doc_id"]).encode()) % 7 != 2:
+            kinds = [of.get(brown.xxhash.xxh3_64_intdigest(w), brown.OTHER) for w in lowered(row["text"])]
+            for a, b in zip([end, *kinds], [*kinds, end]):
+                exact[a, b] += 1
+    assert (exact == bigrams).all() and history[-1] == pytest.approx(brown.likelihood(exact))
+    assert len(frequent) == 500 and 10 < len(set(classes.tolist())) <= brown.CLASSES
+
+
+def test_exchange_joins_words_of_one_place(monkeypatch):
+    """With few classes, single moves by gain bring the words of one place together."""
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    texts, kinds = grammar(9, 200)
+    names = ["\n", *sorted({w for t in texts for w in t.split()})]
+    sequence = [0] + [names.index(w) for t in texts for w in (*t.split(), "\n")]
+    counts = Counter(sequence)
+    classes = np.array([min(r, 4) for r in np.argsort(np.argsort([-counts[i] for i in range(len(names))], kind="stable"))])
+    reached = [brown.likelihood(plain_bigrams(sequence, classes))]
+    for _ in range(60):
+        gain = brown.gains(plain_bigrams(sequence, classes), plain_neighbours(sequence, classes, len(names)), classes)
+        word, kind = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[word, kind] < 1e-9:
+            break
+        classes[word] = kind
+        reached.append(brown.likelihood(plain_bigrams(sequence, classes)))
+    assert all(b > a for a, b in zip(reached, reached[1:]))
+    assert sum(len({classes[names.index(w)] for w in words}) == 1 for words in kinds) >= 3
+
+
+def test_small_blocks_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = {r["doc_id"]: r for r in brown.brown_scores(docs).collect()}
+    monkeypatch.setattr(brown, "RANGE_BYTES", 20_000)
+    again = {r["doc_id"]: r for r in brown.brown_scores(docs.repartition(5)).collect()}
+    assert rows.keys() == again.keys()
+    for i, r in rows.items():
+        assert r["base_score"] == pytest.approx(again[i]["base_score"]) and r["score"] == pytest.approx(again[i]["score"], rel=1e-6)
