@@ -166,16 +166,25 @@ def rank_rows(df: DataFrame, keys: Sequence[str], place: str = "_place") -> Rank
     spread by a hash, so a hot key is not one partition."""
     order = [column(k) for k in keys]
     spread = F.xxhash64(*[column(f.name) for f in df.schema if not isinstance(f.dataType, UNHASHED_TYPES)])
-    path = fresh_dir(df.sparkSession, "ranked")
-    placed = df.repartitionByRange(*order, spread).sortWithinPartitions(*order, spread)
+    return _written(df.repartitionByRange(*order, spread).sortWithinPartitions(*order, spread), tuple(keys), place)
+
+
+def place_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows with their place in the order of the table's partitions, from 0."""
+    return _written(df, (), name).ranked(name)
+
+
+def _written(placed: DataFrame, keys: tuple[str, ...], place: str) -> Ranked:
+    """Rows written as they lie in their partitions, with what numbers them."""
+    path = fresh_dir(placed.sparkSession, "ranked")
     placed.withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
+    rows = placed.sparkSession.read.parquet(path)
     parts, starts, total = [], [], 0
     for row in rows.groupBy(F.shiftright(column(place), 33).alias("part")).count().orderBy("part").collect():
         parts.append(row["part"])
         starts.append(total)
         total += row["count"]
-    return Ranked(rows, tuple(keys), place, tuple(parts), tuple(starts), total)
+    return Ranked(rows, keys, place, tuple(parts), tuple(starts), total)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

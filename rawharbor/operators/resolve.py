@@ -84,13 +84,33 @@ def first_links(requests: DataFrame, links: DataFrame, suffix: str) -> DataFrame
     few = _few(queries)
     if few is not None:
         pairs = _literal_pairs(usable, few, lambda q: F.contains(F.lower("href"), F.lower(F.lit(q))))
+        hits = pairs.groupBy("query").agg(_first_link())
     else:
-        pairs = _contains_pairs(queries, F.lower("query"), usable, F.lower("href"))
-    first = F.min_by(F.struct("page_id", "position", "href"), F.struct("page_id", "position"))
-    hits = pairs.groupBy("query").agg(first.alias("_hit"))
+        needles = queries.where(F.col("query").isNotNull()).withColumn("_needle", F.lower("query"))
+        short, long = F.length("_needle") <= ANCHOR_LENGTH, F.length("_needle") > ANCHOR_LENGTH
+        pairs = _contains_pairs(needles.where(long).select("query"), F.lower("query"), usable, F.lower("href"))
+        hits = pairs.groupBy("query").agg(_first_link()).unionByName(_first_pieces(needles.where(short), usable))
     return join_reduced(requests, hits, ["query"]).select("query_id", "query", "_hit.page_id", "_hit.position", "_hit.href")
 
 
+def _first_link() -> Column:
+    return F.min(F.struct("page_id", "position", "href")).alias("_hit")
+
+
+def _first_pieces(needles: DataFrame, links: DataFrame) -> DataFrame:
+    """Needles as short as a piece are found in an index of the first link of each piece. A
+    needle that very many links hold costs one row per task, not one per link."""
+    lengths = sorted(r["n"] for r in needles.select(F.length("_needle").alias("n")).distinct().collect())  # few: see ANCHOR_LENGTH
+    if not lengths:
+        return needles.select("query", F.lit(None).cast("struct<page_id:bigint,position:bigint,href:string>").alias("_hit"))
+    held = F.array_distinct(F.concat(*[pieces(F.lower("href"), n) for n in lengths]))
+    offered = links.select("page_id", "position", F.explode(held).alias("_needle"))
+    index = offered.groupBy("_needle").agg(F.min(F.struct("page_id", "position")).alias("_at"))
+    first = join_reduced(needles, index, ["_needle"], "inner").select("query", "_at.*")
+    found = links.join(first.select("page_id", "position").distinct(), ["page_id", "position"])
+    return first.join(found, ["page_id", "position"]).select("query", F.struct("page_id", "position", "href").alias("_hit"))
+
+
 def known_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests whose source is registered, with the source's properties."""
     return requests.withColumn("source", F.lower("source")).join(registry, "source")

@@ -226,7 +226,7 @@ def first_link_match(spark, sf):
 
 
 def link_match_bulk(spark, sf):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 1)
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
     queries = table(spark, sf, "benchmark").select(F.explode(words).alias("query"))
     return resolve.first_links(with_ids(queries), page_links(spark, sf), "n")
 
@@ -253,8 +253,7 @@ def file_tree_largest(spark, sf):
 
 
 def active_keys_history(spark, sf):
-    purchases = table(spark, sf, "events").where(F.col("event_type") == "purchase")
-    return history.keep_active(purchases, "user_id", "ts").select("user_id", "event_id", "ts", "value")
+    return history.keep_active(table(spark, sf, "events"), "user_id", "ts").select("user_id", "event_id", "ts", "value")
 
 
 # --- alignment ----------------------------------------------------------------------
@@ -266,11 +265,18 @@ def append_target(spark, sf):
 
 
 def outer_concat_target(spark, sf):
-    features = table(spark, sf, "documents").where(F.col("lang") != "en").select("doc_id", "lang", "n_chars")
+    features = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     target = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     return align.concat_target(features, target, ["doc_id"])
 
 
+def outer_concat_rows(spark, sf):
+    """Documents beside labels row by row, without a key."""
+    documents = table(spark, sf, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    labels = table(spark, sf, "labels").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    return align.concat_by_position(documents.select("doc_id", "n_chars"), labels)
+
+
 # --- text -----------------------------------------------------------------------------
 
 
@@ -597,7 +603,7 @@ QUERIES = {
         facts_flatten, facts_literal, observations_flatten, observation_rejects, keyed_object_scan, id_index_lookup,
         page_links, html_table_rows,
         catalog_best_match, catalog_match_bulk, first_link_match, link_match_bulk, known_sources, unknown_sources,
-        largest_member, file_tree_largest, active_keys_history, append_target, outer_concat_target,
+        largest_member, file_tree_largest, active_keys_history, append_target, outer_concat_target, outer_concat_rows,
         topic_slug, safe_stem, host_key, dataset_name, sheet_name, slug_collisions, row_limit_parse, zero_padded_ids,
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
         row_limited, row_limited_short, capped_export, key_page, key_pages_all, key_page_index, key_page_far, raw_preservation_check,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from rawharbor.functions.nulls import NA_TOKENS
 from rawharbor.plans.table_queries import CATALOG_QUERIES, LINK_QUERIES
 
+# Fixed values, stated here once more so that these answers do not depend on the package.
+NA_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def text_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -99,8 +104,8 @@ BULK_CATALOG = r"""(SELECT DISTINCT query AS query_id, query FROM (SELECT unnest
 # An opened bracket is no pattern.
 BROKEN_CATALOG = "(SELECT DISTINCT '(' || split_part(p_name, ' ', 1) AS query FROM part)"
 
-BULK_LINKS = """(SELECT DISTINCT query AS query_id, query FROM (
-  SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS query FROM benchmark) WHERE length(query) > 1)"""
+BULK_LINKS = r"""(SELECT DISTINCT query AS query_id, query FROM (
+  SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS query FROM benchmark))"""
 
 REQUESTS = """(SELECT p_partkey AS request_id, CASE p_type WHEN 'ECONOMY' THEN 'all' WHEN 'SMALL' THEN ' SEC , kaggle'
     WHEN 'MEDIUM' THEN 'sec' WHEN 'PROMO' THEN ' ' WHEN 'STANDARD' THEN 'myspace,fred' WHEN 'LARGE' THEN 'yfinance' END AS sources,
@@ -195,11 +200,14 @@ SQL = {
         WHERE lower(sources) NOT IN (SELECT source FROM {REGISTRY})""",
     "largest_member": """SELECT source, doc_id, n_chars FROM documents
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1""",
-    "active_keys_history": """WITH p AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase')
+    "active_keys_history": """WITH p AS (SELECT user_id, event_id, ts, value FROM events)
         SELECT * FROM p WHERE user_id IN (SELECT user_id FROM p WHERE ts > (SELECT max(ts) FROM p) - INTERVAL 5 DAY)""",
     "append_target": "SELECT doc_id, lang, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)",
     "outer_concat_target": """SELECT doc_id, lang, n_chars, quality, toxic
-        FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en') FULL OUTER JOIN labels USING (doc_id)""",
+        FROM (SELECT doc_id, lang, n_chars FROM documents) FULL OUTER JOIN labels USING (doc_id)""",
+    "outer_concat_rows": """SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, n_chars FROM documents)
+        FULL OUTER JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id AS doc_id_target, quality, toxic FROM labels)
+        USING (position)""",
     "topic_slug": f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents",
     "safe_stem": f"SELECT doc_id, {STEM.format('text')} AS file_name FROM documents",
     "host_key": r"""SELECT page_id, lower(regexp_replace(split_part(regexp_replace(regexp_replace(url, '^https?://', '', 'i'),

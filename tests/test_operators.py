@@ -409,6 +409,21 @@ def test_bag_difference_reads_only_buckets_that_differ(spark):
     assert compare.bag_difference(empty, empty).collect() == []
 
 
+def test_concat_refuses_repeated_keys_and_aligns_by_position(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    two = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    for pair, side in (((two, one), "features"), ((one, two), "target")):
+        with pytest.raises(ValueError, match=f"repeated in the {side}"):
+            align.concat_target(*pair, ["k"])
+    rows = spark.range(0, 1000, 1, 7)
+    fewer = spark.range(0, 900, 1, 3).select((F.col("id") * 2).alias("id"), F.lit("t").alias("v"))
+    got = align.concat_by_position(rows, fewer).orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(i, i, 2 * i if i < 900 else None, "t" if i < 900 else None) for i in range(1000)]
+    with pytest.raises(ValueError, match="numbered"):
+        align.concat_by_position(rows.withColumnRenamed("id", "position"), fewer)
+    assert align.concat_by_position(one.limit(0), two.limit(0)).collect() == []
+
+
 def test_pages_of_ranked_rows(spark):
     rows = [(i % 7, None if i % 5 == 0 else f"v{i % 3}") for i in range(200)]
     df = spark.createDataFrame(rows, "k int, v string").repartition(5)
