@@ -2,14 +2,15 @@
 
 Only Spark expressions, joins and aggregates are used.
 
-*Units.* Every line of a file that speaks of a licence is compared on its own, and so is
-the whole of a licence file: a file that is named like one, or that has at most
-``SHORT`` words and speaks of a licence.
+*Units.* What speaks of a licence is compared: every such line, every such paragraph without
+the comment signs before its lines (headers wrap), every SPDX tag as one word, and the whole
+of a licence file: a file that is named like one, or that has at most ``SHORT`` words and
+speaks of a licence.
 
-*Cosine.* Units and templates are sparse vectors of words. Document frequencies are counted
-over all units, weights are ``tf * (ln((1 + units) / (1 + df)) + 1)``. Words of units meet
-words of templates in an equi-join, so only what they share is multiplied. A unit's licence
-is the template with the highest cosine, if that reaches ``LEAST``.
+*Cosine.* Units and the forms of a licence are sparse vectors of words. Document frequencies
+are counted over all units, weights are ``tf * (ln((1 + units) / (1 + df)) + 1)``. Words of
+units meet words of forms in an equi-join, so only what they share is multiplied. A unit's
+licence is that of the form with the highest cosine, if that reaches ``LEAST``.
 
 *Inheritance.* A directory's licence is that of its best licence file. A file
 without a licence of its own takes that of the nearest directory above it that has one:
@@ -17,40 +18,35 @@ each distinct directory is joined to the licences of all its ancestors, the deep
 and files are joined to directories, with hot directories split.
 
 Defined cases: a null or empty text has no units; a null path is a file of its own
-in no directory and inherits nothing; equal paths are files of their own; ties in cosine
-go to the first template by name, ties between licence files to the first path; other
-columns are ignored; an empty table gives an empty one.
+in no directory and inherits nothing; equal paths, and repeated rows, are files of their
+own; ties in cosine go to the first licence by name, ties between licence files to the first
+path; very long texts are read whole; other columns, whatever their names, are ignored; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rawharbor.llm.common import WORD, materialize, quoted
+from rawharbor.llm.license_texts import TEMPLATES
 from rawharbor.operators.joins import join_reduced
 from rawharbor.session import small_table
 
 LEAST = 0.55
 SHORT = 60
-CUE = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain"
+CUE = (
+    r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|permission is hereby granted|redistribution and use"
+    r"|permission to use|unauthorized copying"
+)
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
-# Statements by which files name these licences (fixed values).
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "mit": "Released under the MIT License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "lgpl-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "agpl-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "bsd-3-clause": "Redistribution and use are permitted under the BSD 3-Clause License.",
-    "mpl-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc0-1.0": "Dedicated to the public domain under CC0 1.0.",
-    "proprietary": "Copyright. All rights reserved.",
-}
+# Signs that stand before the text of a comment line.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+)?[ \t]*"
+TAG = r"(?i)spdx-license-identifier:\s*([\w.+-]+)"
 
 
 def terms(text: Column) -> Column:
@@ -66,12 +62,23 @@ def _counted(units: DataFrame) -> DataFrame:
     return units.select("unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
 
 
-def best_templates(units: DataFrame, templates: dict[str, str], least: float = LEAST) -> DataFrame:
-    """``unit, license, score`` for the units that come near enough to a template."""
+def _forms(templates: dict[str, Sequence[str]]) -> list[tuple[str, str]]:
+    """``(name and number, text)`` of every form, the SPDX tag last."""
+    return [
+        (f"{name}|{i}", text) for name, texts in sorted(templates.items()) for i, text in enumerate([*texts, _tag_word(name)])
+    ]
+
+
+def _tag_word(identifier: str) -> str:
+    return f"spdx-tag-{identifier.lower()}"
+
+
+def best_templates(units: DataFrame, templates: dict[str, Sequence[str]], least: float = LEAST) -> DataFrame:
+    """``unit, license, score`` for the units that come near enough to a form of a licence."""
     spark = units.sparkSession
     number = units.count()
     counted = materialize(_counted(units), "unit-terms")
-    known = small_table(spark, sorted(templates.items()), "unit string, text string")
+    known = small_table(spark, _forms(templates), "unit string, text string")
     named = _counted(known).withColumnRenamed("unit", "license")
     frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1.0 + number) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
@@ -83,6 +90,7 @@ def best_templates(units: DataFrame, templates: dict[str, str], least: float = L
     scored = dots.join(lengths, "unit").join(sizes, "license").withColumn(
         "score", F.round(F.col("dot") / (F.col("length") * F.col("size")), 9)
     )
+    scored = scored.withColumn("license", F.substring_index("license", "|", 1))
     best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("below"), "license")).alias("b"))
     return best.select("unit", "b.license", (-F.col("b.below")).alias("score")).filter(F.col("score") >= least)
 
@@ -92,7 +100,7 @@ def license_scan(
     path: Column,
     text: str = "text",
     id_column: str = "doc_id",
-    templates: dict[str, str] | None = None,
+    templates: dict[str, Sequence[str]] | None = None,
     least: float = LEAST,
 ) -> DataFrame:
     """``doc_id, path, license, score, origin, licence_file`` for every row of ``files``;
@@ -100,11 +108,15 @@ def license_scan(
     content = F.coalesce(quoted(text).cast("string"), F.lit(""))
     where = path.cast("string")
     lines = F.filter(F.split(content, "\n"), lambda line: line.rlike(CUE))
+    paragraphs = F.filter(F.split(F.regexp_replace(content, MARKS, ""), r"\n\r?(?:\n\r?)+"), lambda p: p.rlike(CUE) & F.contains(p, F.lit("\n")))
+    # "-or-later", "-only" and "+" name versions of one licence.
+    tag = F.regexp_replace(F.lower(F.regexp_extract(content, TAG, 1)), r"(?:-or-later|-only|\+)$", "")
+    tags = F.when(tag != "", F.array(F.concat(F.lit(_tag_word("")), tag))).otherwise(F.array().cast("array<string>"))
     rows = files.select(
         F.monotonically_increasing_id().alias("file"),
         quoted(id_column).alias("doc_id"),
         where.alias("path"),
-        F.when(content.rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("lines"),
+        F.when(content.rlike(CUE), F.concat(lines, paragraphs, tags)).otherwise(F.array().cast("array<string>")).alias("lines"),
         (
             F.coalesce(where.rlike(NAMED), F.lit(False))
             | (content.rlike(CUE) & (F.regexp_count(content, F.lit(WORD)) <= SHORT))

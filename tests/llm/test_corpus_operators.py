@@ -14,6 +14,8 @@ import pytest
 from odd import ROWS, no_documents, odd_documents
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from rawharbor.llm import brown, chat, licenses, multiindex, neardup, wavelet
 from rawharbor.llm.components import connected
 from rawharbor.session import fresh_dir
@@ -285,7 +287,7 @@ def test_windows_of_no_conversation(spark):
 
 
 def test_license_scan(spark):
-    mit, apache = licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0"]
+    mit, apache = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["apache-2.0"][0]
     body = " ".join(f"w{i}" for i in range(80))
     rows = [
         (1, "a/LICENSE", mit),
@@ -319,8 +321,67 @@ def test_license_scan(spark):
     assert licenses.license_scan(empty, empty["path"]).count() == 0
 
 
+REAL = {
+    "src/a.py": ("mit", """#!/usr/bin/env python
+# Copyright (c) 2019 Somebody Else
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software.
+import os
+"""),
+    "src/b.c": ("apache-2.0", """/*
+ * Copyright 2021 The Owners
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main() { return 0; }
+"""),
+    "src/c.rs": ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0\n\nfn main() {}\n"),
+    "src/d.h": ("gpl-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */\n#define X 1\n"),
+    "src/e.go": ("bsd-3-clause", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage main\n"),
+    "lib/f.cpp": ("gpl-3.0", """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// You should have received a copy of the program.
+#include <x>
+"""),
+    "lib/g.js": ("mpl-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nvar x;\n"),
+    "lib/h.sql": ("isc", "-- Permission to use, copy, modify, and/or distribute this software for any\n-- purpose with or without fee is hereby granted, provided that the above\n-- copyright notice and this permission notice appear in all copies.\nselect 1;\n"),
+    "p/a.txt": (None, "The town office gave out a fishing license to forty people last year, and the line for it was long on most days of the week."),
+    "p/b.txt": (None, "SPDX-License-Identifier: Some-Unknown-Thing-9\n" + "filler words go on and on here " * 12),
+    "p/c.txt": (None, "A copyright dispute between two publishers went to court in spring, and nobody knows how it will end, or when."),
+    "p/d.txt": (None, "permission to use the pool is granted to guests who stay for more than three nights at our hotel near the lake"),
+}
+
+
+def test_real_headers_and_plain_mentions(spark):
+    rows = [(i, path, text) for i, (path, (_, text)) in enumerate(REAL.items())]
+    files = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    found = {r["path"]: r["license"] for r in licenses.license_scan(files, files["path"]).collect() if r["origin"] == "own"}
+    assert found == {path: name for path, (name, _) in REAL.items() if name}
+
+
+def test_license_scan_of_odd_documents(spark):
+    docs = odd_documents(spark).withColumn("unit", F.lit("x")).withColumn("license", F.lit("y"))
+    found = licenses.license_scan(docs, F.concat(F.lit("a/"), "source")).collect()
+    assert len(found) == len(ROWS) and {r["license"] for r in found} == {None}
+
+
 def test_cosines_equal_brute_force(spark):
-    units = [(f"u{i}", t) for i, t in enumerate([*licenses.TEMPLATES.values(), "Copyright 2020 me", "MIT MIT license", "", "x"])]
+    units = [(f"u{i}", t) for i, t in enumerate([*(t for ts in licenses.TEMPLATES.values() for t in ts), "spdx-tag-mit", "Copyright 2020 me", "MIT MIT license", "", "x"])]
 
     def count(text):
         return Counter(re.findall(r"[^\W_](?:[\w.-]*[^\W_])?", text.lower()))
@@ -330,11 +391,12 @@ def test_cosines_equal_brute_force(spark):
     n = len(units)
     weigh = lambda c: {t: f * (math.log((1 + n) / (1 + df[t])) + 1) for t, f in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    named = {k: weigh(count(t)) for k, t in licenses.TEMPLATES.items()}
+    named = [(k, weigh(count(t))) for k, ts in licenses.TEMPLATES.items() for t in (*ts, f"spdx-tag-{k}")]
     expected = {}
     for u, c in counted.items():
         v = weigh(c)
-        scores = [(-sum(v[t] * w.get(t, 0) for t in v) / (norm(v) * norm(w)), k) for k, w in named.items()] if v else []
+        scores = [(-sum(v[t] * w.get(t, 0) for t in v) / (norm(v) * norm(w)), k) for k, w in named] if v else []
+        scores = [(round(s, 9), k) for s, k in scores]
         if scores and -min(scores)[0] >= 0.2:
             expected[u] = (min(scores)[1], pytest.approx(-min(scores)[0], abs=1e-8))
     found = licenses.best_templates(spark.createDataFrame(units, "unit string, text string"), licenses.TEMPLATES, 0.2)
