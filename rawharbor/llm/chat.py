@@ -4,10 +4,11 @@
 ``\\ < [ ]`` are written ``\\e \\l \\b \\r``, so no control string can stand inside one,
 and the original comes back by the reverse replacements.
 
-*Windows.* Turns are counted in tokens and their prefix sums laid on a grid of as many
-tokens as a window has left for new turns. Turns inside one grid cell make a span; a
-turn across a border makes a span of its own. So every span holds whole turns and fits
-the budget, and each turn is new in exactly one window. Turns are never cut: a window
+*Windows.* Turns are counted in tokens. A conversation that fits the budget whole is one
+window. Of others the prefix sums are laid on a grid of as many tokens as a window has left
+beside this conversation's system turns and the history. Turns inside one grid cell make a
+span; a turn across a border makes a span of its own. So every span holds whole turns and
+fits the budget, and each turn is new in exactly one window. Turns are never cut: a window
 that a very long turn or system turn makes longer than the budget is marked ``oversize``. A window shows the conversation's system turns
 first, then the last turns before its span as history, as far as ``history`` tokens reach,
 then the span. Only assistant turns that are new in the window are under the loss mask;
@@ -18,7 +19,8 @@ of the rows, which split a conversation of any length, and over the sums of the
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn (null first),
 then role and text, so repeated rows follow one another; a null conversation id is one
-conversation; other columns are ignored; an empty table gives an empty one.
+conversation; very long turns are kept whole; other columns, whatever their names, are ignored;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rawharbor.llm.common import WORD, materialize, quoted
+from rawharbor.llm.common import WORD, encoded, materialize, quoted
 from rawharbor.operators.joins import join_reduced
 
 BUDGET = 1024  # tokens of a window
 HISTORY = 256  # of which at most so many are repeated turns
-SYSTEM = 256  # and so many are kept for the system turn
+SYSTEM = 256  # system turns that have more tokens than this make windows longer
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("]", "\\r"))
 
 
@@ -108,8 +110,19 @@ def windows(
     """
     if budget <= history + system:
         raise ValueError("the budget leaves no room for new turns")
-    room = budget - history - system
-    turns = materialize(numbered_turns(conversations, conv_id), "numbered")
+    least, room = budget - history - system, F.col("room")
+    numbered = materialize(numbered_turns(conversations, conv_id), "numbered")
+    spoken = F.when(F.col("role") == "system", F.col("cost")).otherwise(0)
+    sums = numbered.groupBy("conv").agg(F.sum("tokens").alias("total"), F.sum(spoken).alias("system_tokens"))
+    whole = F.col("total") + F.col("system_tokens") <= budget
+    rooms = sums.select(
+        encoded(F.col("conv")).alias("conv_key"),
+        F.when(whole, F.greatest("total", F.lit(1)))
+        .otherwise(F.greatest(budget - history - F.col("system_tokens"), F.lit(least)))
+        .cast("bigint")
+        .alias("room"),
+    )
+    turns = join_reduced(numbered.withColumn("conv_key", encoded(F.col("conv"))), rooms, ["conv_key"], "inner").drop("conv_key")
     cell = F.floor(F.col("before") / room)
     last = F.floor((F.col("before") + F.col("tokens") - 1) / room)
     # Even numbers for the turns inside a cell, odd ones for a turn across its end.
@@ -117,7 +130,7 @@ def windows(
         "window", F.when(F.col("tokens") == 0, F.lit(None)).otherwise(2 * cell + (last > cell).cast("bigint"))
     )
     plain = placed.filter("role <> 'system'")
-    spans = plain.groupBy("conv", "window").agg(F.min("before").alias("from_tokens"))
+    spans = plain.groupBy("conv", "window").agg(F.min("before").alias("from_tokens"), F.first("room").alias("room"))
     # History: the turns that end within ``history`` tokens before a span. They can only lie
     # in cells near it, so turns and spans meet by cell.
     reach = F.sequence(F.floor((F.col("from_tokens") - history) / room), F.floor(F.col("from_tokens") / room))

@@ -68,6 +68,7 @@ WITH RECURSIVE said AS (
 ),
 sized AS (
   SELECT *, CASE WHEN role = 'system' THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 END AS tokens,
+         CASE WHEN role = 'system' THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 ELSE 0 END AS system_tokens,
          length(role) + length(text) + 9 + len(regexp_extract_all(role || text, '[\\<\[\]]')) AS chars
   FROM said
 ),
@@ -75,8 +76,14 @@ placed AS (
   SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS before
   FROM sized
 ),
+rooms AS (
+  SELECT conv_id, CASE WHEN sum(tokens) + sum(system_tokens) <= 1024 THEN greatest(sum(tokens), 1)
+                       ELSE greatest(768 - sum(system_tokens), 512) END::BIGINT AS room
+  FROM sized GROUP BY conv_id
+),
 plain AS (
-  SELECT *, 2 * (before // 512) + ((before + tokens - 1) // 512 > before // 512)::BIGINT AS win FROM placed WHERE role <> 'system'
+  SELECT p.*, 2 * (before // room) + ((before + tokens - 1) // room > before // room)::BIGINT AS win
+  FROM placed p JOIN rooms r ON r.conv_id IS NOT DISTINCT FROM p.conv_id WHERE role <> 'system'
 ),
 spans AS (SELECT conv_id, win, min(before) AS start FROM plain GROUP BY conv_id, win),
 shown AS (

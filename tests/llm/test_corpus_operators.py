@@ -276,6 +276,15 @@ def test_windows(spark):
     assert any(s["kind"] == "history" for r in made.collect() for s in r["segments"])
 
 
+def test_a_conversation_that_fits_is_one_window(spark):
+    rows = [(c, t, "system" if t == 0 and c % 2 else "user", "w " * size) for c, size in enumerate((1, 5, 9, 12, 40)) for t in range(8)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("room", F.lit("clash"))
+    made = chat.windows(frame, budget=120, history=20, system=20).collect()
+    count = Counter(r["conv_id"] for r in made)
+    for conv, size in enumerate((1, 5, 9, 12, 40)):
+        assert (count[conv] == 1) == (8 * (size + 2) <= 120), conv
+
+
 def test_windows_of_no_conversation(spark):
     frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.digests(chat.windows(frame)).count() == 0
