@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,17 @@ from pyspark.sql import functions as F
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 # Whole attributes are stepped over, so neither data-href nor an href inside
 # another attribute's quotes is taken for a link.
+# A quoted value ends its attribute even if no blank follows. Nothing that is stepped over is
+# given back, so a tag of any number of attributes is read once, without recursion.
 ANCHOR = (
-    r"(?is)<a\s+(?:[^\s\"'>=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?\s+)*?"
+    r"(?is)<a\s+(?:(?!href\s*=)[^\s\"'>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"\s*+|'[^']*+'\s*+|[^\s\"'>]++\s++)|\s++))*+"
     r"href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 )
 ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
-# Named character references resolved in attribute and cell text.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+# Named character references that end in a semicolon, from the standard library's table.
+NAMES = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and text != "&"}
+NAMED = r"&([a-zA-Z][a-zA-Z0-9]*);"
 NUMERIC = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
@@ -24,9 +29,12 @@ def unescape(text: Column) -> Column:
     references = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), 1))
     numbered = F.aggregate(references, text, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)))
     text = F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text)
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    table = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    known = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED), 1)), lambda n: F.map_contains_key(table, n))
+    named = F.aggregate(known, text, lambda done, n: F.replace(done, F.concat(F.lit("&"), n, F.lit(";")), table[n]))
+    text = F.when(F.rlike(text, F.lit(NAMED)), named).otherwise(text)
+    # An ampersand comes last, so that what it stands before is not resolved as well.
+    return F.regexp_replace(text, "&(?:amp|AMP);", "&")
 
 
 def _character(reference: Column) -> Column:

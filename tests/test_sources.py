@@ -168,7 +168,7 @@ def test_exact_values(spark):
 
 
 def test_character_references(spark):
-    raw = ["a&amp;b", "&amp;lt;", "&#38;lt;", "&#x26;#39;", "&#39;x&#x27;", "&#233;&#x1F600;", "&#0;", "&lt;&gt;&quot;&apos;", "&bogus;", "1 & 2"]
+    raw = ["a&amp;b", "&amp;lt;", "&#38;lt;", "&#x26;#39;", "&#39;x&#x27;", "&#233;&#x1F600;", "&#0;", "&lt;&gt;&quot;&apos;", "&bogus;", "1 & 2", "caf&eacute;&hellip;&AMP;lt;", "&NotEqualTilde;&amp;eacute;"]
     df = spark.createDataFrame(list(enumerate(raw)), "i int, v string")
     got = [r["v"] for r in df.select("i", html.unescape(F.col("v")).alias("v")).orderBy("i").collect()]
     assert got == [unescape(v) for v in raw]
@@ -202,6 +202,14 @@ def test_anchors(spark):
     assert [tuple(r) for r in got] == [(1, i, h) for i, h in enumerate(["one", "two?a=1&b=2", "three", "", "four"])]
 
 
+def test_attributes_without_blanks_between(spark):
+    page = """<a class="x"href="/a">1</a><a class='y'href='/b&eacute;'id=1>2</a><a data-href="no"href=c>3</a><a title="href='no'"b>4</a>"""
+    broken = page + "<a " + "x=\"y\"" * 2_000 + " href=/end>" + "<a " + "y " * 2_000
+    got = html.anchors(spark.createDataFrame([(1, page), (2, broken)], "id int, html string"), "html", ("id",)).collect()
+    assert [r["href"] for r in got if r["id"] == 1] == ["/a", "/bé", "c"]
+    assert [r["href"] for r in got if r["id"] == 2] == ["/a", "/bé", "c", "/end"]
+
+
 def test_anchor_of_a_long_page_does_not_overflow(spark):
     body = "<a href='x'>" + "word " * 200_000 + "<a " + "y=1 " * 500 + "href='end'>"
     got = html.anchors(spark.createDataFrame([(1, body)], "id int, html string"), "html", ("id",)).collect()
