@@ -20,6 +20,7 @@ outside the vocabulary raise; equal rows give equal answers; other columns are k
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from rawharbor.llm.common import quoted
 from rawharbor.session import prepare_python
 
-STATES = 60_000  # kept states, pair answers and segments; they bound memory, not results
-PAIRS = 100_000
+STATES = 110_000  # kept states, pair answers, pieces and segments; they bound memory, not results
+PAIRS = 200_000
 GROWN = 15_000
-SEGMENTS = 80_000  # in each of two generations
+SEGMENTS = 50_000  # in each of two generations
+PIECES = 150_000  # the same
 NEVER = 1 << 60
 
 Config = tuple[int, int, tuple[int, ...]]  # trie node, token before, tokens not yet written
@@ -64,7 +66,7 @@ class Transducer:
                     self.token.append(-1)
                 node = after
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.grown: dict[int, tuple] = {}
         self.forget()
 
@@ -95,7 +97,7 @@ class Transducer:
         return (first, last) if len(parts) == 1 else ([], [])
 
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether merging both together leaves the boundary between them.
+        """Whether merging both together leaves the boundary between them; kept in ``pairs``.
 
         The parts at the boundary grow by rank. They are joined across it if their own
         joint rank comes before the next growth on either side (at a tie, the left side
@@ -103,9 +105,6 @@ class Transducer:
         """
         if before < 0:
             return True
-        known = self.pairs.get((before, token))
-        if known is not None:
-            return known
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         if len(self.grown) >= GROWN:
@@ -128,31 +127,40 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        self.pairs[before, token] = known
+        self.pairs[before << 32 | token] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the step from a state by a byte: the next state and the tokens written."""
         after: list[Config] = []
         ended: Config | None = None
+        children, tokens, pairs = self.children, self.token, self.pairs
+        open_ended = False  # whether nothing is waiting somewhere, so that nothing can be written
         for node, before, waiting in self.states[state]:
-            child = self.children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            token = self.token[child]
-            if token >= 0 and ended is None and self.may_follow(before, token):
-                ended = (0, token, (*waiting, token))
-            if self.children[child]:
+            token = tokens[child]
+            if token >= 0 and ended is None:
+                follows = pairs.get(before << 32 | token)
+                if follows or (follows is None and self.may_follow(before, token)):
+                    ended = (0, token, (*waiting, token))
+            if children[child]:
                 after.append((child, before, waiting))
+                open_ended = open_ended or not waiting
         if ended is None:
             raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
         after.append(ended)
-        shared = 0
-        lists = [c[2] for c in after]
-        while all(len(x) > shared for x in lists) and len({x[shared] for x in lists}) == 1:
-            shared += 1
-        written = lists[0][:shared]
-        key = tuple((node, before, waiting[shared:]) for node, before, waiting in after)
+        written: tuple[int, ...] = ()
+        if not open_ended:
+            lists = [c[2] for c in after]
+            least, most, shared = min(lists), max(lists), 0  # these two agree on least
+            while shared < len(least) and shared < len(most) and least[shared] == most[shared]:
+                shared += 1
+            if shared:
+                written = least[:shared]
+                after = [(node, before, waiting[shared:]) for node, before, waiting in after]
+        key = tuple(after)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
@@ -183,12 +191,22 @@ class Encoder:
         self.gap = regex.compile(r" \s").search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def fresh(self, segment: str) -> bytes:
-        ids: list[int] = []
+        """A segment met for the first time mostly consists of pieces met before."""
+        if len(self.known_pieces) > PIECES:
+            self.known_pieces, self.older_pieces = {}, self.known_pieces
+        known, older, out = self.known_pieces, self.older_pieces, []
         for piece in self.pieces(segment):
-            ids += self.transducer.encode(piece.encode())
-        return array("i", ids).tobytes()
+            ids = known.get(piece)
+            if ids is None:
+                ids = older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()
+                if len(piece) <= 64:
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[bytes]:
         """Ids as little-endian words, in parts.
@@ -201,17 +219,19 @@ class Encoder:
         if self.gap(text):
             return [self.fresh(text)]
         parts = text.split(" ")
-        out = [self.fresh(parts[0])]
         if len(self.known) > SEGMENTS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        for part in parts[1:]:
-            ids = known.get(part)
-            if ids is None:
-                ids = older.get(part) or self.fresh(" " + part)
-                if len(part) <= 64:
-                    known[part] = ids
-            out.append(ids)
+        out = [self.fresh(parts[0]), *map(known.get, parts[1:])]
+        if None in out:
+            for i in [i for i, ids in enumerate(out) if ids is None]:
+                part = parts[i]
+                ids = known.get(part)  # it may have been met further on the left
+                if ids is None:
+                    ids = older.get(part) or self.fresh(" " + part)
+                    if len(part) <= 64:
+                        known[part] = ids
+                out[i] = ids
         return out
 
 
@@ -273,6 +293,9 @@ def _made(kind: type, content: bytes, *more: str):
     key = (kind, hashlib.sha256(content).digest(), *more)
     if key not in _MADE:
         _MADE[key] = kind(read_ranks(content), *more)
+        # The vocabulary stays, and what is kept holds no cycles: look through it seldom.
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 50)
     return _MADE[key]
 
 
