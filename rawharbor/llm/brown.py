@@ -228,6 +228,19 @@ def _most(moved: int):
     return run
 
 
+def _top(counted: DataFrame, moved: int) -> list:
+    """The words of the greatest counts, ties to the least hash. A histogram of at most a
+    thousand steps first tells below which count none of them lies, so that what ranges
+    send to the driver does not grow with their number."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    below, so_far = 0, 0
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        below, so_far = row["step"], so_far + row["count"]
+        if so_far >= moved:
+            break
+    return counted.where(step >= below).orderBy(F.desc("n"), "word").limit(moved).collect()
+
+
 # --- exchange ---------------------------------------------------------------------
 
 
@@ -557,7 +570,7 @@ def _learned(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, int
     ranges = max(1, -(-size // RANGE_BYTES))
     blocks = materialize(narrow.mapInArrow(_blocks, BLOCK_SCHEMA), "brown-blocks")
     counted = blocks.mapInArrow(_counts(ranges), PACKED).groupBy("part").applyInArrow(_most(MOVED), "word bigint, n bigint")
-    top = counted.orderBy(F.desc("n"), "word").limit(MOVED).collect()
+    top = _top(materialize(counted, "brown-frequent"), MOVED)
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     frequent, counts = words[order], np.array([r["n"] for r in top], np.int64)[order]

@@ -519,6 +519,15 @@ def test_exchange_never_lowers_the_likelihood(spark, monkeypatch):
     assert len(frequent) == 500 and 10 < len(set(classes.tolist())) <= brown.CLASSES
 
 
+def test_most_frequent_words(spark):
+    rng = random.Random(3)
+    rows = [(i, int(10 ** (6 * rng.random()))) for i in range(3000)] + [(9000 + i, 77) for i in range(50)]
+    df = spark.createDataFrame(rows, "word bigint, n bigint").repartition(7)
+    for moved in (1, 10, 1000, 5000):
+        assert [tuple(r) for r in brown._top(df, moved)] == sorted(rows, key=lambda r: (-r[1], r[0]))[:moved]
+    assert brown._top(df.limit(0), 5) == []
+
+
 def test_exchange_joins_words_of_one_place(monkeypatch):
     """With few classes, single moves by gain bring the words of one place together."""
     monkeypatch.setattr(brown, "CLASSES", 5)
