@@ -13,16 +13,21 @@ in each round a few hubs of a band are compared with its members of other compon
 components are joined; the last round compares every pair of different components that
 is left in a band, so no link between them is left out. Hubs are those that meet the most
 others, as the original of a family of copies does: copies that a hub links cost one
-comparison each, a text that none links is compared with every member of its bands.
+comparison each. Before the later rounds, texts leave that cannot link at all, as too few of
+their shingles stand in any other open text; one that may, but that no hub links, is
+compared with every member of its bands.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing;
 equal sets are one node, whatever their ids; a component's id is the least document id in
 it (null if it has none); rows with equal id and text count as one document when only one
-of a group shall stay; tied ids do not matter; an empty table gives an empty one.
+of a group shall stay; tied ids do not matter; very long texts are read whole; other columns,
+whatever their names, are kept or not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,7 +118,25 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 NODE = "struct<n:bigint,key:binary,bands:array<bigint>>"
 
 
+SLICE_BYTES = 1 << 20
+
+
+def _slices(*texts: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of rows whose texts have about a megabyte: the arrays made of a text are
+    many times its size."""
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(t), 0)).astype(np.int64) for t in texts)
+    number = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(sizes) else []
+    yield from (pa.array(np.arange(a, b)) for a, b in zip(cuts[:-1], cuts[1:]))
+
+
 def _nodes(texts: pa.Array) -> pa.Array:
+    parts = [_some_nodes(texts.take(rows)) for rows in _slices(texts)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else _some_nodes(texts)
+
+
+def _some_nodes(texts: pa.Array) -> pa.Array:
     values, bounds = shingle_sets(texts)
     counts = np.diff(bounds)
     keys = band_keys(sketches(values, bounds))
@@ -130,6 +153,12 @@ def _nodes(texts: pa.Array) -> pa.Array:
 
 
 def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
+    parts = [_some_linked(left.take(rows), right.take(rows)) for rows in _slices(left, right)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+
+
+def _some_linked(left: pa.Array, right: pa.Array) -> pa.Array:
     (a, at_a), (b, at_b) = shingle_sets(left), shingle_sets(right)
     answers = []
     for i in range(len(left)):
@@ -139,6 +168,15 @@ def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(answers, pa.bool_())
 
 
+def _shingles(texts: pa.Array) -> pa.Array:
+    parts = []
+    for rows in _slices(texts):
+        values, bounds = shingle_sets(texts.take(rows))
+        parts.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64))))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+
 def _text_key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -175,6 +213,19 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(join_reduced(labelled, spread.select("band"), ["band"], "inner"), "neardup-open")
 
 
+def _linkable(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members that may link with another one: a link takes ``PERCENT`` of each set's shingles,
+    so a set with more than the rest in no other open set links with none of them. A shingle
+    is counted in every task before it is shuffled, however many sets hold it."""
+    shingles = F.arrow_udf(_shingles, "array<bigint>").asNondeterministic()
+    nodes = members.select("node", "n").distinct()
+    held = texts.join(nodes, "node").select("node", "n", F.explode(shingles("text")).alias("shingle"))
+    holders = held.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("node").alias("node"), F.min("n").alias("n"))
+    alone = holders.filter("sets = 1").groupBy("node", "n").agg(F.count("*").alias("alone"))
+    hopeless = alone.filter((F.col("n") - F.col("alone")) * 100 < F.col("n") * PERCENT).select("node")
+    return materialize(members.join(hopeless, "node", "left_anti"), "neardup-linkable")
+
+
 def _candidates(members: DataFrame, hubs_per_band: int | None) -> DataFrame:
     """Pairs of a band's best-known members, or of all, with its members of other components."""
     hubs = members
@@ -246,8 +297,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = _asked_texts(narrow, known.select("node", "first.doc_id", "first.text_key"))
     done = materialize(_confirmed(_first_candidates(members), texts), "neardup-pairs")
     labels = materialize(connected(done.filter("linked").select("a", "b")), "neardup-labels")
-    for hubs in HUBS:
+    for number, hubs in enumerate(HUBS):
         members = _unresolved(members, labels)
+        if number == 0:
+            members = _linkable(members, texts)
         if members.isEmpty():
             break
         new = _candidates(members, hubs).join(done.select("a", "b"), ["a", "b"], "left_anti")
