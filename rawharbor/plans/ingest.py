@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -68,18 +71,56 @@ def ingest(
     return csv_path
 
 
-def ingest_all(spark: SparkSession, requests: Iterable[Request], outdir: str) -> list[Result]:
-    """Run every request; one that fails is reported and does not stop the others.
-    It is an error if none succeeds."""
-    results = []
-    for request in requests:
+# Runs of a batch that share the cluster at any time.
+AT_ONCE = 8
+
+
+def ingest_all(spark: SparkSession, requests: Iterable[Request], outdir: str, at_once: int = AT_ONCE) -> list[Result]:
+    """Run every request, some at once; one that fails is reported and does not stop the
+    others. It is an error if none succeeds.
+
+    Each run is a scheduler pool of its own, so that with fair scheduling a large one does
+    not hold up the small ones, and its jobs carry a tag, by which what a failed run
+    has left running is cancelled. Runs that write to the same folder follow one another
+    in the order of the requests.
+    """
+    asked = list(requests)
+    by_folder: dict[str, list[int]] = {}
+    for number, request in enumerate(asked):
+        by_folder.setdefault(_folder(request, outdir), []).append(number)
+    results: dict[int, Result] = {}
+
+    def run(request: Request) -> Result:
+        tag = f"ingest-{uuid.uuid4().hex}"
+        spark.addTag(tag)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", tag)
         try:
-            results.append(Result(request, "passed", csv_path=ingest(spark, request, outdir)))
+            return Result(request, "passed", csv_path=ingest(spark, request, outdir))
         except Exception as error:  # noqa: BLE001 - every failure becomes a result row
-            results.append(Result(request, "failed", message=str(error)))
-    if not any(r.status == "passed" for r in results):
-        raise ValueError("; ".join(f"{r.request.source}: {r.message}" for r in results) or "no requests")
-    return results
+            spark.interruptTag(tag)
+            return Result(request, "failed", message=str(error))
+        finally:
+            spark.removeTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    def run_in_order(numbers: list[int]) -> None:
+        for number in numbers:
+            results[number] = run(asked[number])
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(by_folder)))) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run_in_order), by_folder.values()))
+    found = [results[number] for number in range(len(asked))]
+    if not any(r.status == "passed" for r in found):
+        raise ValueError("; ".join(f"{r.request.source}: {r.message}" for r in found) or "no requests")
+    return found
+
+
+def _folder(request: Request, outdir: str) -> str:
+    """Where a run writes; an unknown source writes nowhere."""
+    try:
+        return dataset_dir(outdir, get_source(request.source).dir_name, request.topic)
+    except ValueError:
+        return f"{request.source}: {request.topic}"
 
 
 def _limited(rows: DataFrame, request: Request, columnar: bool) -> DataFrame:

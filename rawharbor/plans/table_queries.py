@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from rawharbor.functions import text
 from rawharbor.functions.nulls import na_to_null
 from rawharbor.operators import align, compare, history, profile, quality, ranking, resolve
 from rawharbor.plans import landing
-from rawharbor.plans.ingest import Request, ingest
+from rawharbor.plans.ingest import Request, ingest, ingest_all
 from rawharbor.plans.layout import RAW_CSV_READ, write_raw, write_raw_batch
 from rawharbor.plans.publish import export, export_sheets, publish, publish_table
 from rawharbor.plans.requests import plan_requests
@@ -474,6 +476,23 @@ def ingest_run(spark, sf):
     return delimited.scan_csv(spark, ingest(spark, request, out), delimited.csv_schema(orders), **RAW_CSV_READ)
 
 
+def ingest_batch(spark, sf):
+    """A batch of runs at once: tables that pass, one that is nearly all missing, one that is not there."""
+    out, requests = fresh_dir(spark, "batch"), []
+    for name in ("orders", "customer", "part"):
+        path = fresh_dir(spark, f"landed-{name}")
+        write_raw(table(spark, sf, name), path)
+        requests.append(Request("airbnb", name, path, {"multiline": False}))
+    sparse, missing = fresh_dir(spark, "landed-sparse"), [F.lit(None).cast("string").alias(f"m{i}") for i in range(9)]
+    write_raw(table(spark, sf, "supplier").select("s_suppkey", *missing), sparse)
+    requests += [Request("yfinance", "sparse", sparse, {"multiline": False}), Request("yfinance", "absent", out + "/absent")]
+    results = ingest_all(spark, requests, out)
+    rows = [delimited.scan_csv(spark, r.csv_path, multiline=False).select(F.lit(r.request.topic).alias("topic")) for r in results if r.csv_path]
+    counted = reduce(DataFrame.unionByName, rows).groupBy("topic").agg(F.count(F.lit(1)).alias("rows"))
+    ran = small_table(spark, [(i, r.request.topic, r.status) for i, r in enumerate(results)], "number bigint, topic string, status string")
+    return ran.join(counted, "topic", "left")
+
+
 def export_all_sheets(spark, sf):
     items, path = table(spark, sf, "lineitem"), fresh_dir(spark, "sheets")
     export_sheets(items, path, items.columns, 25_000)
@@ -608,7 +627,7 @@ QUERIES = {
         source_urls, size_texts, list_parse, agent_identity, float_texts, percent_texts,
         row_limited, row_limited_short, capped_export, key_page, key_pages_all, key_page_index, key_page_far, raw_preservation_check,
         csv_roundtrip, csv_text_roundtrip, csv_splitting_scan, csv_stray_quotes, csv_roundtrip_diff, gzip_csv_scan, csv_inferred_scan, raw_layout,
-        ingest_run, ingest_literal, export_sheet, export_all_sheets, published_table, publish_run,
+        ingest_run, ingest_literal, ingest_batch, export_sheet, export_all_sheets, published_table, publish_run,
         chunked_table_load, chunk_verdicts, rate_audit_hourly, rate_audit_by_key, rolling_rate_all, rolling_rate_by_key,
         request_plan, request_plan_dropped, data_paths, user_tables, missing_columns,
     )

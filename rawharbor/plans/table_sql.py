@@ -270,6 +270,9 @@ SQL = {
     "facts_literal": """SELECT event_id, '12345678901234567890' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS val,
         CASE event_id % 4 WHEN 0 THEN 'FY' || year(ts) WHEN 1 THEN CAST(year(ts) AS VARCHAR) WHEN 2 THEN CAST(year(ts) AS VARCHAR) END AS fy,
         CAST(NULL AS VARCHAR) AS fp FROM events""",
+    "ingest_batch": """SELECT * FROM (VALUES (0::BIGINT, 'orders', 'passed', (SELECT count(*) FROM orders)),
+        (1, 'customer', 'passed', (SELECT count(*) FROM customer)), (2, 'part', 'passed', (SELECT count(*) FROM part)),
+        (3, 'sparse', 'failed', NULL), (4, 'absent', 'failed', NULL)) AS v(number, topic, status, rows)""",
     "ingest_run": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 3000",
     "export_sheet": """SELECT *, (SELECT count(*) FROM customer) > 1200 AS truncated FROM customer
         ORDER BY c_custkey LIMIT 1200""",
