@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,12 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return value.isNull()
 
 
+def presence(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every column but those to keep as true, or null where its value is missing. What counts
+    nulls behind a join then moves one bit per value instead of whole texts."""
+    return df.select(*[column(c) if c in keep else F.when(~is_missing(df, c), F.lit(True)).alias(c) for c in df.columns])
+
+
 def na_to_null(value: Column) -> Column:
     """Turn the textual missing-value spellings of a string column into NULL."""
     return F.when(~value.isin(*NA_TOKENS), value)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rawharbor.functions import text
-from rawharbor.functions.nulls import na_to_null
+from rawharbor.functions.nulls import na_to_null, presence
 from rawharbor.operators import align, compare, history, profile, quality, ranking, resolve
 from rawharbor.plans import landing
 from rawharbor.plans.ingest import Request, ingest, ingest_all
@@ -35,6 +35,12 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return align.append_target(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"], ["quality", "toxic"])
 
 
+def labelled_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for counting nulls: no text passes the join."""
+    documents = presence(table(spark, sf, "documents"), ["doc_id", "source", "lang"])
+    return align.append_target(documents, presence(table(spark, sf, "labels"), ["doc_id"]), ["doc_id"], ["quality", "toxic"])
+
+
 def numbered(spark: SparkSession, queries: tuple[str, ...]) -> DataFrame:
     return small_table(spark, list(enumerate(queries)), "query_id bigint, query string")
 
@@ -55,16 +61,16 @@ def assigned(df: DataFrame, answers: dict[str, str], column: str) -> Column:
 
 
 def data_dictionary(spark, sf):
-    return profile.data_dictionary(labelled(spark, sf))
+    return profile.data_dictionary(labelled_presence(spark, sf))
 
 
 def description_text(spark, sf):
-    dictionary = profile.data_dictionary(labelled(spark, sf), ["lang"])
+    dictionary = profile.data_dictionary(labelled_presence(spark, sf), ["lang"])
     return profile.render_dictionary(dictionary, F.concat(F.lit("Corpus "), F.col("lang")), ["lang"])
 
 
 def source_verdicts(spark, sf):
-    return quality.gate(labelled(spark, sf), ["source"], ["quality", "toxic"], GATE)
+    return quality.gate(labelled_presence(spark, sf), ["source"], ["quality", "toxic"], GATE)
 
 
 def null_density_gate(spark, sf):

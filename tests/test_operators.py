@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rawharbor.functions import literals
+from rawharbor.functions import literals, nulls
 from rawharbor.operators import align, compare, history, joins, profile, quality, ranking, resolve
 
 NAN = math.nan
@@ -424,6 +424,13 @@ def test_concat_refuses_repeated_keys_and_aligns_by_position(spark):
     assert align.concat_by_position(one.limit(0), two.limit(0)).collect() == []
 
 
+def test_presence_keeps_what_counts(spark):
+    df = spark.createDataFrame([(1, "long text", NAN), (2, None, 1.0), (None, "", None)], "k int, `a.b` string, x double")
+    flags = nulls.presence(df, ["k"])
+    assert dict(flags.dtypes) == {"k": "int", "a.b": "boolean", "x": "boolean"}
+    assert quality.null_counts(flags).collect() == quality.null_counts(df).collect()
+
+
 def test_pages_of_ranked_rows(spark):
     rows = [(i % 7, None if i % 5 == 0 else f"v{i % 3}") for i in range(200)]
     df = spark.createDataFrame(rows, "k int, v string").repartition(5)
