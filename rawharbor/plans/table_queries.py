@@ -253,11 +253,13 @@ def largest_member(spark, sf):
 
 
 def file_tree_largest(spark, sf):
+    """The largest file of each source, in a tree whose files have eleven bytes per document."""
     root = fresh_dir(spark, "tree")
-    documents = table(spark, sf, "documents")
-    documents.hint("rebalance", "source").write.partitionBy("source").options(header=True, escape='"').csv(root)
-    listed = members.csv_members(spark, root).withColumn("archive", F.regexp_extract("path", "source=([^/]*)", 1))
-    return ranking.largest_per(listed, ["archive"], "size", "path", ["path", "size"])
+    documents = table(spark, sf, "documents").select("source", "lang", F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("line"))
+    documents.repartition("source", "lang").write.partitionBy("source", "lang").csv(root)
+    listed = members.csv_members(spark, root)
+    named = [F.regexp_extract("path", f"{level}=([^/]*)", 1).alias(name) for level, name in (("source", "archive"), ("lang", "key"))]
+    return ranking.largest_per(listed.select("*", *named), ["archive"], "size", "path", ["key", "size"])
 
 
 def active_keys_history(spark, sf):

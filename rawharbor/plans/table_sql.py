@@ -200,6 +200,9 @@ SQL = {
         WHERE lower(sources) NOT IN (SELECT source FROM {REGISTRY})""",
     "largest_member": """SELECT source, doc_id, n_chars FROM documents
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1""",
+    "file_tree_largest": """SELECT source AS archive, lang AS key, size FROM (
+        SELECT source, lang, CAST(11 * count(*) AS BIGINT) AS size FROM documents GROUP BY source, lang)
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY size DESC, lang) = 1""",
     "active_keys_history": """WITH p AS (SELECT user_id, event_id, ts, value FROM events)
         SELECT * FROM p WHERE user_id IN (SELECT user_id FROM p WHERE ts > (SELECT max(ts) FROM p) - INTERVAL 5 DAY)""",
     "append_target": "SELECT doc_id, lang, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)",

@@ -8,8 +8,6 @@ import __spark_entry__ as entry_points
 from oracle import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-# Answered by file sizes on disk, which SQL over the tables cannot know.
-WITHOUT_SQL = {"file_tree_largest"}
 
 
 @pytest.fixture(scope="module")
@@ -18,11 +16,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.QUERIES) - set(entry_points.SQL) == WITHOUT_SQL
+    assert set(entry_points.QUERIES) == set(entry_points.SQL)
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.QUERIES) - WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(entry_points.QUERIES))
 def test_query_matches_sql(spark, connection, name):
     df = entry_points.queries()[name](spark, SF_DIR)
     found = difference(df, connection, entry_points.oracle_sql()[name])
@@ -32,13 +30,3 @@ def test_query_matches_sql(spark, connection, name):
 def test_entry_has_rows(spark):
     assert entry_points.entry(spark).columns == ["ordinal", "column", "nulls", "rows", "columns"]
     assert entry_points.entry(spark).count() == 7
-
-
-def test_largest_file_of_tree(spark):
-    rows = entry_points.queries()["file_tree_largest"](spark, SF_DIR).collect()
-    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    assert {r["archive"] for r in rows} == {r["source"] for r in documents.select("source").distinct().collect()}
-    for row in rows:
-        folder = os.path.dirname(row["path"].removeprefix("file:"))
-        sizes = [os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.endswith(".csv")]
-        assert row["size"] == max(sizes)
