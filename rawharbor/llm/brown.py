@@ -156,14 +156,6 @@ class _Block:
     def train(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def cuts(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of hashes that hold words met in training, and where each begins; the last
-        place ends the last one."""
-        seen = np.flatnonzero(self.counts)
-        parts = (self.words[seen] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(seen) else np.zeros(1, np.int64)
-        return parts[cuts[:-1]].astype(np.int64), cuts
-
     def kinds(self, frequent: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number among the exchanged words (or their count) and class of each word."""
         at = np.minimum(np.searchsorted(frequent, self.words), max(len(frequent) - 1, 0))
@@ -171,6 +163,14 @@ class _Block:
         return np.where(known, at, len(frequent)), np.where(known, classes[at] if len(frequent) else 0, OTHER)
 
 
+def _cuts(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of hashes that hold some of the sorted ``words``, and where each begins; the
+    last place ends the last one."""
+    parts = (words >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(words) else np.zeros(1, np.int64)
+    return parts[cuts[:-1]].astype(np.int64), cuts
+
+
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -193,9 +193,9 @@ def _counts(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for block in _each_block(batches):
-            parts, cuts = block.cuts(ranges)
             seen = np.flatnonzero(block.counts)
             words, counts = block.words[seen], block.counts[seen]
+            parts, cuts = _cuts(words, ranges)
             contents = [
                 packer.compress(planes(np.diff(words[a:b], prepend=np.uint64(0))) + planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])
             ]
@@ -222,7 +222,7 @@ def _most(moved: int):
             words.append(np.cumsum(unplanes(raw[: len(raw) // 2], np.uint64), dtype=np.uint64))
             counts.append(unplanes(raw[len(raw) // 2 :], np.int64))
         kinds, sums, _ = _summed(np.concatenate(words), np.concatenate(counts))
-        top = np.lexsort((kinds, -sums))[:moved]
+        top = np.lexsort((kinds.view(np.int64), -sums))[:moved]  # signed, as ``_top`` breaks ties
         return pa.table([pa.array(kinds[top].view(np.int64)), pa.array(sums[top])], names=["word", "n"])
 
     return run
@@ -390,25 +390,25 @@ def exchange(blocks: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> tup
 
 
 def _word_rows(frequent: np.ndarray, classes: np.ndarray, ranges: int):
-    """Per block and range of hashes: words met in training, their counts, and the classes
-    beside them: cells of word, side and class, with how often."""
+    """Per block and range of hashes: all words, as those of held-out documents may have been
+    met in training elsewhere, their training counts, and the classes beside them in
+    training: cells of word, side and class, with how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, wide = zstandard.ZstdCompressor(level=1), 2 * WIDE
         for block in _each_block(batches):
-            parts, cuts = block.cuts(ranges)
-            seen = np.flatnonzero(block.counts)
+            parts, cuts = _cuts(block.words, ranges)
             _, kind = block.kinds(frequent, classes)
             train = block.train()
             here, there = block.codes[train].astype(np.int64), block.before()[train].astype(np.int64)
             cells = np.sort(np.concatenate([here * wide + kind[there], there * wide + WIDE + kind[here]]))
             new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
             times, cells = np.diff(np.append(new, len(cells))), cells[new]
-            number = np.searchsorted(seen, cells // wide)  # every word of a cell was met in training
+            number = cells // wide
             edges = np.searchsorted(number, cuts)
             contents = []
             for a, b, p, q in zip(cuts[:-1], cuts[1:], edges[:-1], edges[1:]):
-                words, counts = block.words[seen[a:b]], block.counts[seen[a:b]]
+                words, counts = block.words[a:b], block.counts[a:b]
                 sizes = np.array([b - a, q - p])
                 owner, column = number[p:q] - a, cells[p:q] % wide
                 columns = [planes(np.diff(words, prepend=np.uint64(0))), planes(counts), planes(np.diff(owner, prepend=0)), planes(column), planes(times[p:q])]
@@ -429,8 +429,8 @@ def _open(content: bytes) -> list[np.ndarray]:
 
 
 def _classed(frequent: np.ndarray, classes: np.ndarray, bigrams: np.ndarray):
-    """Of one range: per block its words' counts in all of training and their classes. The row
-    of block -1 holds what all words of the range sum up to: tokens, words, words met once."""
+    """Of one range: per block its words' counts in all of training and their classes, which
+    is ``UNKNOWN`` for those that training never met. The row of block -1 holds what all words of the range sum up to: tokens, words, words met once."""
     weights = fit_weights(bigrams)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -453,11 +453,12 @@ def _classed(frequent: np.ndarray, classes: np.ndarray, bigrams: np.ndarray):
         if len(frequent):
             where = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
             chosen = np.where(frequent[where] == kinds, classes[where], chosen).astype(np.int8)
+        chosen[sums == 0] = UNKNOWN
         blocks, contents = rows["block"].to_pylist(), []
         for size, start in zip(sizes, starts):
             mine = place[start : start + size]
             contents.append(packer.compress(planes(sums[mine]) + chosen[mine].tobytes()))
-        totals = np.array([sums.sum(), len(sums), (sums == 1).sum()], np.int64)
+        totals = np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum()], np.int64)
         part = rows["part"][0].as_py()
         return pa.Table.from_batches([_rows([part] * (len(blocks) + 1), [*blocks, -1], [*contents, totals.tobytes()])])
 
@@ -483,14 +484,11 @@ def _moves(total: float, kinds: float):
     def run(key: tuple, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         block, opener = _Block({name: blocks[name][0] for name in blocks.schema.names}), zstandard.ZstdDecompressor()
         lengths, codes = block.lengths, block.codes
-        # Replies come by range, in the order of the block's words met in training.
+        # Replies come by range, in the order of the block's words.
         order = np.argsort(np.asarray(replies["part"].combine_chunks()))
         contents = [opener.decompress(replies["content"][i].as_py()) for i in order.tolist()]
-        seen = np.flatnonzero(block.counts)
-        count, kind = np.zeros(len(block.words), np.int64), np.full(len(block.words), UNKNOWN, np.int64)
-        if contents:
-            count[seen] = np.concatenate([unplanes(c[: len(c) // 9 * 8], np.int64) for c in contents])
-            kind[seen] = np.concatenate([np.frombuffer(c[len(c) // 9 * 8 :], np.int8) for c in contents])
+        count = np.concatenate([unplanes(c[: len(c) // 9 * 8], np.int64) for c in contents])
+        kind = np.concatenate([np.frombuffer(c[len(c) // 9 * 8 :], np.int8) for c in contents]).astype(np.int64)
         previous = block.before()
         here, there, met = kind[codes], kind[previous], count[codes]
         docs = np.repeat(np.arange(len(lengths)), lengths)

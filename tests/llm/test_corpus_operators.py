@@ -556,3 +556,17 @@ def test_small_blocks_give_the_same_scores(spark, monkeypatch):
     assert rows.keys() == again.keys()
     for i, r in rows.items():
         assert r["base_score"] == pytest.approx(again[i]["base_score"]) and r["score"] == pytest.approx(again[i]["score"], rel=1e-6)
+
+
+def test_words_of_held_out_texts_are_known_from_other_blocks(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, "alpha beta") for i in range(100, 110) if zlib.crc32(str(i).encode()) % 7 != 2]
+    trained, rows = len(rows), [(i, "Alpha beta beta new") for i in held] + rows
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    total, kinds = 3 * trained, 3
+    for r in brown.brown_scores(docs).collect():
+        new = r["doc_id"] in held
+        counts = [trained, trained, trained, 0, trained] if new else [trained] * 3
+        base = sum(math.log10((c + 1) / (total + kinds + 1)) for c in counts)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (new, 5 if new else 3, 4 if new else 3, total)
+        assert r["base_score"] == pytest.approx(base)
