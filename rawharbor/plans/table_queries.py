@@ -436,17 +436,30 @@ def csv_splitting_scan(spark, sf):
     return delimited.scan_csv_splitting(spark, path, delimited.csv_schema(documents))
 
 
+FILE_BYTES = 32 << 20  # text in a written file, about
+
+
 def csv_stray_quotes(spark, sf):
-    """Files of quoted texts with line breaks beside values that hold quotes of their own."""
+    """Files of quoted texts with line breaks beside values that hold quotes of their own.
+    Each of the four folders holds as many files, in folders of their own, as its rows need:
+    one file is written by one task."""
     documents, path = table(spark, sf, "documents"), fresh_dir(spark, "stray")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = size // (4 * FILE_BYTES) + 1
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     stray = F.concat(F.col("n_chars").cast("string"), F.lit('" wide'))
     part = F.pmod("doc_id", F.lit(4)).cast("int")
+    piece = F.pmod(F.monotonically_increasing_id(), F.lit(pieces)).cast("int")
     record = F.concat_ws(",", F.col("doc_id").cast("string"), stray, quoted, F.concat("lang", F.lit('"a,"b"')))
-    rows = documents.select(part.alias("part"), F.lit(1).alias("place"), record.alias("value"))
-    heads = spark.range(4).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("place"), F.lit("doc_id,size,text,mark,more").alias("value"))
-    files = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "place").drop("place")
-    files.write.partitionBy("part").text(path)
+    rows = documents.select(part.alias("part"), piece.alias("piece"), F.lit(1).alias("place"), record.alias("value"))
+    heads = spark.range(4 * pieces).select(
+        F.pmod("id", F.lit(4)).cast("int").alias("part"),
+        F.floor(F.col("id") / 4).cast("int").alias("piece"),
+        F.lit(0).alias("place"),
+        F.lit("doc_id,size,text,mark,more").alias("value"),
+    )
+    files = rows.unionByName(heads).repartition(4 * pieces, "part", "piece").sortWithinPartitions("part", "piece", "place").drop("place")
+    files.write.partitionBy("part", "piece").text(path)
     return delimited.scan_csv_splitting(spark, path, T.StructType.fromDDL("doc_id bigint, size string, text string, mark string, more string"))
 
 
