@@ -3,11 +3,12 @@
 *Encoding.* Applying merges to a piece gives the only sequence of tokens in which each
 neighbouring pair is what merging the two together would give. So tokens can be found
 from left to right: a configuration is a start position whose bytes so far are a proper
-prefix of some token, with the token before it and the tokens not yet written. The
-state of the transducer is the set of such configurations; what all of them agree on is
-written out at once, the rest after a lookahead that the longest token bounds. States
-and steps are made when first needed and kept up to a limit, beyond which they are
-dropped and made again.
+prefix of some token, with the token before it. The state of the transducer is the set of
+such configurations. Behind each byte exactly one token can end that may follow the one
+before its start; it is what a step writes. Read back from the end of a piece, each
+token's length leads to the one before, which gives the piece's tokens. States and steps
+are made when first needed and kept up to a limit, beyond which they are dropped and
+made again.
 
 *Decoding.* Token bytes are copied one after the other; text comes from an incremental
 UTF-8 machine that holds back at most three bytes of an unfinished character.
@@ -40,8 +41,9 @@ GROWN = 15_000
 SEGMENTS = 50_000  # in each of two generations
 PIECES = 150_000  # the same
 NEVER = 1 << 60
+LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"  # how patterns begin that match runs of letters whole
 
-Config = tuple[int, int, tuple[int, ...]]  # trie node, token before, tokens not yet written
+Config = tuple[int, int]  # trie node, token before
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -54,6 +56,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for token, rank in ranks.items():
@@ -71,11 +74,10 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        start: tuple[Config, ...] = ((0, -1, ()),)
+        start: tuple[Config, ...] = ((0, -1),)
         self.number: dict[tuple[Config, ...], int] = {start: 0}
         self.states = [start]
-        self.final: list[tuple[int, ...]] = [()]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.steps: dict[int, tuple[int, int]] = {}
 
     def edges(self, token: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
         """How the first and the last part of a token grow while its bytes are merged in
@@ -130,55 +132,64 @@ class Transducer:
         self.pairs[before << 32 | token] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the step from a state by a byte: the next state and the tokens written."""
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Make the step from a state by a byte: the next state and the token that ends."""
         after: list[Config] = []
-        ended: Config | None = None
+        ended = -1
         children, tokens, pairs = self.children, self.token, self.pairs
-        open_ended = False  # whether nothing is waiting somewhere, so that nothing can be written
-        for node, before, waiting in self.states[state]:
+        for node, before in self.states[state]:
             child = children[node].get(byte)
             if child is None:
                 continue
-            token = tokens[child]
-            if token >= 0 and ended is None:
+            if ended < 0 and (token := tokens[child]) >= 0:
                 follows = pairs.get(before << 32 | token)
                 if follows or (follows is None and self.may_follow(before, token)):
-                    ended = (0, token, (*waiting, token))
+                    ended = token
             if children[child]:
-                after.append((child, before, waiting))
-                open_ended = open_ended or not waiting
-        if ended is None:
+                after.append((child, before))
+        if ended < 0:
             raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
-        after.append(ended)
-        written: tuple[int, ...] = ()
-        if not open_ended:
-            lists = [c[2] for c in after]
-            least, most, shared = min(lists), max(lists), 0  # these two agree on least
-            while shared < len(least) and shared < len(most) and least[shared] == most[shared]:
-                shared += 1
-            if shared:
-                written = least[:shared]
-                after = [(node, before, waiting[shared:]) for node, before, waiting in after]
+        after.append((0, ended))
         key = tuple(after)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.final.append(key[-1][2])
-        self.steps[state << 8 | byte] = (number, written)
-        return number, written
+        found = self.steps[state << 8 | byte] = (number, ended)
+        return found
+
+    def last(self, state: int, byte: int) -> int:
+        """The token that ends behind the last byte of a piece. The state after it is not
+        needed, and pieces met for the first time mostly differ from others there."""
+        found = self.steps.get(state << 8 | byte)
+        if found is not None:
+            return found[1]
+        children, tokens, pairs = self.children, self.token, self.pairs
+        for node, before in self.states[state]:
+            child = children[node].get(byte)
+            if child is not None and (token := tokens[child]) >= 0:
+                follows = pairs.get(before << 32 | token)
+                if follows or (follows is None and self.may_follow(before, token)):
+                    return token
+        raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
 
     def encode(self, piece: bytes) -> list[int]:
+        if not piece:
+            return []
         if len(self.states) > STATES:
             self.forget()
-        steps, state, out = self.steps, 0, []
-        for byte in piece:
+        steps, state, ends = self.steps, 0, []
+        for byte in piece[:-1]:
             found = steps.get(state << 8 | byte)
-            state, written = found if found is not None else self.step(state, byte)
-            if written:
-                out += written
-        out += self.final[state]
+            state, ended = found if found is not None else self.step(state, byte)
+            ends.append(ended)
+        ends.append(self.last(state, piece[-1]))
+        lengths, at, out = self.lengths, len(ends), []
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
         return out
 
 
@@ -188,6 +199,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
+        # A run of plain letters, behind a blank or not, is one match of such a pattern.
+        self.one = regex.compile(r" ?[A-Za-z]+" if pattern.startswith(LETTERS_FIRST) else r"(?!)").fullmatch
         self.gap = regex.compile(r" \s").search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -199,7 +212,7 @@ class Encoder:
         if len(self.known_pieces) > PIECES:
             self.known_pieces, self.older_pieces = {}, self.known_pieces
         known, older, out = self.known_pieces, self.older_pieces, []
-        for piece in self.pieces(segment):
+        for piece in [segment] if self.one(segment) else self.pieces(segment):
             ids = known.get(piece)
             if ids is None:
                 ids = older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()

@@ -363,3 +363,17 @@ def test_query_digests(spark, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+
+
+def test_the_last_byte_of_a_piece_makes_no_state(library):
+    encoding, ranks = library
+    machine, rng = bpe.Transducer(ranks), random.Random(5)
+    first = b" eringinhe"
+    assert machine.encode(first) == encoding.encode_ordinary(first.decode())
+    assert len(machine.steps) == len(first) - 1 and len(machine.states) <= len(first)
+    assert machine.encode(b"") == []
+    pieces = ["".join(rng.choice("aehinrstéß\U0001f600") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for text in pieces + [f" {p}" for p in pieces] + [" ".join(pieces)]:
+        found = np.frombuffer(b"".join(coder.encode(text)), "<i4").tolist()
+        assert found == encoding.encode_ordinary(text)
