@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rawharbor.llm.common import quoted
+from rawharbor.llm.common import free_name, quoted
 from rawharbor.session import prepare_python
 
 STATES = 110_000  # kept states, pair answers, pieces and segments; they bound memory, not results
@@ -315,12 +315,13 @@ def _made(kind: type, content: bytes, *more: str):
 CHUNK = 1 << 16  # ids decoded at a time
 
 
-def encode(docs: DataFrame, out: str, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` and ``array<int>`` of the ids of the whole text, named ``out``."""
-    prepare_python(docs.sparkSession)
+def _shared(spark, ranks_path: str):
+    prepare_python(spark)
     with open(ranks_path, "rb") as file:
-        content = docs.sparkSession.sparkContext.broadcast(file.read())
+        return spark.sparkContext.broadcast(file.read())
+
 
+def _encoded(content, pattern: str):
     def run(texts: pa.Array) -> pa.Array:
         encoder = _made(Encoder, content.value, pattern)
         parts, offsets = [], [0]
@@ -331,15 +332,10 @@ def encode(docs: DataFrame, out: str, ranks_path: str, pattern: str, text: str =
         ids = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
 
-    return docs.withColumn(out, F.arrow_udf(run, "array<int>").asNondeterministic()(quoted(text).cast("string")))
+    return run
 
 
-def decode(rows: DataFrame, ids: str, out: str, ranks_path: str, as_text: bool = False) -> DataFrame:
-    """``rows`` and the bytes, or the text, that the array ``ids`` stands for."""
-    prepare_python(rows.sparkSession)
-    with open(ranks_path, "rb") as file:
-        content = rows.sparkSession.sparkContext.broadcast(file.read())
-
+def _decoded(content, as_text: bool):
     def run(lists: pa.Array) -> pa.Array:
         decoder, found = _made(Decoder, content.value), []
         flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -352,5 +348,33 @@ def decode(rows: DataFrame, ids: str, out: str, ranks_path: str, as_text: bool =
                 found.append(b"".join(chunks))
         return pa.array(found, pa.string() if as_text else pa.binary())
 
+    return run
+
+
+def encode(docs: DataFrame, out: str, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` and ``array<int>`` of the ids of the whole text, named ``out``."""
+    run = _encoded(_shared(docs.sparkSession, ranks_path), pattern)
+    return docs.withColumn(out, F.arrow_udf(run, "array<int>").asNondeterministic()(quoted(text).cast("string")))
+
+
+def decode(rows: DataFrame, ids: str, out: str, ranks_path: str, as_text: bool = False) -> DataFrame:
+    """``rows`` and the bytes, or the text, that the array ``ids`` stands for."""
+    run = _decoded(_shared(rows.sparkSession, ranks_path), as_text)
     udf = F.arrow_udf(run, "string" if as_text else "binary").asNondeterministic()
     return rows.withColumn(out, udf(F.coalesce(quoted(ids), F.array().cast("array<int>"))))
+
+
+def encode_and_decode(docs: DataFrame, ids: str, out: str, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """What :func:`encode` and :func:`decode` (to bytes) one after the other give, in one Python
+    worker per task instead of two, which would both come to hold an encoder."""
+    content = _shared(docs.sparkSession, ranks_path)
+    encoded, decoded = _encoded(content, pattern), _decoded(content, False)
+
+    def run(texts: pa.Array) -> pa.Array:
+        lists = encoded(texts)
+        return pa.StructArray.from_arrays([lists, decoded(lists)], names=["ids", "bytes"])
+
+    both = free_name(docs, "_coded")
+    udf = F.arrow_udf(run, "struct<ids:array<int>,bytes:binary>").asNondeterministic()
+    coded = docs.withColumn(both, udf(quoted(text).cast("string")))
+    return coded.withColumns({ids: quoted(both)["ids"], out: quoted(both)["bytes"]}).drop(both)

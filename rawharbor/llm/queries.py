@@ -84,7 +84,7 @@ def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def coded(docs: DataFrame) -> DataFrame:
     """Ids of the whole texts, and what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, "ids", ranks, public_tokenizers.PATTERN), "ids", "decoded", ranks)
+    return bpe.encode_and_decode(docs, "ids", "decoded", ranks, public_tokenizers.PATTERN)
 
 
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:

@@ -377,3 +377,15 @@ def test_the_last_byte_of_a_piece_makes_no_state(library):
     for text in pieces + [f" {p}" for p in pieces] + [" ".join(pieces)]:
         found = np.frombuffer(b"".join(coder.encode(text)), "<i4").tolist()
         assert found == encoding.encode_ordinary(text)
+
+
+def test_one_python_step_encodes_and_decodes(spark, library):
+    from rawharbor.llm.queries import coded
+
+    docs = odd_documents(spark)
+    both = coded(docs)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    apart = bpe.decode(bpe.encode(docs, "ids", RANKS, public_tokenizers.PATTERN), "ids", "decoded", RANKS)
+    assert both.columns == apart.columns
+    assert Counter(map(str, both.collect())) == Counter(map(str, apart.collect()))
