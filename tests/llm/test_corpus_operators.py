@@ -112,6 +112,40 @@ def test_near_duplicates_equal_brute_force(spark):
         assert row["kept"] == (expected[row["doc_id"]] == row["doc_id"])
 
 
+def test_copies_that_do_not_link_are_not_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(150)]
+    texts = []
+    for copy in range(40):
+        w = list(base if copy < 30 else texts[copy - 30].split())
+        for at in rng.sample(range(150), 3 if copy < 30 else 1):
+            w[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in range(a) if 7 * len(sets[a] ^ sets[b]) <= len(sets[a]) + len(sets[b])]
+    assert 10 <= len(links) < 40
+    found, plain = [], neardup._candidates
+
+    def counted(*given):
+        found.append(plain(*given).count())
+        return plain(*given)
+
+    monkeypatch.setattr(neardup, "_candidates", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    components = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert components == groups(sets, links)
+    assert max(found) <= 2 * len(links), found
+
+
+def test_parity_maps_bound_differences():
+    texts = near_copies(20, 300, 30, 5) + ["a b c", "", None]
+    words = [np.asarray(m, np.int64).view(np.uint64) for m in neardup._maps(pa.array(texts, pa.string())).to_pylist()]
+    for one, x in zip(texts, words):
+        for other, y in zip(texts, words):
+            differ = len(shingles(one) ^ shingles(other))
+            assert 0.8 * differ <= np.bitwise_count(x ^ y).sum() <= differ
+
+
 def test_near_duplicates_of_odd_documents(spark):
     found = neardup.near_duplicates(odd_documents(spark)).collect()
     assert len(found) == len(ROWS)
