@@ -5,7 +5,9 @@ neighbouring pair is what merging the two together would give. So tokens can be
 from left to right: a configuration is a start position whose bytes so far are a proper
 prefix of some token, with the token before it. The state of the transducer is the set of
 such configurations. Behind each byte exactly one token can end that may follow the one
-before its start; it is what a step writes. Read back from the end of a piece, each
+before its start; it is the last part of the state. As the bytes of the longest configuration
+end with those of all others, its trie node stands for all their nodes, and how bytes move
+them is found once for all tokens before. Read back from the end of a piece, each
 token's length leads to the one before, which gives the piece's tokens. States and steps
 are made when first needed and kept up to a limit, beyond which they are dropped and
 made again.
@@ -35,15 +37,16 @@ from pyspark.sql import functions as F
 from rawharbor.llm.common import free_name, quoted
 from rawharbor.session import prepare_python
 
-STATES = 110_000  # kept states, pair answers, pieces and segments; they bound memory, not results
-PAIRS = 200_000
+STATES = 250_000  # kept states, pair answers, pieces and segments; they bound memory, not results
+PAIRS = 600_000
 GROWN = 15_000
-SEGMENTS = 50_000  # in each of two generations
-PIECES = 150_000  # the same
+MOVES = 200_000
+SEGMENTS = 200_000  # in each of two generations
+PIECES = 200_000  # the same
 NEVER = 1 << 60
 LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"  # how patterns begin that match runs of letters whole
 
-Config = tuple[int, int]  # trie node, token before
+State = tuple[int, ...]  # trie node of the longest configuration; token before each, longest first
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -71,13 +74,15 @@ class Transducer:
             self.token[node] = rank
         self.pairs: dict[int, bool] = {}
         self.grown: dict[int, tuple] = {}
+        self.moves: dict[int, tuple] = {}
+        self.chains: dict[int, tuple[int, ...]] = {0: (0,)}
         self.forget()
 
     def forget(self) -> None:
-        start: tuple[Config, ...] = ((0, -1),)
-        self.number: dict[tuple[Config, ...], int] = {start: 0}
+        start: State = (0, -1)
+        self.number: dict[State, int] = {start: 0}  # 256 times the place in ``states``
         self.states = [start]
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.steps: dict[int, int] = {}  # a state's number plus a byte, to the next state's number
 
     def edges(self, token: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
         """How the first and the last part of a token grow while its bytes are merged in
@@ -132,61 +137,76 @@ class Transducer:
         self.pairs[before << 32 | token] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """Make the step from a state by a byte: the next state and the token that ends."""
-        after: list[Config] = []
-        ended = -1
-        children, tokens, pairs = self.children, self.token, self.pairs
-        for node, before in self.states[state]:
-            child = children[node].get(byte)
-            if child is None:
-                continue
-            if ended < 0 and (token := tokens[child]) >= 0:
-                follows = pairs.get(before << 32 | token)
-                if follows or (follows is None and self.may_follow(before, token)):
-                    ended = token
-            if children[child]:
-                after.append((child, before))
-        if ended < 0:
-            raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
-        after.append((0, ended))
-        key = tuple(after)
+    def moved(self, node: int, byte: int) -> tuple[int, tuple, tuple]:
+        """What a byte does to the configurations whose longest is at ``node``, whatever tokens
+        come before them: the longest one after it, the places and tokens that may end, and the
+        places of those that go on. Kept in ``moves``."""
+        found = self.moves.get(node << 8 | byte)
+        if found is None:
+            if len(self.moves) >= MOVES:
+                self.moves.clear()
+            ends, on, chain = [], [], []
+            for place, one in enumerate(self.chains[node], 1):
+                child = self.children[one].get(byte)
+                if child is None:
+                    continue
+                if self.token[child] >= 0:
+                    ends.append((place, self.token[child]))
+                if self.children[child]:
+                    on.append(place)
+                    chain.append(child)
+            chain.append(0)
+            self.chains.setdefault(chain[0], tuple(chain))
+            found = self.moves[node << 8 | byte] = (chain[0], tuple(ends), tuple(on))
+        return found
+
+    def ending(self, state: State, ends: tuple, byte: int) -> int:
+        pairs = self.pairs
+        for place, token in ends:
+            before = state[place]
+            follows = pairs.get(before << 32 | token)
+            if follows or (follows is None and self.may_follow(before, token)):
+                return token
+        raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
+
+    def step(self, at: int) -> int:
+        """Make the step from a state by a byte, given as the sum of both: the next state."""
+        state = self.states[at >> 8]
+        node, ends, on = self.moved(state[0], at & 255)
+        key = (node, *[state[place] for place in on], self.ending(state, ends, at & 255))
         number = self.number.get(key)
         if number is None:
-            number = self.number[key] = len(self.states)
+            number = self.number[key] = len(self.states) << 8
             self.states.append(key)
-        found = self.steps[state << 8 | byte] = (number, ended)
-        return found
+        self.steps[at] = number
+        return number
 
-    def last(self, state: int, byte: int) -> int:
+    def last(self, at: int) -> int:
         """The token that ends behind the last byte of a piece. The state after it is not
         needed, and pieces met for the first time mostly differ from others there."""
-        found = self.steps.get(state << 8 | byte)
+        found = self.steps.get(at)
         if found is not None:
-            return found[1]
-        children, tokens, pairs = self.children, self.token, self.pairs
-        for node, before in self.states[state]:
-            child = children[node].get(byte)
-            if child is not None and (token := tokens[child]) >= 0:
-                follows = pairs.get(before << 32 | token)
-                if follows or (follows is None and self.may_follow(before, token)):
-                    return token
-        raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
+            return self.states[found >> 8][-1]
+        state = self.states[at >> 8]
+        return self.ending(state, self.moved(state[0], at & 255)[1], at & 255)
 
     def encode(self, piece: bytes) -> list[int]:
         if not piece:
             return []
         if len(self.states) > STATES:
             self.forget()
-        steps, state, ends = self.steps, 0, []
+        known, state, passed = self.steps.get, 0, []
         for byte in piece[:-1]:
-            found = steps.get(state << 8 | byte)
-            state, ended = found if found is not None else self.step(state, byte)
-            ends.append(ended)
-        ends.append(self.last(state, piece[-1]))
-        lengths, at, out = self.lengths, len(ends), []
+            at = state | byte
+            state = known(at)
+            if state is None:
+                state = self.step(at)
+            passed.append(state)
+        states, lengths = self.states, self.lengths
+        token = self.last(state | piece[-1])
+        at, out = len(piece) - lengths[token], [token]
         while at:
-            token = ends[at - 1]
+            token = states[passed[at - 1] >> 8][-1]
             out.append(token)
             at -= lengths[token]
         out.reverse()

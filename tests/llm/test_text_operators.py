@@ -379,6 +379,18 @@ def test_the_last_byte_of_a_piece_makes_no_state(library):
         assert found == encoding.encode_ordinary(text)
 
 
+def test_moves_are_found_once_for_all_tokens_before(library, monkeypatch):
+    encoding, ranks = library
+    machine, rng = bpe.Transducer(ranks), random.Random(6)
+    pieces = [" " + "".join(rng.choice(["er", "ion", "th", "he", "st", "ü"]) for _ in range(6)) for _ in range(400)]
+    assert [machine.encode(p.encode()) for p in pieces] == [encoding.encode_ordinary(p) for p in pieces]
+    assert len(machine.moves) < len(machine.steps) / 2
+    assert all(len(machine.chains[state[0]]) == len(state) - 1 for state in machine.states)
+    monkeypatch.setattr(bpe, "MOVES", 3)
+    machine.forget()
+    assert [machine.encode(p.encode()) for p in pieces[:50]] == [encoding.encode_ordinary(p) for p in pieces[:50]]
+
+
 def test_one_python_step_encodes_and_decodes(spark, library):
     from rawharbor.llm.queries import coded
 
