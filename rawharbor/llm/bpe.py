@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from rawharbor.llm.common import free_name, quoted
 from rawharbor.session import prepare_python
 
-STATES = 250_000  # kept states, pair answers, pieces and segments; they bound memory, not results
-PAIRS = 600_000
+STATES = 180_000  # kept states, pair answers, pieces and segments; they bound memory, not results
+PAIRS = 200_000
 GROWN = 15_000
 MOVES = 200_000
-SEGMENTS = 200_000  # in each of two generations
-PIECES = 200_000  # the same
+SEGMENTS = 150_000  # in each of two generations
+PIECES = 150_000  # the same
 NEVER = 1 << 60
 LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"  # how patterns begin that match runs of letters whole
 
