@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rawharbor.llm.common import free_name, quoted
+from rawharbor.llm.segments import Known, ids_array, ids_of, parts_of
 from rawharbor.session import prepare_python
 
-STATES = 180_000  # kept states, pair answers, pieces and segments; they bound memory, not results
-PAIRS = 200_000
-GROWN = 15_000
-MOVES = 200_000
-SEGMENTS = 150_000  # in each of two generations
-PIECES = 150_000  # the same
+STATES = 180_000  # kept states, pair answers, moves, pieces and segments; they bound memory, not results
+PAIRS = 100_000
+GROWN = 10_000
+MOVES = 60_000
+SEGMENTS = 300_000
+PIECES = 200_000
 NEVER = 1 << 60
 LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"  # how patterns begin that match runs of letters whole
 
@@ -221,51 +222,38 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         # A run of plain letters, behind a blank or not, is one match of such a pattern.
         self.one = regex.compile(r" ?[A-Za-z]+" if pattern.startswith(LETTERS_FIRST) else r"(?!)").fullmatch
-        self.gap = regex.compile(r" \s").search
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
-
-    def fresh(self, segment: str) -> bytes:
-        """A segment met for the first time mostly consists of pieces met before."""
-        if len(self.known_pieces) > PIECES:
-            self.known_pieces, self.older_pieces = {}, self.known_pieces
-        known, older, out = self.known_pieces, self.older_pieces, []
-        for piece in [segment] if self.one(segment) else self.pieces(segment):
-            ids = known.get(piece)
-            if ids is None:
-                ids = older.get(piece) or array("i", self.transducer.encode(piece.encode())).tobytes()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.known = Known(SEGMENTS, self.fresh)
+        self.known_pieces = Known(PIECES, self.fresh_pieces)
+
+    def fresh_pieces(self, pieces: pa.StringArray) -> pa.LargeBinaryArray:
+        offsets, data, _ = parts_of(pieces)
+        raw, bounds = data.tobytes(), offsets.tolist()
+        encode, ids, ends = self.transducer.encode, array("i"), []
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            ids.extend(encode(raw[start:end]))
+            ends.append(len(ids))
+        return ids_array(np.frombuffer(ids, "<u4"), np.array(ends, np.int64))
+
+    def fresh(self, segments: pa.StringArray) -> pa.LargeBinaryArray:
+        """Segments met for the first time mostly consist of pieces met before."""
+        pieces, counts = [], [0]
+        for segment in segments.to_pylist():
+            if self.one(segment):
+                pieces.append(segment)
+            else:
+                pieces += self.pieces(segment)
+            counts.append(len(pieces))
+        offsets, data, _ = parts_of(self.known_pieces(pa.array(pieces, pa.string())))
+        ends = (offsets[counts] - offsets[0]) // 4
+        return ids_array(data[offsets[0] : offsets[-1]].view("<u4"), ends[1:])
 
-    def encode(self, text: str) -> list[bytes]:
-        """Ids as little-endian words, in parts.
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, and where each text begins and the last ends."""
+        return ids_of(texts, self.known)
 
-        A blank before anything but white space always begins a match, so a text may be
-        cut there and frequent segments looked up; a text with other blanks is not cut.
-        """
-        if not text:
-            return []
-        if self.gap(text):
-            return [self.fresh(text)]
-        parts = text.split(" ")
-        if len(self.known) > SEGMENTS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        out = [self.fresh(parts[0]), *map(known.get, parts[1:])]
-        if None in out:
-            for i in [i for i, ids in enumerate(out) if ids is None]:
-                part = parts[i]
-                ids = known.get(part)  # it may have been met further on the left
-                if ids is None:
-                    ids = older.get(part) or self.fresh(" " + part)
-                    if len(part) <= 64:
-                        known[part] = ids
-                out[i] = ids
-        return out
+    def encode(self, text: str) -> list[bytes]:
+        """Ids of one text as little-endian words."""
+        return [self.encode_all(pa.array([text], pa.string()))[0].tobytes()]
 
 
 class Utf8Stream:
@@ -344,13 +332,8 @@ def _shared(spark, ranks_path: str):
 def _encoded(content, pattern: str):
     def run(texts: pa.Array) -> pa.Array:
         encoder = _made(Encoder, content.value, pattern)
-        parts, offsets = [], [0]
-        for text in texts:
-            found = encoder.encode(text.as_py())
-            parts += found
-            offsets.append(offsets[-1] + sum(map(len, found)) // 4)
-        ids = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
+        ids, bounds = encoder.encode_all(texts)
+        return pa.ListArray.from_arrays(pa.array(bounds).cast(pa.int32()), pa.array(ids.view("<i4")))
 
     return run
 

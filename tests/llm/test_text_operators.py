@@ -391,6 +391,22 @@ def test_moves_are_found_once_for_all_tokens_before(library, monkeypatch):
     assert [machine.encode(p.encode()) for p in pieces[:50]] == [encoding.encode_ordinary(p) for p in pieces[:50]]
 
 
+def test_kept_segments_take_few_bytes_and_are_bounded(library, monkeypatch):
+    encoding, ranks = library
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(4000)]
+    monkeypatch.setattr(bpe, "SEGMENTS", 3000)
+    monkeypatch.setattr(bpe, "PIECES", 2000)
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for start in [*range(0, 4000, 500), 0, 500]:
+        text = " ".join(words[start : start + 500] + ["the end"])
+        assert np.frombuffer(b"".join(coder.encode(text)), "<i4").tolist() == encoding.encode_ordinary(text)
+    for kept, most in ((coder.known, 3000), (coder.known_pieces, 2000)):
+        assert most / 4 < len(kept.strings) == len(kept.answers) <= most
+        assert kept.strings.nbytes + kept.answers.nbytes < 60 * len(kept.strings)
+    assert " the" in coder.known.strings.to_pylist()  # strings asked for again outlive those met once
+
+
 def test_one_python_step_encodes_and_decodes(spark, library):
     from rawharbor.llm.queries import coded
 
