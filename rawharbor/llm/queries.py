@@ -57,7 +57,7 @@ def op3_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_dir(spark, "token-shards")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    wavelet.write_tokens(table(spark, sf, "documents"), path, tokenizer, end_id=2, pattern=public_tokenizers.PATTERN)
+    wavelet.write_tokens(table(spark, sf, "documents"), path, tokenizer, end_id=2)
     return wavelet.read_tokens(spark, path)
 
 

@@ -23,27 +23,29 @@ hash of their tokens settles; an empty table gives no shard.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rawharbor.llm.common import quoted
+from rawharbor.llm.segments import Known, before_solid, ids_array, ids_of, parts_of
 from rawharbor.operators.joins import join_reduced
 from rawharbor.session import prepare_python
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
 RANK_BITS = 512
-SEGMENTS = 250_000  # segments remembered per worker, in each of two generations
+SEGMENTS = 600_000  # segments remembered per worker
+JOINED = 100  # new segments handed to the library in one text
 RANGES = 4096  # at most so many ranges of document ids
 
 
@@ -67,7 +69,7 @@ class WaveletMatrix:
             per_block = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.int64)
             bits.append(padded)
             counts.append(np.concatenate([[0], np.cumsum(per_block)]))
-            sequence = np.concatenate([sequence[~one], sequence[one]])
+            sequence = np.concatenate([np.compress(~one, sequence), np.compress(one, sequence)])
         return cls(bits, counts, len(ids))
 
     def rank(self, plane: int, position: int) -> int:
@@ -177,77 +179,78 @@ class Shard:
 class TextTokenizer:
     """The tokenizers library, asked once per segment of text that recurs.
 
-    A byte-level tokenizer without normalizer starts a new piece at a blank before
-    anything but white space, so texts may be cut there; others are encoded whole, as are
-    texts with other blanks or with the strings of added tokens. Given the pattern that the
-    tokenizer splits by, the pieces of new segments go straight to the library's model,
-    which takes half the time.
+    New segments of a batch go to the library behind one another, some at a time, as it takes
+    half the time for them that it takes one by one; how many bytes the ids stand for tells
+    them apart again. Texts with the strings of added tokens are encoded whole, and so are
+    all if the tokenizer is not a byte-level one without normalizer.
     """
 
-    def __init__(self, content: str, pattern: str | None = None):
+    def __init__(self, content: str):
+        # A task is the unit of parallel work; threads of the library's own would come on top.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(content)
-        self.model = self.tokenizer.model
-        self.pieces = regex.compile(pattern).findall if pattern else None
-        # A byte that prints in Latin-1 stands for itself, the others for what follows 255.
-        plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
-        others = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
         rules = self.tokenizer.pre_tokenizer
-        self.cuts = type(rules).__name__ == "ByteLevel" and not rules.add_prefix_space and self.tokenizer.normalizer is None
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r" \s", *map(regex.escape, added)])).search
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
+        self.cuts = (
+            type(rules).__name__ == "ByteLevel" and rules.use_regex and not rules.add_prefix_space and self.tokenizer.normalizer is None
+        )
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        # Each character of a byte-level token stands for a byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token) if i not in added else 0
+        self.known = Known(SEGMENTS, self.fresh)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def segments(self, texts: list[str]) -> list[bytes]:
-        if self.pieces is None:
-            return self.library(texts)
-        tokenize, letters, found = self.model.tokenize, self.letters, []
-        for text in texts:
-            ids: list[int] = []
-            for piece in self.pieces(text):
-                ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-            found.append(array("I", ids).tobytes())
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def with_added(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > SEGMENTS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if not self.cuts or self.whole(text):
-                split.append(None)
-                continue
-            head, *rest = text.split(" ")
-            parts = [head, *[" " + r for r in rest]]
-            split.append(parts)
-            for part in parts:
-                if part not in known:
-                    if part in older:
-                        known[part] = older[part]
-                    else:
-                        new[part] = None
-        fresh = list(new)
-        known.update(zip(fresh, self.segments(fresh)))
-        return [
-            self.library([text])[0] if parts is None else b"".join([known[p] for p in parts])
-            for text, parts in zip(texts, split)
-        ]
+    def one_by_one(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        found = self.library(texts.to_pylist())
+        return ids_array(np.concatenate([*found, np.zeros(0, "<u4")]), np.cumsum([len(f) for f in found], dtype=np.int64))
+
+    def fresh(self, segments: pa.StringArray) -> pa.LargeBinaryArray:
+        offsets, data, _ = parts_of(segments)
+        join = np.zeros(len(segments), bool)
+        if self.cuts:
+            join = (offsets[1:] - offsets[:-1] > 1) & (data[np.minimum(offsets[:-1], len(data) - 1)] == 32)
+            join[join] = before_solid(data, offsets[:-1][join])
+            join &= ~self.with_added(segments)
+        made = pa.concat_arrays([self.joined(segments.filter(pa.array(join))), self.one_by_one(segments.filter(pa.array(~join)))])
+        return made.take(pa.array(np.argsort(np.argsort(~join, kind="stable"))))
+
+    def joined(self, segments: pa.StringArray) -> pa.LargeBinaryArray:
+        offsets, data, _ = parts_of(segments)
+        bounds = [*offsets[:-1:JOINED].tolist(), int(offsets[-1])]
+        found = self.library([data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])])
+        ids = np.concatenate([*found, np.zeros(0, "<u4")])
+        reached, wanted = np.cumsum(self.lengths[ids]), offsets[1:] - offsets[0]
+        last = np.searchsorted(reached, wanted)
+        if len(wanted) and (last[-1] >= len(ids) or (reached[last] != wanted).any()):
+            return self.one_by_one(segments)  # the vocabulary lacks some bytes
+        return ids_array(ids, last + 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, and where each text begins and the last ends."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = self.with_added(texts) if self.cuts else np.ones(len(texts), bool)
+        return ids_of(texts, self.known, np.flatnonzero(whole).tolist())
 
 
 _MADE: dict[bytes, TextTokenizer] = {}
 
 
-def _tokenizer(content: str, pattern: str | None) -> TextTokenizer:
-    key = hashlib.sha256(f"{pattern}\n{content}".encode()).digest()
+def _tokenizer(content: str) -> TextTokenizer:
+    key = hashlib.sha256(content.encode()).digest()
     if key not in _MADE:
-        _MADE[key] = TextTokenizer(content, pattern)
+        _MADE[key] = TextTokenizer(content)
     return _MADE[key]
 
 
@@ -270,7 +273,7 @@ def write_tokens(
     pattern: str | None = None,
 ) -> None:
     """Encode whole texts, end each with ``end_id``, and write shards below ``path``.
-    ``pattern`` may name the expression by which a byte-level tokenizer splits texts."""
+    ``pattern`` is not needed any more: the library itself splits all texts."""
     spark = docs.sparkSession
     prepare_python(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -280,9 +283,9 @@ def write_tokens(
     width = "<u2" if planes <= 16 else "<u4"
 
     def tokenize(texts: pa.Array) -> pa.Array:
-        found = _tokenizer(content.value, pattern).encode([t or "" for t in texts.to_pylist()])
-        end = np.array([end_id], width).tobytes()
-        return pa.array([np.frombuffer(f, "<u4").astype(width).tobytes() + end for f in found], pa.binary())
+        ids, bounds = _tokenizer(content.value).encode(texts)
+        ids, end = ids.astype(width), np.array([end_id], width).tobytes()
+        return pa.array([ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, names, lengths, ids = None, 0, [], [], []

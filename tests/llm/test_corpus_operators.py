@@ -263,6 +263,29 @@ def test_token_files_of_odd_documents(spark, monkeypatch):
     assert wavelet.read_tokens(spark, path).count() == 0
 
 
+def test_texts_split_as_the_library_splits_them(monkeypatch):
+    library = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER) as file:
+        coder = wavelet.TextTokenizer(file.read())
+    asked = []
+    alone = coder.library
+    monkeypatch.setattr(coder, "library", lambda texts: asked.extend(texts) or alone(texts))
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\t", "a", "bé", "'s", "1.", "😀", "\x1c", "\x85", "\xa0", "中", "\u200b", "\u2003", "\u3000"]
+    # The last two are unassigned in some versions of Unicode and letters in others.
+    parts += ["\u180e", "“", "x ", " \u0558", "\u088f"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join(rng.choices(["one", "two", "three"], k=400)) for _ in range(200)]
+    for i in range(0, len(texts), 400):
+        batch = pa.array([None, *texts[i : i + 400]], pa.string()).slice(1)
+        ids, bounds = coder.encode(batch)
+        for text, start, end in zip(batch.to_pylist(), bounds[:-1], bounds[1:]):
+            assert ids[start:end].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) < 3000 and sum(map(len, asked)) < sum(map(len, texts)) / 2
+    monkeypatch.setattr(coder, "lengths", coder.lengths * 2)  # ids that do not add up are asked for one by one
+    assert coder.joined(pa.array([" qua", " que"])).to_pylist() == coder.one_by_one(pa.array([" qua", " que"])).to_pylist()
+
+
 # --- chat -------------------------------------------------------------------------
 
 
